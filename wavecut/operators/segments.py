@@ -46,7 +46,7 @@ def _exclusive_offsets(counts: DataFrame, block: str, parent_bits: int = 12) ->
 
 
 def consecutive_index(
-    df: DataFrame, order_by: str = "uid", out: str = "idx", block_bits: int = 20
+    df: DataFrame, order_by: str = "uid", out: str = "idx", block_bits: int = 20, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Global 1-based row index in the order of a unique integer column.
 
@@ -54,12 +54,14 @@ def consecutive_index(
     number of rows in earlier blocks.  Ids are unique, so no block, and no task,
     can exceed ``2**block_bits`` rows however the ids are spread.  Block counts
     come from a scan of the id column alone and are pre-aggregated map-side.
+    For 64-bit hashes use a larger ``block_bits`` (the values are spread evenly)
+    and name the columns that break ties.
     """
     block = F.shiftright(F.col(order_by).cast("bigint"), block_bits)
     blocked = df.withColumn("_block", block)
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _exclusive_offsets(counts, "_block")
-    in_block = F.row_number().over(Window.partitionBy("_block").orderBy(order_by))
+    in_block = F.row_number().over(Window.partitionBy("_block").orderBy(order_by, *ties))
     return (
         blocked.withColumn("_rn", in_block)
         .join(offsets, "_block")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wavecut.functions.arrays import array_slices, band_range, overlapping_band_means
 from wavecut.operators.segments import KEYS
-from wavecut.operators.stats import adjusted_kurtosis, adjusted_skew, pack_segments, summarise
+from wavecut.operators.stats import adjusted_kurtosis, adjusted_skew, pack_segments
 
 
 # ------------------------------------------------------------------ packing
@@ -191,56 +191,104 @@ def _with_reordered_dct(packed: DataFrame) -> DataFrame:
     return with_dct(packed.withColumn("_y", _reordered(F.col("values"))), "_y", "_c")
 
 
-def fft_magnitudes(packed: DataFrame, last_bin: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Long form ``(keys, n, k, mag)``: |FFT| of bins ``0 .. last_bin`` of each segment.
+def with_fft_magnitudes(packed: DataFrame, last_bin: int, out: str = "mags") -> DataFrame:
+    """Adds |FFT| of bins ``0 .. last_bin`` of the packed ``values`` as an array."""
+    return _magnitudes(_with_reordered_dct(packed), last_bin, out).drop("_y", "_c")
 
-    Only ``mag`` is exploded; the arrays stay in the packed row.
-    """
+
+def _magnitudes(spectra: DataFrame, last_bin: int, out: str) -> DataFrame:
     c, n = F.col("_c"), F.size("_c")
 
     def magnitude(k: Column) -> Column:
-        a = F.element_at(c, k + 1)
-        b = F.element_at(c, n - k + 1)
+        a, b = F.element_at(c, k + 1), F.element_at(c, n - k + 1)
         return F.when(k == 0, F.sqrt(n.cast("double")) * F.abs(F.element_at(c, 1))).otherwise(
             F.sqrt((a * a + F.when(k > 0, b * b)) * (n / 2))
         )
 
-    bins = F.transform(F.sequence(F.lit(0), F.least(F.lit(last_bin), n - 1)), magnitude)
-    arrays = _with_reordered_dct(packed).select(*keys, n.alias("n"), bins.alias("_m"))
-    return arrays.select(*keys, "n", F.posexplode("_m").alias("k", "mag"))
+    return spectra.withColumn(out, F.transform(F.sequence(F.lit(0), F.least(F.lit(last_bin), n - 1)), magnitude))
+
+
+def magnitude_columns(n: Column, first_bin: int, end_bin: int, last_bins: int, mags: str = "mags") -> dict[str, Column]:
+    """Arrays behind the magnitude statistics: the bins ``[first_bin, end_bin)`` and the
+    last ``last_bins`` bins.  A real signal has a mirrored spectrum, so the last bins
+    hold the values of bins ``1 .. last_bins`` and are not computed again."""
+    m = F.col(mags)
+    whole = F.slice(m, 1, last_bins)
+    mirrored = F.slice(m, 2, last_bins)
+    return {
+        "_band": F.slice(m, first_bin + 1, end_bin - first_bin),
+        "_last": F.when(n <= last_bins, whole).otherwise(mirrored),
+    }
+
+
+def magnitude_stats(df: DataFrame, first_bin: int, end_bin: int, last_bins: int) -> DataFrame:
+    """``mags`` -> the seven magnitude statistics, evaluated in the packed row."""
+    arrays = df.withColumns(magnitude_columns(F.size("values"), first_bin, end_bin, last_bins))
+    arrays = arrays.withColumns(
+        {"_mb": array_mean(F.col("_band")), "_ml": array_mean(F.col("_last")), "_sb": F.array_sort("_band")}
+    )
+    arrays = arrays.withColumns(
+        {f"_b{p}": central_moment(F.col("_band"), F.col("_mb"), p) for p in (2, 3, 4)}
+        | {f"_l{p}": central_moment(F.col("_last"), F.col("_ml"), p) for p in (2, 3)}
+    )
+    size, tail = F.size("_band").cast("double"), F.size("_last").cast("double")
+    stats = {
+        "fft_mag_mean": F.col("_mb"),
+        "fft_mag_std": F.sqrt("_b2"),
+        "fft_mag_kurt": adjusted_kurtosis(_ratio(F.col("_b4"), F.col("_b2"), 2.0) - 3, size),
+        "fft_mag_skew": adjusted_skew(_ratio(F.col("_b3"), F.col("_b2"), 1.5), size),
+        "fft_mag_max": F.array_max("_band"),
+        "fft_mag_median": sorted_median(F.col("_sb")),
+        "fft_mag_skew_last": adjusted_skew(_ratio(F.col("_l3"), F.col("_l2"), 1.5), tail),
+    }
+    scratch = ["_band", "_last", "_mb", "_ml", "_sb", "_b2", "_b3", "_b4", "_l2", "_l3"]
+    return arrays.withColumns(stats).drop(*scratch)
+
+
+def array_mean(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
+
+
+def central_moment(values: Column, mean: Column, power: int) -> Column:
+    def term(v: Column) -> Column:
+        d = v - mean
+        out = d
+        for _ in range(power - 1):
+            out = out * d
+        return out
+
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + term(v))
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def _ratio(moment: Column, variance: Column, power: float) -> Column:
+    return F.when(variance > 0, moment / F.pow(variance, F.lit(power)))
+
+
+def sorted_median(values: Column) -> Column:
+    n = F.size(values)
+    low = F.floor((n - 1) / 2).cast("int") + 1
+    high = F.floor(n / 2).cast("int") + 1
+    return F.when(n > 0, (F.element_at(values, low) + F.element_at(values, high)) / 2)
 
 
 def fft_mag_stats(
     packed: DataFrame, first_bin: int = 1000, end_bin: int = 20000, last_bins: int = 5000,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Statistics of the magnitudes in ``[first_bin, end_bin)`` and the skewness of the
-    last ``last_bins`` bins.  A real signal has a mirrored spectrum, so those last bins
-    hold the same values as bins ``1 .. last_bins`` and are not computed again."""
-    mags = fft_magnitudes(packed, max(end_bin - 1, last_bins), keys)
-    k, mag, n = F.col("k"), F.col("mag"), F.col("n")
-    band = F.when((k >= first_bin) & (k < end_bin), mag)
-    tail = F.when(((k >= 1) & (k <= last_bins)) | ((k == 0) & (n <= last_bins)), mag)
-    size = F.count(band).cast("double")
-    plain = {
-        "fft_mag_mean": F.avg(band),
-        "fft_mag_std": F.stddev_pop(band),
-        "fft_mag_kurt": adjusted_kurtosis(F.kurtosis(band), size),
-        "fft_mag_skew": adjusted_skew(F.skewness(band), size),
-        "fft_mag_max": F.max(band),
-        "fft_mag_skew_last": adjusted_skew(F.skewness(tail), F.count(tail).cast("double")),
-    }
-    return summarise(mags, keys, plain, [(band, {"fft_mag_median": 0.5})])
+    """Mean, deviation, shape, maximum and median of the magnitudes in
+    ``[first_bin, end_bin)`` and the skewness of the last ``last_bins`` bins."""
+    mags = with_fft_magnitudes(packed, max(end_bin - 1, last_bins))
+    return magnitude_stats(mags, first_bin, end_bin, last_bins).drop("values", "mags")
 
 
-def envelope_mean(packed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean magnitude of the analytic signal.
+def with_envelope_mean(spectra: DataFrame) -> DataFrame:
+    """Adds ``envelope_mean`` from the reordered signal ``_y`` and its transform ``_c``.
 
     In the cosine domain of the reordered signal the quadrature component has the
     coefficients ``-C[N-k]`` below and ``+C[N-k]`` above N/2; the mean does not
     depend on the order of the values, so it is taken without undoing the reordering.
     """
-    spectra = _with_reordered_dct(packed)
     c, n = F.col("_c"), F.size("_c")
     quadrature = F.transform(
         F.sequence(F.lit(0), n - 1),
@@ -250,5 +298,16 @@ def envelope_mean(packed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     both = with_dct(spectra.withColumn("_d", quadrature), "_d", "_q", inverse=True)
     envelope = F.zip_with("_y", "_q", lambda a, b: F.sqrt(a * a + b * b))
-    total = F.aggregate(envelope, F.lit(0.0), lambda acc, v: acc + v)
-    return both.select(*keys, (total / F.size("_y")).alias("envelope_mean"))
+    return both.withColumn("envelope_mean", array_mean(envelope)).drop("_d", "_q")
+
+
+def envelope_mean(packed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean magnitude of the analytic signal."""
+    return with_envelope_mean(_with_reordered_dct(packed)).select(*keys, "envelope_mean")
+
+
+def with_fourier_features(packed: DataFrame, first_bin: int, end_bin: int, last_bins: int) -> DataFrame:
+    """Magnitude statistics and envelope mean from one shared transform."""
+    spectra = with_envelope_mean(_with_reordered_dct(packed))
+    mags = _magnitudes(spectra, max(end_bin - 1, last_bins), "mags").drop("_y", "_c")
+    return magnitude_stats(mags, first_bin, end_bin, last_bins).drop("mags")

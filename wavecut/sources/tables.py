@@ -59,7 +59,7 @@ def read_segment_files(
 
     One multi-file scan; the label is the file-name stem and the target is NULL.
     ``key_list`` (``name, seg``) selects and numbers the segments; without it they
-    are numbered by name.
+    are numbered in the order of a hash of their name.
     """
     raw = spark.read.csv(folder, header=True, schema=TEST_SCHEMA, enforceSchema=True, pathGlobFilter="*.csv")
     rows = raw.select(
@@ -77,9 +77,10 @@ def read_segment_files(
 
 
 def number_names(names: DataFrame) -> DataFrame:
-    """``(name, seg)``: names ranked in alphabetical order, starting at 0."""
-    ranked = names.select("name", F.row_number().over(Window.orderBy("name")).alias("_r"))
-    return ranked.select("name", (F.col("_r") - 1).cast("bigint").alias("seg"))
+    """``(name, seg)``: distinct names numbered 0, 1, ... in the order of their hash."""
+    hashed = names.select("name", F.xxhash64("name").alias("_h"))
+    numbered = consecutive_index(hashed, "_h", block_bits=44, ties=("name",))
+    return numbered.select("name", (F.col("idx") - 1).alias("seg"))
 
 
 def read_key_list(spark: SparkSession, path: str, key: str = "seg_id") -> DataFrame:
