@@ -19,27 +19,28 @@ def segment_apply(
     df: DataFrame, features: FeatureFunction, names: Sequence[str], max_len: int = 150_000,
     keys: Sequence[str] = KEYS, value: str = "x", target: str = "y",
 ) -> DataFrame:
-    """One row per segment: keys, the target on its last row, and the named features.
+    """One row per segment: keys, chunk, the target on its last row, and the named features.
 
-    ``features`` gets the segment's values in position order.  Only positions up
-    to ``max_len`` belong to a segment (longer inputs must be segmented first), so
+    ``features`` gets the values in position order.  A segment longer than
+    ``max_len`` rows yields one row per ``max_len`` rows (``chunk`` 0, 1, ...), so
     the group handed to one task has a fixed upper size.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(
-        [*key_fields, T.StructField("target", T.DoubleType())]
+        [*key_fields, T.StructField("chunk", T.LongType()), T.StructField("target", T.DoubleType())]
         + [T.StructField(n, T.DoubleType()) for n in names]
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_len:
-            raise ValueError(f"segment of {len(pdf)} rows exceeds max_len={max_len}")
         ordered = pdf.sort_values("no")
         values = features(ordered["_x"].to_numpy(dtype=float))
-        row = {k: ordered[k].iloc[0] for k in keys}
+        row = {k: ordered[k].iloc[0] for k in (*keys, "chunk")}
         row["target"] = ordered["_y"].iloc[-1]
         row.update({n: values[n] for n in names})
         return pd.DataFrame([row])
 
-    rows = df.select(*keys, "no", F.col(value).cast("double").alias("_x"), F.col(target).cast("double").alias("_y"))
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(
+        *keys, "no", F.floor((F.col("no") - 1) / max_len).alias("chunk"),
+        F.col(value).cast("double").alias("_x"), F.col(target).cast("double").alias("_y"),
+    )
+    return rows.groupBy(*keys, "chunk").applyInPandas(run, schema)

@@ -96,7 +96,7 @@ def cross_fit(
         est = estimator()
         inside = F.col("fold") == fold
         if early_stop_tol is not None and isinstance(est, GBTRegressor):
-            est = est.setValidationIndicatorCol("held").setValidationTol(early_stop_tol)
+            est.setParams(validationIndicatorCol="held", validationTol=early_stop_tol)
             model = est.fit(folded.withColumn("held", inside))
         else:
             model = est.fit(folded.where(~inside))
