@@ -152,11 +152,6 @@ def _running(window: WindowSpec, expr: Column) -> Column:
     return F.sum(expr).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _back(window: WindowSpec, total: str, width: int) -> Column:
-    """Running total ``width`` rows earlier; 0 before the first row."""
-    return F.coalesce(F.lag(total, width).over(window), F.lit(0.0))
-
-
 def with_prefix_sums(o: Ordered) -> DataFrame:
     """Running sums of the centred signal and its square (``_s1``, ``_s2``) and of
     the squared raw signal (``_e``).  Centring keeps the differences exact enough
@@ -171,21 +166,28 @@ def with_prefix_sums(o: Ordered) -> DataFrame:
     )
 
 
-def rolling_columns(window: WindowSpec, means: Sequence[int], stds: Sequence[int]) -> dict[str, Column]:
-    """``_rm_w`` and ``_rs_w``: rolling mean and sample deviation, NULL on incomplete frames."""
-    out: dict[str, Column] = {}
-    for w in sorted({*means, *stds}):
-        d1 = F.col("_s1") - _back(window, "_s1", w)
-        full = F.col("no") >= w
-        if w in means:
-            out[f"_rm_{w}"] = F.when(full, F.col("mu") + d1 / w)
-        if w in stds:
-            if w < 2:
-                raise ValueError("a rolling deviation needs a width of at least 2")
-            d2 = F.col("_s2") - _back(window, "_s2", w)
-            spread = F.greatest(F.lit(0.0), d2 - d1 * d1 / w) / (w - 1)
-            out[f"_rs_{w}"] = F.when(full, F.sqrt(spread))
-    return out
+def earlier_totals(window: WindowSpec, total: str, widths: Sequence[int]) -> dict[str, Column]:
+    """``<total>_w``: the running total ``w`` rows earlier, 0 before the first row.
+
+    Only these look-backs are materialised per row.  The rolling values themselves are
+    expressions inside the aggregate: a projection with dozens of them would outgrow
+    the size up to which the JVM compiles a generated method.
+    """
+    return {f"{total}_{w}": F.lag(total, w, 0.0).over(window) for w in sorted(set(widths))}
+
+
+def rolling_mean_at(w: int) -> Column:
+    """Mean of the last ``w`` rows, NULL on incomplete frames."""
+    return F.when(F.col("no") >= w, F.col("mu") + (F.col("_s1") - F.col(f"_s1_{w}")) / w)
+
+
+def rolling_std_at(w: int) -> Column:
+    """Sample deviation of the last ``w`` rows, NULL on incomplete frames."""
+    if w < 2:
+        raise ValueError("a rolling deviation needs a width of at least 2")
+    d1 = F.col("_s1") - F.col(f"_s1_{w}")
+    d2 = F.col("_s2") - F.col(f"_s2_{w}")
+    return F.when(F.col("no") >= w, F.sqrt(F.greatest(F.lit(0.0), d2 - d1 * d1 / w) / (w - 1)))
 
 
 def _rolled(
@@ -193,7 +195,8 @@ def _rolled(
     seg_len: int | None, chunk_rows: int | None,
 ) -> DataFrame:
     o = ordered_rows(df, max([*means, *stds]), keys, value, seg_len, chunk_rows)
-    rolled = with_prefix_sums(o).withColumns(rolling_columns(o.window, means, stds))
+    back = earlier_totals(o.window, "_s1", [*means, *stds]) | earlier_totals(o.window, "_s2", stds)
+    rolled = with_prefix_sums(o).withColumns(back)
     return rolled.where(o.own) if o.halo else rolled
 
 
@@ -203,7 +206,7 @@ def rolling_std(
 ) -> DataFrame:
     """Mean of the complete rolling deviations."""
     rolled = _rolled(df, (), widths, keys, value, seg_len, chunk_rows)
-    return rolled.groupBy(*keys).agg(*(F.avg(f"_rs_{w}").alias(f"ma_{w}_std_mean") for w in widths))
+    return rolled.groupBy(*keys).agg(*(F.avg(rolling_std_at(w)).alias(f"ma_{w}_std_mean") for w in widths))
 
 
 def bollinger(
@@ -213,40 +216,46 @@ def bollinger(
 ) -> DataFrame:
     """Mean upper and lower bounds: one mean width, several deviation widths."""
     rolled = _rolled(df, (mean_width,), std_widths, keys, value, seg_len, chunk_rows)
-    centre = F.avg(f"_rm_{mean_width}")
+    centre = F.avg(rolling_mean_at(mean_width))
     out = []
     for w in std_widths:
-        spread = F.avg(f"_rs_{w}") * deviations
+        spread = F.avg(rolling_std_at(w)) * deviations
         out += [(centre + spread).alias(f"bb_{w}_high_mean"), (centre - spread).alias(f"bb_{w}_low_mean")]
     return rolled.groupBy(*keys).agg(*out)
 
 
+def extrema_aggs(widths: Sequence[int]) -> dict[str, Column]:
+    """Largest absolute rolling mean and largest rolling deviation per width."""
+    out: dict[str, Column] = {}
+    for w in widths:
+        out[f"abs_max_roll_mean_{w}"] = F.max(F.abs(rolling_mean_at(w)))
+        out[f"abs_max_roll_std_{w}"] = F.max(rolling_std_at(w))
+    return out
+
+
 def roll_extrema(
     df: DataFrame, widths: Sequence[int] = (10, 50, 100, 500, 1000, 10000), keys: Sequence[str] = KEYS,
     value: str = X, seg_len: int | None = None, chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Largest absolute rolling mean and largest rolling deviation."""
     rolled = _rolled(df, widths, widths, keys, value, seg_len, chunk_rows)
-    out = []
-    for w in widths:
-        out += [
-            F.max(F.abs(f"_rm_{w}")).alias(f"abs_max_roll_mean_{w}"),
-            F.max(f"_rs_{w}").alias(f"abs_max_roll_std_{w}"),
-        ]
-    return rolled.groupBy(*keys).agg(*out)
+    return rolled.groupBy(*keys).agg(*(c.alias(a) for a, c in extrema_aggs(widths).items()))
+
+
+# Fixed values: (short, long) energy frames.
+STA_LTA_PAIRS = ((500, 10000), (5000, 100000), (3333, 6666), (10000, 25000))
 
 
-def sta_lta_column(window: WindowSpec, sta: int, lta: int) -> Column:
+def sta_lta_at(sta: int, lta: int) -> Column:
     """Short-term over long-term mean energy, 0 until the long frame is complete."""
     if not 0 < sta < lta:
         raise ValueError("sta must be positive and shorter than lta")
-    short = (F.col("_e") - _back(window, "_e", sta)) / sta
-    long = F.greatest((F.col("_e") - _back(window, "_e", lta)) / lta, F.lit(TINY))
+    short = (F.col("_e") - F.col(f"_e_{sta}")) / sta
+    long = F.greatest((F.col("_e") - F.col(f"_e_{lta}")) / lta, F.lit(TINY))
     return F.when(F.col("no") >= lta, short / long).otherwise(F.lit(0.0))
 
 
-# Fixed values: (short, long) energy frames.
-STA_LTA_PAIRS = ((500, 10000), (5000, 100000), (3333, 6666), (10000, 25000))
+def sta_lta_aggs(pairs: Sequence[tuple[int, int]]) -> dict[str, Column]:
+    return {f"sta_lta{i}_mean": F.avg(sta_lta_at(s, l)) for i, (s, l) in enumerate(pairs, start=1)}
 
 
 def sta_lta(
@@ -254,13 +263,11 @@ def sta_lta(
     value: str = X, seg_len: int | None = None, chunk_rows: int | None = None,
 ) -> DataFrame:
     o = ordered_rows(df, max(l for _, l in pairs), keys, value, seg_len, chunk_rows)
-    ratios = {f"_r{i}": sta_lta_column(o.window, s, l) for i, (s, l) in enumerate(pairs)}
-    rolled = o.rows.withColumn("_e", _running(o.window, F.col("x") * F.col("x"))).withColumns(ratios)
+    energy = o.rows.withColumn("_e", _running(o.window, F.col("x") * F.col("x")))
+    rolled = energy.withColumns(earlier_totals(o.window, "_e", [w for pair in pairs for w in pair]))
     if o.halo:
         rolled = rolled.where(o.own)
-    return rolled.groupBy(*keys).agg(
-        *(F.avg(f"_r{i}").alias(f"sta_lta{i + 1}_mean") for i in range(len(pairs)))
-    )
+    return rolled.groupBy(*keys).agg(*(c.alias(a) for a, c in sta_lta_aggs(pairs).items()))
 
 
 # ------------------------------------------------------------------------- lags

@@ -177,14 +177,12 @@ def _reordered(values: Column) -> Column:
     With C the DCT-II sums of this sequence, the Fourier transform of the original
     one is ``exp(i*pi*k/2N) * (C[k] - i*C[N-k])``.
     """
-    n = F.size(values)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda m: F.element_at(
-            values,
-            F.when(F.pmod(m, F.lit(2)) == 0, F.shiftright(m, 1) + 1).otherwise(n - F.shiftright(m, 1)),
-        ),
+    half = F.shiftright(F.size(values), 1)
+    pairs = F.zip_with(
+        F.slice(values, F.lit(1), half), F.slice(F.reverse(values), F.lit(1), half), lambda a, b: F.array(a, b)
     )
+    middle = F.slice(values, half + 1, F.pmod(F.size(values), F.lit(2)))
+    return F.concat(F.flatten(pairs), middle)
 
 
 def _with_reordered_dct(packed: DataFrame) -> DataFrame:
@@ -290,11 +288,13 @@ def with_envelope_mean(spectra: DataFrame) -> DataFrame:
     depend on the order of the values, so it is taken without undoing the reordering.
     """
     c, n = F.col("_c"), F.size("_c")
-    quadrature = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.when((k == 0) | (k * 2 == n), F.lit(0.0)).otherwise(
-            F.element_at(c, n - k + 1) * F.when(k * 2 < n, F.lit(-1.0)).otherwise(F.lit(1.0))
-        ),
+    below = F.shiftright(n - 1, 1)  # number of coefficients strictly below N/2
+    mirrored = F.reverse(F.slice(c, F.lit(2), n - 1))
+    quadrature = F.concat(
+        F.array(F.lit(0.0)),
+        F.transform(F.slice(mirrored, F.lit(1), below), lambda v: -v),
+        F.array_repeat(F.lit(0.0), F.pmod(n + 1, F.lit(2))),
+        F.slice(mirrored, n - below, below),
     )
     both = with_dct(spectra.withColumn("_d", quadrature), "_d", "_q", inverse=True)
     envelope = F.zip_with("_y", "_q", lambda a, b: F.sqrt(a * a + b * b))

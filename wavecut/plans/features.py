@@ -24,60 +24,78 @@ from wavecut.plans.signal import FULL, Params
 from wavecut.sources.storage import cut_lineage
 
 
-def signal_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
-    """All per-segment signal features in one shuffle.
+def summed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Features that are sums over rows: they combine map-side, so only partial sums are
+    shuffled and the layout of the input does not matter."""
+    rows = R.with_ewma_weights(df.withColumn("n", F.lit(p.seg_len).cast("bigint")), p.ewma_spans)
+    x, xa = F.col("x"), F.abs("x")
+    size = F.count(x).cast("double")
+    sums = rows.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max(xa).alias("abs_max"),
+        F.avg(xa).alias("abs_mean"),
+        F.stddev_samp(xa).alias("abs_std"),
+        F.regr_slope(xa, F.col("no").cast("double")).alias("abs_trend"),
+        adjusted_kurtosis(F.kurtosis(x), size).alias("kurt"),
+        adjusted_skew(F.skewness(x), size).alias("skew"),
+        *(c.alias(a) for a, c in head_tail_aggs(p.head_tail).items()),
+        *(R.hann_mean_agg(w).alias(f"hann_{w}_mean") for w in p.hann),
+        *(R.rolling_mean_agg(w).alias(f"ma_{w}_mean") for w in p.mean_widths),
+        *(c.alias(a) for a, c in R.ewma_aggs(p.ewma_spans).items()),
+    )
+    return R.ewma_finish(sums, p.ewma_spans, [f"ewma_{s}_mean" for s in p.ewma_spans]).drop("n")
 
-    ``df`` has ``keys, no, x`` and segments of at most ``p.seg_len`` rows.  Rows meet
-    once, partitioned by segment and sorted by position; window totals, lags, the
-    grouped aggregate and the packed array for the spectra all use that layout.
+
+def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Features that need the rows of a segment together, in one shuffle of the signal.
+
+    Rows meet once, partitioned by segment and sorted by position; window totals, lags,
+    percentiles and the packed array for the spectra all use that layout.
     """
     o = R.ordered_rows(df, 1, keys, seg_len=p.seg_len)
-    rows = R.with_prefix_sums(o)
-    derived = R.rolling_columns(
-        o.window, p.extrema_widths, sorted({*p.std_widths, *p.extrema_widths})
+    widths = [*p.extrema_widths, *p.std_widths]
+    energy_frames = [w for pair in p.sta_lta for w in pair]
+    around = (
+        R.earlier_totals(o.window, "_s1", widths)
+        | R.earlier_totals(o.window, "_s2", widths)
+        | R.earlier_totals(o.window, "_e", energy_frames)
+        | {f"_l{k}": F.lag("x", k).over(o.window) for k in p.lags}
+        | {"_next": F.lead("x", 1).over(o.window)}
     )
-    derived |= {f"_r{i}": R.sta_lta_column(o.window, s, l) for i, (s, l) in enumerate(p.sta_lta)}
-    derived |= {f"_l{k}": F.lag("x", k).over(o.window) for k in p.lags}
-    derived["_next"] = F.lead("x", 1).over(o.window)
-    rows = R.with_ewma_weights(rows.withColumns(derived), p.ewma_spans)
-
-    x, xa, no, n = F.col("x"), F.abs("x"), F.col("no"), F.col("n")
-    size = F.count(x).cast("double")
-    first = p.mean_widths[0]
+    rows = R.with_prefix_sums(o).withColumns(around)
+    x, xa = F.col("x"), F.abs("x")
     plain: dict[str, Column] = {
-        "n": F.max("n"),
-        "abs_max": F.max(xa),
-        "abs_mean": F.avg(xa),
-        "abs_std": F.stddev_samp(xa),
-        "abs_trend": F.regr_slope(xa, no.cast("double")),
         **{f"autocorrelation_{k}": R.autocorrelation_agg(f"_l{k}", k) for k in p.lags},
-        **head_tail_aggs(p.head_tail),
         **R.change_rate_aggs(p.head_tail),
         "mad": F.avg(F.abs(x - F.col("mu"))),
-        "kurt": adjusted_kurtosis(F.kurtosis(x), size),
-        "skew": adjusted_skew(F.skewness(x), size),
-        **{f"hann_{w}_mean": R.hann_mean_agg(w) for w in p.hann},
-        **{f"sta_lta{i + 1}_mean": F.avg(f"_r{i}") for i in range(len(p.sta_lta))},
-        **{f"ma_{w}_mean": R.rolling_mean_agg(w) for w in p.mean_widths},
-        **{f"ma_{w}_std_mean": F.avg(f"_rs_{w}") for w in p.std_widths},
-        **{f"abs_max_roll_mean_{w}": F.max(F.abs(f"_rm_{w}")) for w in p.extrema_widths},
-        **{f"abs_max_roll_std_{w}": F.max(f"_rs_{w}") for w in p.extrema_widths},
-        **R.ewma_aggs(p.ewma_spans),
-        "values": packed(no, x),
+        **R.sta_lta_aggs(p.sta_lta),
+        **{f"ma_{w}_std_mean": F.avg(R.rolling_std_at(w)) for w in p.std_widths},
+        **R.extrema_aggs(p.extrema_widths),
+        "values": packed(F.col("no"), x),
     }
     quantiles = [
         (xa, {f"abs_q{q:02d}": q / 100 for q in ABS_QUANTILES}),
         (x, {**{f"q{q:02d}": q / 100 for q in SIGNED_QUANTILES}, "_p25": 0.25, "med": 0.5, "_p75": 0.75}),
     ]
     wide = summarise(rows, keys, plain, quantiles)
-    wide = R.ewma_finish(wide, p.ewma_spans, [f"ewma_{s}_mean" for s in p.ewma_spans])
-    bounds = {"iqr": F.col("_p75") - F.col("_p25")}
+    wide = wide.withColumn("iqr", F.col("_p75") - F.col("_p25")).drop("_p25", "_p75")
+    return V.with_fourier_features(wide, *p.fft_bins, p.fft_last).drop("values")
+
+
+def signal_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """All per-segment signal features of full segments (``keys, no, x``).
+
+    Two grouped passes, joined on the segment with one row each: the sums straight from
+    the scan, the order-dependent features after the only shuffle of raw rows.
+    """
+    wide = summed_features(df, p, keys).join(ordered_features(df, p, keys), list(keys))
+    centre = F.col(f"ma_{p.mean_widths[0]}_mean")
+    bounds = {}
     for w in p.std_widths[:2]:
         spread = F.col(f"ma_{w}_std_mean") * 2.0
-        bounds[f"bb_{w}_high_mean"] = F.col(f"ma_{first}_mean") + spread
-        bounds[f"bb_{w}_low_mean"] = F.col(f"ma_{first}_mean") - spread
-    wide = wide.withColumns(bounds).drop("_p25", "_p75")
-    return V.with_fourier_features(wide, *p.fft_bins, p.fft_last).drop("values", "n")
+        bounds[f"bb_{w}_high_mean"] = centre + spread
+        bounds[f"bb_{w}_low_mean"] = centre - spread
+    return wide.withColumns(bounds)
 
 
 @dataclass(frozen=True)
