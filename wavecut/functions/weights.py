@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Largest weight table that is hinted as a broadcast side (rows x columns).
 BROADCAST_CELLS = 4_000_000
@@ -69,19 +69,19 @@ def ewma_weights(span: float) -> list[float]:
     return weights[1:]
 
 
+def ewma_weight_at(span: float, position: int) -> float:
+    weights = ewma_weights(span)
+    return weights[position - 1] if position <= len(weights) else 1.0
+
+
 def ewma_weight_table(spark: SparkSession, spans: list[float]) -> DataFrame:
     """``(no, ew_0, ew_1, ...)``, sized by the largest span only, never by the data."""
     columns = [ewma_weights(s) for s in spans]
     length = max(len(c) for c in columns)
-    rows = [
-        (k + 1, *(c[k] if k < len(c) else 1.0 for c in columns))
-        for k in range(length)
-    ]
-    schema = T.StructType(
-        [T.StructField("no", T.LongType(), False)]
-        + [T.StructField(f"ew_{i}", T.DoubleType(), False) for i in range(len(spans))]
-    )
-    table = spark.createDataFrame(rows, schema)
+    table = {"no": pa.array(range(1, length + 1), pa.int64())}
+    for i, c in enumerate(columns):
+        table[f"ew_{i}"] = pa.array(c + [1.0] * (length - len(c)), pa.float64())
+    weights = spark.createDataFrame(pa.table(table))
     if length * (len(spans) + 1) <= BROADCAST_CELLS:
-        table = F.broadcast(table)
-    return table
+        weights = F.broadcast(weights)
+    return weights

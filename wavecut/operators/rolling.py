@@ -73,16 +73,26 @@ def ewma_aggs(spans: Sequence[float], value: str = X) -> dict[str, Column]:
     return out
 
 
-def ewma_finish(sums: DataFrame, spans: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """``n`` and the two sums -> the mean of the exponential moving average."""
-    table = W.ewma_weight_table(sums.sparkSession, list(spans)).withColumnRenamed("no", "_next")
-    done = sums.withColumn("_next", F.col("n") + 1).join(table, "_next", "left")
+def ewma_finish(
+    sums: DataFrame, spans: Sequence[float], names: Sequence[str], seg_len: int | None = None
+) -> DataFrame:
+    """``n`` and the two sums -> the mean of the exponential moving average.
+
+    The weight just behind the end is a constant when the length is known; otherwise
+    it is looked up by ``n + 1``.
+    """
+    if seg_len is not None:
+        done = sums
+        behind = [F.lit(W.ewma_weight_at(s, seg_len + 1)) for s in spans]
+    else:
+        table = W.ewma_weight_table(sums.sparkSession, list(spans)).withColumnRenamed("no", "_next")
+        done = sums.withColumn("_next", F.col("n") + 1).join(table, "_next", "left").drop("_next")
+        behind = [F.coalesce(f"ew_{i}", F.lit(1.0)) for i in range(len(spans))]
     means = {
-        name: (F.col(f"_ea{i}") - F.coalesce(f"ew_{i}", F.lit(1.0)) * F.col(f"_eb{i}")) / F.col("n")
-        for i, name in enumerate(names)
+        name: (F.col(f"_ea{i}") - behind[i] * F.col(f"_eb{i}")) / F.col("n") for i, name in enumerate(names)
     }
     scratch = [f"{p}{i}" for i in range(len(spans)) for p in ("_ea", "_eb", "ew_")]
-    return done.withColumns(means).drop("_next", *scratch)
+    return done.withColumns(means).drop(*scratch)
 
 
 def ewma_mean(
@@ -94,7 +104,7 @@ def ewma_mean(
     sums = rows.groupBy(*keys).agg(
         F.max("n").alias("n"), *(c.alias(a) for a, c in ewma_aggs(spans, value).items())
     )
-    return ewma_finish(sums, spans, [f"ewma_{s}_mean" for s in spans]).drop("n")
+    return ewma_finish(sums, spans, [f"ewma_{s}_mean" for s in spans], seg_len).drop("n")
 
 
 # ------------------------------------------------------------------ prefix sums

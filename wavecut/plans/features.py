@@ -43,7 +43,8 @@ def summed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS)
         *(R.rolling_mean_agg(w).alias(f"ma_{w}_mean") for w in p.mean_widths),
         *(c.alias(a) for a, c in R.ewma_aggs(p.ewma_spans).items()),
     )
-    return R.ewma_finish(sums, p.ewma_spans, [f"ewma_{s}_mean" for s in p.ewma_spans]).drop("n")
+    names = [f"ewma_{s}_mean" for s in p.ewma_spans]
+    return R.ewma_finish(sums, p.ewma_spans, names, p.seg_len).drop("n")
 
 
 def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
