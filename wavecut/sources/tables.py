@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavecut.operators.segments import consecutive_index, file_label, with_null_target
+from wavecut.operators.segments import consecutive_index, file_label, union_sets, with_null_target
 
 TRAIN_SCHEMA = T.StructType(
     [T.StructField("x", T.DoubleType(), True), T.StructField("y", T.DoubleType(), True)]
@@ -157,7 +157,7 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite", single_file:
 
 def compact(spark: SparkSession, batches: Sequence[str], path: str, partitions: int | None = None) -> None:
     """Rewrites many batch folders as one clustered table."""
-    write_signal(read_table(spark, *batches), path, partitions=partitions)
+    write_signal(union_sets(*(read_table(spark, b) for b in batches)), path, partitions=partitions)
 
 
 def append_new_segments(rows: DataFrame, path: str, done: DataFrame | None) -> None:
