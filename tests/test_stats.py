@@ -104,3 +104,36 @@ def test_errors(spark):
     assert df.agg(A.mae()).first()[0] == pytest.approx(8 / 3)
     scores = df.groupBy("fold").agg(A.mae().alias("mae"))
     assert A.fold_score_summary(scores).first()[:] == pytest.approx((3.0, 1.0))
+
+
+@pytest.mark.parametrize("max_group", [10, 60, 10_000])
+def test_percentiles_of_oversized_groups_are_exact(segment_frame, max_group):
+    rng = np.random.default_rng(2)
+    data = [
+        rng.normal(0, 1, 700), rng.integers(-3, 3, 400), rng.standard_cauchy(500) * 1e3,
+        np.r_[np.zeros(300), 1e-9, 1e9], np.full(90, 7.0), rng.normal(5, 1, 40), [1.0],
+    ]
+    df = segment_frame(*data)
+    quant = by_seg(A.abs_quantiles(df, max_group=max_group))
+    wide = by_seg(A.stats36(df, max_group=max_group))
+    whole = by_seg(A.stats36(df))
+    assert list(wide.columns) == list(whole.columns) and len(wide) == len(data)
+    for s, x in enumerate(data):
+        x = np.asarray(x, dtype=float)
+        for p in A.ABS_QUANTILES:
+            assert quant.loc[s, f"abs_q{p:02d}"] == pytest.approx(np.quantile(np.abs(x), p / 100), rel=1e-9, abs=1e-12)
+        assert wide.loc[s].to_numpy() == pytest.approx(whole.loc[s].to_numpy(), rel=1e-9, nan_ok=True)
+
+
+def test_salted_join_equals_broadcast(spark, segment_frame, monkeypatch, plan_text):
+    from wavecut.operators import quantiles as Q
+
+    df = segment_frame(*signal(200, 4))
+    table = spark.createDataFrame([(0, 1), (2, 5)], "seg long, k long")
+    pick = lambda d: sorted(tuple(r) for r in d.select("seg", "no", "k").collect())
+    small = Q.join_small(df, table, ["seg"])
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", 0)
+    spread = Q.join_small(df, table, ["seg"])
+    assert pick(small) == pick(spread) and len(pick(small)) == 400
+    assert Q.join_small(df, table, ["seg"], "left_anti").count() == 400
+    assert "_salt" in plan_text(spread) and "_salt" not in plan_text(small)

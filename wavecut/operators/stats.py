@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecut.functions.arrays import packed
+from wavecut.operators.quantiles import large_group_percentiles, split_by_size
 from wavecut.operators.segments import KEYS, segment_counts
 
 # Column names and fractions of the percentile statistics.
@@ -23,18 +24,23 @@ SIGNED_QUANTILES = (1, 5, 95, 99)
 X = "x"
 
 
+Quantiles = Sequence[tuple[Column, Mapping[str, float]]]
+
+
 def summarise(
-    df: DataFrame,
-    keys: Sequence[str],
-    plain: Mapping[str, Column],
-    quantiles: Sequence[tuple[Column, Mapping[str, float]]] = (),
+    df: DataFrame, keys: Sequence[str], plain: Mapping[str, Column], quantiles: Quantiles = (),
+    max_group: int | None = None,
 ) -> DataFrame:
     """One grouped pass: plain aggregates plus one percentile buffer per expression.
 
     All fractions of one expression share a single value->count buffer, which is
     merged map-side.  The buffer of a group holds at most one entry per distinct
-    value, so at most the segment length.
+    value, so at most the segment length.  For tables whose segments have no such
+    bound, ``max_group`` sends the percentiles of larger groups down a path that
+    never holds a group in one task.
     """
+    if max_group is not None and quantiles:
+        return _summarise_unbounded(df, list(keys), plain, quantiles, max_group)
     aggs = [c.alias(a) for a, c in plain.items()]
     aggs += [F.percentile(e, list(ps.values())).alias(f"_q{i}") for i, (e, ps) in enumerate(quantiles)]
     grouped = df.groupBy(*keys).agg(*aggs)
@@ -46,6 +52,19 @@ def summarise(
     return grouped.select(*keys, *plain, *picks)
 
 
+def _summarise_unbounded(
+    df: DataFrame, keys: list[str], plain: Mapping[str, Column], quantiles: Quantiles, max_group: int
+) -> DataFrame:
+    ordinary, large = split_by_size(df, keys, max_group)
+    out = summarise(ordinary, keys, plain, quantiles)
+    if large is None:
+        return out
+    wide = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(a) for a, c in plain.items()))
+    for value, fractions in quantiles:
+        wide = wide.join(large_group_percentiles(large, keys, value, fractions, max_group), keys, "left")
+    return out.unionByName(wide.select(*out.columns))
+
+
 def _named(prefix: str, fractions: Mapping[str, float]) -> dict[str, float]:
     return {f"{prefix}_{k}": p for k, p in fractions.items()}
 
@@ -92,26 +111,28 @@ def adjusted_moments(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X)
     return summarise(df, keys, plain)
 
 
-def stats20(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
+def stats20(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
     """Five moments and five percentiles of the signal and of its absolute value."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys,
         {**moment_aggs(x, "x"), **moment_aggs(xa, "xa")},
         [(x, _named("x", FIVE_POINT)), (xa, _named("xa", FIVE_POINT))],
+        max_group,
     )
 
 
-def stats14(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
+def stats14(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
     """Mean and outer percentiles."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys, {"x_avg": F.avg(x)},
         [(x, _named("x", TAILS)), (xa, _named("xa", ABS_TAILS))],
+        max_group,
     )
 
 
-def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
+def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
     """All of the above with minima and the range."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
@@ -125,10 +146,11 @@ def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFr
             (x, {**_named("x", FIVE_POINT), **_named("x", TAILS)}),
             (xa, {**_named("xa", FIVE_POINT), **_named("xa", ABS_TAILS)}),
         ],
+        max_group,
     )
 
 
-def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
+def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys, {},
@@ -136,11 +158,12 @@ def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) ->
             (xa, {f"abs_q{p:02d}": p / 100 for p in ABS_QUANTILES}),
             (x, {f"q{p:02d}": p / 100 for p in SIGNED_QUANTILES}),
         ],
+        max_group,
     )
 
 
-def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
-    q = summarise(df, keys, {}, [(F.col(value), {"p25": 0.25, "med": 0.5, "p75": 0.75})])
+def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
+    q = summarise(df, keys, {}, [(F.col(value), {"p25": 0.25, "med": 0.5, "p75": 0.75})], max_group)
     return q.select(*keys, (F.col("p75") - F.col("p25")).alias("iqr"), "med")
 
 
