@@ -29,18 +29,24 @@ Quantiles = Sequence[tuple[Column, Mapping[str, float]]]
 
 def summarise(
     df: DataFrame, keys: Sequence[str], plain: Mapping[str, Column], quantiles: Quantiles = (),
-    max_group: int | None = None,
+    max_group: int | None = None, two_passes: bool = False,
 ) -> DataFrame:
-    """One grouped pass: plain aggregates plus one percentile buffer per expression.
+    """Plain aggregates plus one percentile buffer per expression, per group.
 
     All fractions of one expression share a single value->count buffer, which is
     merged map-side.  The buffer of a group holds at most one entry per distinct
     value, so at most the segment length.  For tables whose segments have no such
     bound, ``max_group`` sends the percentiles of larger groups down a path that
     never holds a group in one task.
+
+    Percentiles take an aggregate out of generated code.  ``two_passes`` keeps costly
+    plain aggregates (third and fourth moments) in it: they are grouped in a scan of
+    their own and joined back, one row per group.
     """
     if max_group is not None and quantiles:
         return _summarise_unbounded(df, list(keys), plain, quantiles, max_group)
+    if two_passes and plain and quantiles:
+        return summarise(df, keys, plain).join(summarise(df, keys, {}, quantiles), list(keys))
     aggs = [c.alias(a) for a, c in plain.items()]
     aggs += [F.percentile(e, list(ps.values())).alias(f"_q{i}") for i, (e, ps) in enumerate(quantiles)]
     grouped = df.groupBy(*keys).agg(*aggs)
@@ -56,7 +62,7 @@ def _summarise_unbounded(
     df: DataFrame, keys: list[str], plain: Mapping[str, Column], quantiles: Quantiles, max_group: int
 ) -> DataFrame:
     ordinary, large = split_by_size(df, keys, max_group)
-    out = summarise(ordinary, keys, plain, quantiles)
+    out = summarise(ordinary, keys, plain, quantiles, two_passes=True)
     if large is None:
         return out
     wide = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(a) for a, c in plain.items()))
@@ -119,6 +125,7 @@ def stats20(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group
         {**moment_aggs(x, "x"), **moment_aggs(xa, "xa")},
         [(x, _named("x", FIVE_POINT)), (xa, _named("xa", FIVE_POINT))],
         max_group,
+        two_passes=True,
     )
 
 
@@ -147,6 +154,7 @@ def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group
             (xa, {**_named("xa", FIVE_POINT), **_named("xa", ABS_TAILS)}),
         ],
         max_group,
+        two_passes=True,
     )
 
 
@@ -293,6 +301,7 @@ def two_level_stats(df: DataFrame, bucket: int = 1000, keys: Sequence[str] = KEY
             "x_kurt": F.kurtosis(x), "x_max": F.max(x), "x_min": F.min(x),
         },
         [(x, _named("x", TAILS)), (xa, _named("xa", ABS_TAILS))],
+        two_passes=True,
     )
     return base.join(two_level_percentiles(df, bucket, keys, value), list(keys))
 

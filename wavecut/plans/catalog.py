@@ -168,7 +168,7 @@ def trend_slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def head_tail_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.head_tail_stats(event_signal(spark, d), SMALL.head_tail))
+    return rounded(A.head_tail_stats(full_segments(spark, d), SMALL.head_tail, seg_len=L))
 
 
 def bucket_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -318,13 +318,12 @@ def feature_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feature_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Features of the signal and of its bucket means, each with the target column."""
+    """Features of the signal with their target, and of its bucket means."""
     sig = full_segments(spark, d)
-    summary = [F.avg("v").alias("avg"), F.max("v").alias("max"), F.min("v").alias("min")]
-    target = S.last_values(sig).select("seg", F.col("y").alias("target"))
-    smooth = A.bucket_stats(sig, SMALL.bucket).select("seg", F.col("x_avg").alias("v"))
-    raw = sig.select("seg", F.col("x").alias("v"))
-    return tuple(t.groupBy("seg").agg(*summary).join(target, "seg") for t in (raw, smooth))
+    summary = lambda v: (F.avg(v).alias("avg"), F.max(v).alias("max"), F.min(v).alias("min"))
+    plain = sig.groupBy("seg").agg(*summary("x"), F.max_by("y", "no").alias("target"))
+    smooth = A.bucket_stats(sig, SMALL.bucket).groupBy("seg").agg(*summary("x_avg"))
+    return plain, smooth
 
 
 def suffix_join(spark: SparkSession, d: str) -> DataFrame:
