@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecut.functions.arrays import packed
 from wavecut.operators import rolling as R
 from wavecut.operators import spectral as V
 from wavecut.operators.segments import KEYS
@@ -18,6 +17,7 @@ from wavecut.operators.stats import (
     adjusted_kurtosis,
     adjusted_skew,
     head_tail_aggs,
+    pack_segments,
     summarise,
 )
 from wavecut.plans.signal import FULL, Params
@@ -47,12 +47,19 @@ def summed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS)
     return R.ewma_finish(sums, p.ewma_spans, names, p.seg_len).drop("n")
 
 
-def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Features that need the rows of a segment together, in one shuffle of the signal.
+def quantile_features(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Quantiles of the signal and its absolute value; value counts combine map-side."""
+    x, xa = F.col("x"), F.abs("x")
+    quantiles = [
+        (xa, {f"abs_q{q:02d}": q / 100 for q in ABS_QUANTILES}),
+        (x, {**{f"q{q:02d}": q / 100 for q in SIGNED_QUANTILES}, "_p25": 0.25, "med": 0.5, "_p75": 0.75}),
+    ]
+    wide = summarise(df, keys, {}, quantiles)
+    return wide.withColumn("iqr", F.col("_p75") - F.col("_p25")).drop("_p25", "_p75")
 
-    Rows meet once, partitioned by segment and sorted by position; window totals, lags,
-    percentiles and the packed array for the spectra all use that layout.
-    """
+
+def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Features that look at earlier or later rows: one shuffle and one sort of the signal."""
     o = R.ordered_rows(df, 1, keys, seg_len=p.seg_len)
     widths = [*p.extrema_widths, *p.std_widths]
     energy_frames = [w for pair in p.sta_lta for w in pair]
@@ -64,32 +71,37 @@ def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS
         | {"_next": F.lead("x", 1).over(o.window)}
     )
     rows = R.with_prefix_sums(o).withColumns(around)
-    x, xa = F.col("x"), F.abs("x")
-    plain: dict[str, Column] = {
+    aggs: dict[str, Column] = {
         **{f"autocorrelation_{k}": R.autocorrelation_agg(f"_l{k}", k) for k in p.lags},
         **R.change_rate_aggs(p.head_tail),
-        "mad": F.avg(F.abs(x - F.col("mu"))),
+        "mad": F.avg(F.abs(F.col("x") - F.col("mu"))),
         **R.sta_lta_aggs(p.sta_lta),
         **{f"ma_{w}_std_mean": F.avg(R.rolling_std_at(w)) for w in p.std_widths},
         **R.extrema_aggs(p.extrema_widths),
-        "values": packed(F.col("no"), x),
     }
-    quantiles = [
-        (xa, {f"abs_q{q:02d}": q / 100 for q in ABS_QUANTILES}),
-        (x, {**{f"q{q:02d}": q / 100 for q in SIGNED_QUANTILES}, "_p25": 0.25, "med": 0.5, "_p75": 0.75}),
-    ]
-    wide = summarise(rows, keys, plain, quantiles)
-    wide = wide.withColumn("iqr", F.col("_p75") - F.col("_p25")).drop("_p25", "_p75")
-    return V.with_fourier_features(wide, *p.fft_bins, p.fft_last).drop("values")
+    return summarise(rows, keys, aggs)
+
+
+def fourier_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Magnitude statistics and envelope mean of the packed segment (``p.seg_len`` rows at most)."""
+    packed = pack_segments(df, keys)
+    return V.with_fourier_features(packed, *p.fft_bins, p.fft_last).drop("values")
 
 
 def signal_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
     """All per-segment signal features of full segments (``keys, no, x``).
 
-    Two grouped passes, joined on the segment with one row each: the sums straight from
-    the scan, the order-dependent features after the only shuffle of raw rows.
+    Four grouped passes, joined on the segment with one row each.  Sums and quantiles
+    come straight from the scan and combine map-side.  The order-dependent passes start
+    from one shared exchange by segment, so raw rows are shuffled once.
     """
-    wide = summed_features(df, p, keys).join(ordered_features(df, p, keys), list(keys))
+    by_segment = df.select(*keys, "no", "x").repartition(*keys)
+    wide = (
+        summed_features(df, p, keys)
+        .join(quantile_features(df, keys), list(keys))
+        .join(ordered_features(by_segment, p, keys), list(keys))
+        .join(fourier_features(by_segment, p, keys), list(keys))
+    )
     centre = F.col(f"ma_{p.mean_widths[0]}_mean")
     bounds = {}
     for w in p.std_widths[:2]:
