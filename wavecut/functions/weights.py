@@ -12,37 +12,39 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest weight table that is hinted as a broadcast side (rows x columns).
 BROADCAST_CELLS = 4_000_000
 
 
-def moving_mean_weight(no: Column, n: Column, width: int) -> Column:
-    """Number of complete frames of ``width`` rows that contain row ``no``."""
-    w = F.lit(width)
-    return F.least(no, n - no + 1, w, n - w + 1)
+def number(v: float) -> str:
+    """A double literal for SQL text (a bare ``0.5`` would be a decimal)."""
+    return f"{float(v)!r}D"
 
 
-def _hann_cumulative(m: Column, width: int) -> Column:
-    """Sum of the taps ``0..m`` of a symmetric Hann window (0 for m < 0)."""
-    theta = 2.0 * math.pi / (width - 1)
-    cosines = F.sin((m + 1) * (theta / 2)) * F.cos(m * (theta / 2)) / math.sin(theta / 2)
-    return F.when(m < 0, F.lit(0.0)).otherwise((m + 1) * 0.5 - cosines * 0.5)
+def moving_mean_weight(width: int, no: str = "no", n: str = "n") -> str:
+    """SQL text: number of complete frames of ``width`` rows that contain row ``no``."""
+    return f"least({no}, {n} - {no} + 1, {width}, {n} - {width} + 1)"
 
 
-def hann_weight(no: Column, n: Column, width: int) -> Column:
-    """Share of the Hann taps that row ``no`` contributes to a same-size convolution."""
+def _hann_cumulative(m: str, width: int) -> str:
+    """SQL text: sum of the taps ``0..m`` of a symmetric Hann window (0 for m < 0)."""
+    half_angle = math.pi / (width - 1)
+    cosines = f"sin(({m} + 1) * {number(half_angle)}) * cos({m} * {number(half_angle)}) * {number(0.5 / math.sin(half_angle))}"
+    return f"CASE WHEN {m} < 0 THEN 0D ELSE ({m} + 1) * 0.5D - {cosines} END"
+
+
+def hann_weight(width: int, no: str = "no", n: str = "n") -> str:
+    """SQL text: share of the Hann taps that row ``no`` adds to a same-size convolution."""
     if width < 3:
         raise ValueError("a Hann window needs a width of at least 3")
     start = (width - 1) // 2
-    j = no - 1
-    first = F.greatest(F.lit(0), F.lit(start) - j)
-    last = F.least(F.lit(width - 1), F.lit(start - 1) + n - j)
-    total = (width - 1) / 2.0
-    inside = _hann_cumulative(last, width) - _hann_cumulative(first - 1, width)
-    return F.when(last >= first, inside / total).otherwise(F.lit(0.0))
+    first = f"greatest(0, {start + 1} - {no})"
+    last = f"least({width - 1}, {start} + {n} - {no})"
+    inside = f"({_hann_cumulative(last, width)}) - ({_hann_cumulative(f'({first} - 1)', width)})"
+    return f"CASE WHEN {last} >= {first} THEN ({inside}) / {number((width - 1) / 2)} ELSE 0D END"
 
 
 def ewma_decay(span: float) -> float:

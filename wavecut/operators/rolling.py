@@ -28,10 +28,8 @@ CHUNK_ROWS = 1 << 20
 # ---------------------------------------------------------------- weighted sums
 def rolling_mean_agg(width: int, value: str = X) -> Column:
     """Mean of the complete rolling means; NULL when the segment is shorter than the frame."""
-    no, n = F.col("no"), F.col("n")
-    frames = F.max(n) - width + 1
-    total = F.sum(F.col(value) * W.moving_mean_weight(no, n, width))
-    return F.when(frames > 0, total / (frames * width))
+    total = f"sum({value} * {W.moving_mean_weight(width)})"
+    return F.expr(f"CASE WHEN max(n) >= {width} THEN {total} / ((max(n) - {width} + 1) * {width}) END")
 
 
 def rolling_mean(
@@ -43,7 +41,7 @@ def rolling_mean(
 
 
 def hann_mean_agg(width: int, value: str = X) -> Column:
-    return F.sum(F.col(value) * W.hann_weight(F.col("no"), F.col("n"), width)) / F.max("n")
+    return F.expr(f"sum({value} * {W.hann_weight(width)}) / max(n)")
 
 
 def hann_mean(
@@ -66,10 +64,10 @@ def ewma_aggs(spans: Sequence[float], value: str = X) -> dict[str, Column]:
     """Two sums per span: with endless-segment weights, and with the weight of the
     part that lies behind the segment's end."""
     out: dict[str, Column] = {}
-    behind = (F.col("n") + 1 - F.col("no")).cast("double")
     for i, span in enumerate(spans):
-        out[f"_ea{i}"] = F.sum(F.col(value) * F.col(f"ew_{i}"))
-        out[f"_eb{i}"] = F.sum(F.col(value) * F.pow(F.lit(W.ewma_decay(span)), behind))
+        decay = W.number(W.ewma_decay(span))
+        out[f"_ea{i}"] = F.expr(f"sum({value} * ew_{i})")
+        out[f"_eb{i}"] = F.expr(f"sum({value} * power({decay}, n + 1 - no))")
     return out
 
 
@@ -186,18 +184,21 @@ def earlier_totals(window: WindowSpec, total: str, widths: Sequence[int]) -> dic
     return {f"{total}_{w}": F.lag(total, w, 0.0).over(window) for w in sorted(set(widths))}
 
 
-def rolling_mean_at(w: int) -> Column:
-    """Mean of the last ``w`` rows, NULL on incomplete frames."""
-    return F.when(F.col("no") >= w, F.col("mu") + (F.col("_s1") - F.col(f"_s1_{w}")) / w)
+def rolling_mean_at(w: int) -> str:
+    """SQL text: mean of the last ``w`` rows, NULL on incomplete frames."""
+    return f"CASE WHEN no >= {w} THEN mu + (_s1 - _s1_{w}) / {w} END"
 
 
-def rolling_std_at(w: int) -> Column:
-    """Sample deviation of the last ``w`` rows, NULL on incomplete frames."""
+def rolling_std_at(w: int) -> str:
+    """SQL text: sample deviation of the last ``w`` rows, NULL on incomplete frames."""
     if w < 2:
         raise ValueError("a rolling deviation needs a width of at least 2")
-    d1 = F.col("_s1") - F.col(f"_s1_{w}")
-    d2 = F.col("_s2") - F.col(f"_s2_{w}")
-    return F.when(F.col("no") >= w, F.sqrt(F.greatest(F.lit(0.0), d2 - d1 * d1 / w) / (w - 1)))
+    squares = f"(_s2 - _s2_{w}) - (_s1 - _s1_{w}) * (_s1 - _s1_{w}) / {w}"
+    return f"CASE WHEN no >= {w} THEN sqrt(greatest(0D, {squares}) / {w - 1}) END"
+
+
+def rolling_std_agg(w: int) -> Column:
+    return F.expr(f"avg({rolling_std_at(w)})")
 
 
 def _rolled(
@@ -216,7 +217,7 @@ def rolling_std(
 ) -> DataFrame:
     """Mean of the complete rolling deviations."""
     rolled = _rolled(df, (), widths, keys, value, seg_len, chunk_rows)
-    return rolled.groupBy(*keys).agg(*(F.avg(rolling_std_at(w)).alias(f"ma_{w}_std_mean") for w in widths))
+    return rolled.groupBy(*keys).agg(*(rolling_std_agg(w).alias(f"ma_{w}_std_mean") for w in widths))
 
 
 def bollinger(
@@ -226,10 +227,10 @@ def bollinger(
 ) -> DataFrame:
     """Mean upper and lower bounds: one mean width, several deviation widths."""
     rolled = _rolled(df, (mean_width,), std_widths, keys, value, seg_len, chunk_rows)
-    centre = F.avg(rolling_mean_at(mean_width))
+    centre = F.expr(f"avg({rolling_mean_at(mean_width)})")
     out = []
     for w in std_widths:
-        spread = F.avg(rolling_std_at(w)) * deviations
+        spread = rolling_std_agg(w) * deviations
         out += [(centre + spread).alias(f"bb_{w}_high_mean"), (centre - spread).alias(f"bb_{w}_low_mean")]
     return rolled.groupBy(*keys).agg(*out)
 
@@ -238,8 +239,8 @@ def extrema_aggs(widths: Sequence[int]) -> dict[str, Column]:
     """Largest absolute rolling mean and largest rolling deviation per width."""
     out: dict[str, Column] = {}
     for w in widths:
-        out[f"abs_max_roll_mean_{w}"] = F.max(F.abs(rolling_mean_at(w)))
-        out[f"abs_max_roll_std_{w}"] = F.max(rolling_std_at(w))
+        out[f"abs_max_roll_mean_{w}"] = F.expr(f"max(abs({rolling_mean_at(w)}))")
+        out[f"abs_max_roll_std_{w}"] = F.expr(f"max({rolling_std_at(w)})")
     return out
 
 
@@ -255,17 +256,16 @@ def roll_extrema(
 STA_LTA_PAIRS = ((500, 10000), (5000, 100000), (3333, 6666), (10000, 25000))
 
 
-def sta_lta_at(sta: int, lta: int) -> Column:
-    """Short-term over long-term mean energy, 0 until the long frame is complete."""
+def sta_lta_at(sta: int, lta: int) -> str:
+    """SQL text: short-term over long-term mean energy, 0 until the long frame is complete."""
     if not 0 < sta < lta:
         raise ValueError("sta must be positive and shorter than lta")
-    short = (F.col("_e") - F.col(f"_e_{sta}")) / sta
-    long = F.greatest((F.col("_e") - F.col(f"_e_{lta}")) / lta, F.lit(TINY))
-    return F.when(F.col("no") >= lta, short / long).otherwise(F.lit(0.0))
+    long = f"greatest((_e - _e_{lta}) / {lta}, {W.number(TINY)})"
+    return f"CASE WHEN no >= {lta} THEN (_e - _e_{sta}) / {sta} / {long} ELSE 0D END"
 
 
 def sta_lta_aggs(pairs: Sequence[tuple[int, int]]) -> dict[str, Column]:
-    return {f"sta_lta{i}_mean": F.avg(sta_lta_at(s, l)) for i, (s, l) in enumerate(pairs, start=1)}
+    return {f"sta_lta{i}_mean": F.expr(f"avg({sta_lta_at(s, l)})") for i, (s, l) in enumerate(pairs, start=1)}
 
 
 def sta_lta(
@@ -283,11 +283,11 @@ def sta_lta(
 # ------------------------------------------------------------------------- lags
 def autocorrelation_agg(lagged: str, k: int) -> Column:
     """Lagged product sum over ``(n - k) * variance``; NULL for a constant or short segment."""
-    c = F.col("x") - F.col("mu")
-    n = F.max("n")
-    products = F.sum(c * (F.col(lagged) - F.col("mu")))
-    variance = F.avg(c * c)
-    return F.when((n > k) & (variance > 1e-8), products / ((n - k) * variance))
+    variance = "avg((x - mu) * (x - mu))"
+    products = f"sum((x - mu) * ({lagged} - mu))"
+    return F.expr(
+        f"CASE WHEN max(n) > {k} AND {variance} > 1e-8D THEN {products} / ((max(n) - {k}) * {variance}) END"
+    )
 
 
 def autocorrelation(
@@ -305,17 +305,20 @@ def change_rate_aggs(sizes: Sequence[int], following: str = "_next") -> dict[str
     """Over the first and last rows: mean 0-based position of the non-zero change
     rates (undefined rates count as non-zero), and the mean rate itself where the
     divisor is not zero."""
-    x, nxt, no, n = F.col("x"), F.col(following), F.col("no"), F.col("n")
-    nonzero = ~((nxt == x) & (x != 0))
-    rate = F.when(x != 0, (nxt - x) / x)
+    nonzero = f"NOT ({following} = x AND x <> 0)"
     out: dict[str, Column] = {}
     for size in sizes:
-        head = no < F.least(F.lit(size), n)
-        start = F.greatest(n - size, F.lit(0))
-        tail = (no > start) & (no < n)
-        for where, inside, shift in (("first", head, F.lit(0)), ("last", tail, start)):
-            out[f"nonzero_rate_pos_mean_{where}_{size}"] = F.avg(F.when(inside & nonzero, no - 1 - shift))
-            out[f"mean_rate_{where}_{size}"] = F.avg(F.when(inside, rate))
+        parts = {
+            "first": (f"no < least({size}, n)", "0"),
+            "last": (f"no > greatest(n - {size}, 0) AND no < n", f"greatest(n - {size}, 0)"),
+        }
+        for where, (inside, start) in parts.items():
+            out[f"nonzero_rate_pos_mean_{where}_{size}"] = F.expr(
+                f"avg(CASE WHEN {inside} AND {nonzero} THEN no - 1 - {start} END)"
+            )
+            out[f"mean_rate_{where}_{size}"] = F.expr(
+                f"avg(CASE WHEN {inside} AND x <> 0 THEN ({following} - x) / x END)"
+            )
     return out
 
 

@@ -50,12 +50,8 @@ def summarise(
     aggs = [c.alias(a) for a, c in plain.items()]
     aggs += [F.percentile(e, list(ps.values())).alias(f"_q{i}") for i, (e, ps) in enumerate(quantiles)]
     grouped = df.groupBy(*keys).agg(*aggs)
-    picks = [
-        F.col(f"_q{i}")[j].alias(name)
-        for i, (_, ps) in enumerate(quantiles)
-        for j, name in enumerate(ps)
-    ]
-    return grouped.select(*keys, *plain, *picks)
+    picks = [f"_q{i}[{j}] AS {name}" for i, (_, ps) in enumerate(quantiles) for j, name in enumerate(ps)]
+    return grouped.selectExpr(*keys, *plain, *picks)
 
 
 def _summarise_unbounded(
@@ -203,18 +199,13 @@ def with_segment_length(df: DataFrame, keys: Sequence[str] = KEYS, seg_len: int
     return df.join(segment_counts(df, keys), list(keys))
 
 
-def head_tail_aggs(
-    sizes: Sequence[int], value: str = X, no: Column | None = None, n: Column | None = None
-) -> dict[str, Column]:
+def head_tail_aggs(sizes: Sequence[int], value: str = X) -> dict[str, Column]:
     """std / avg / min / max of the first and last rows, as conditional aggregates."""
-    x = F.col(value)
-    no = F.col("no") if no is None else no
-    n = F.col("n") if n is None else n
     out: dict[str, Column] = {}
-    for stat, agg in (("std", F.stddev_samp), ("avg", F.avg), ("min", F.min), ("max", F.max)):
+    for stat, agg in (("std", "stddev_samp"), ("avg", "avg"), ("min", "min"), ("max", "max")):
         for size in sizes:
-            out[f"{stat}_first_{size}"] = agg(F.when(no <= size, x))
-            out[f"{stat}_last_{size}"] = agg(F.when(no > n - size, x))
+            out[f"{stat}_first_{size}"] = F.expr(f"{agg}(CASE WHEN no <= {size} THEN {value} END)")
+            out[f"{stat}_last_{size}"] = F.expr(f"{agg}(CASE WHEN no > n - {size} THEN {value} END)")
     return out
 
 
@@ -269,17 +260,15 @@ def two_level_percentiles(
     """
     x = F.col(value)
     rows = df.withColumn("seq", bucket_number(F.col("no"), bucket, aligned))
-    names = {**{f"xp{k[1:]}": p for k, p in TAILS.items()}}
+    names = {f"xp{k[1:]}": p for k, p in TAILS.items()}
     abs_names = {f"xap{k[1:]}": p for k, p in ABS_TAILS.items()}
     inner = summarise(rows, [*keys, "seq"], {}, [(x, names), (F.abs(x), abs_names)])
-    outer: dict[str, Column] = {}
-    for name in (*names, *abs_names):
-        v = F.col(name)
-        outer |= {
-            f"{name}_avg": F.avg(v), f"{name}_std": F.stddev_samp(v),
-            f"{name}_skew": F.skewness(v), f"{name}_kurt": F.kurtosis(v),
-            f"{name}_max": F.max(v), f"{name}_min": F.min(v),
-        }
+    spread = {"avg": "avg", "std": "stddev_samp", "skew": "skewness", "kurt": "kurtosis", "max": "max", "min": "min"}
+    outer = {
+        f"{name}_{short}": F.expr(f"{function}({name})")
+        for name in (*names, *abs_names)
+        for short, function in spread.items()
+    }
     return std_max_mean(summarise(inner, keys, outer), [f"{n}_std" for n in abs_names])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecut.operators import apply as U
@@ -38,12 +38,8 @@ SHORT = 300  # segment length of the queries that must meet a partial tail segme
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded, small integers widened to ``bigint``."""
-    shape = {"double": lambda c: F.round(c, digits), "int": lambda c: c.cast("bigint")}
-    return df.select(*(shape.get(t, lambda c: c)(F.col(c)).alias(c) for c, t in df.dtypes))
-
-
-def with_set(df: DataFrame, cut: Column) -> DataFrame:
-    return df.withColumn("set", F.when(F.col("seg") < cut, 0).otherwise(1))
+    shape = {"double": "round(`{0}`, %d)" % digits, "int": "CAST(`{0}` AS bigint)"}
+    return df.selectExpr(*(f"{shape.get(t, '`{0}`')} AS `{{0}}`".format(c) for c, t in df.dtypes))
 
 
 # ------------------------------------------------------------- segmentation
@@ -410,7 +406,7 @@ def _learning_table(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 
 
 def _cut(spark: SparkSession, d: str, seg_len: int) -> int:
-    return row_count(spark, d).first()["n"] // seg_len * 3 // 4
+    return row_count(events(spark, d)).first()["n"] // seg_len * 3 // 4
 
 
 def forest_predict(spark: SparkSession, d: str) -> DataFrame:

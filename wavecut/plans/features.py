@@ -76,7 +76,7 @@ def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS
         **R.change_rate_aggs(p.head_tail),
         "mad": F.avg(F.abs(F.col("x") - F.col("mu"))),
         **R.sta_lta_aggs(p.sta_lta),
-        **{f"ma_{w}_std_mean": F.avg(R.rolling_std_at(w)) for w in p.std_widths},
+        **{f"ma_{w}_std_mean": R.rolling_std_agg(w) for w in p.std_widths},
         **R.extrema_aggs(p.extrema_widths),
     }
     return summarise(rows, keys, aggs)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecut.operators.segments import segment_label, with_segments
+from wavecut.operators.segments import drop_partial_tail, segment_label, with_segments
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,11 @@ def event_signal(spark: SparkSession, sf_dir: str, seg_len: int = SMALL.seg_len)
     ``event_id`` is a gap-free order, so numbering needs no shuffle and a segment
     holds at most ``seg_len`` rows.
     """
-    rows = events(spark, sf_dir).select(
+    return as_signal(events(spark, sf_dir), seg_len)
+
+
+def as_signal(table: DataFrame, seg_len: int) -> DataFrame:
+    rows = table.select(
         F.col("event_id").alias("uid"),
         (F.col("event_id") + 1).alias("idx"),
         (F.col("value") - 50.0).alias("x"),
@@ -91,20 +95,20 @@ def event_signal(spark: SparkSession, sf_dir: str, seg_len: int = SMALL.seg_len)
     return with_segments(rows, seg_len)
 
 
-def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+def row_count(table: DataFrame) -> DataFrame:
     """One-row count, answered from the Parquet footers."""
-    return events(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return table.agg(F.count(F.lit(1)).alias("n"))
 
 
 def full_segments(spark: SparkSession, sf_dir: str, seg_len: int = SMALL.seg_len) -> DataFrame:
     """The signal without its partial last segment."""
-    total = row_count(spark, sf_dir).scalar()
-    return event_signal(spark, sf_dir, seg_len).where(F.col("seg") < F.floor(total / seg_len))
+    table = events(spark, sf_dir)
+    return drop_partial_tail(as_signal(table, seg_len), seg_len, row_count(table))
 
 
 def train_cut(spark: SparkSession, sf_dir: str, seg_len: int = SMALL.seg_len) -> Column:
     """Number of training segments: the first three quarters of the full ones."""
-    total = row_count(spark, sf_dir).scalar()
+    total = row_count(events(spark, sf_dir)).scalar()
     return F.floor(F.floor(total / seg_len) * 0.75)
 
 
