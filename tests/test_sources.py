@@ -79,8 +79,16 @@ def test_parquet_table_is_clustered_and_filters_reach_the_scan(spark, scratch, s
 def test_bucketed_table_needs_no_exchange(spark, scratch, segment_frame, plan_text):
     df = segment_frame(*[list(range(50))] * 6)
     table = tables.write_bucketed(df, "signal_buckets", 4, path=f"{scratch}/b")
-    for query in (A.stats20(table), R.roll_extrema(table, (2, 5), seg_len=50), A.pack_segments(table)):
+    for query in (A.stats14(table), R.roll_extrema(table, (2, 5), seg_len=50), A.pack_segments(table)):
         assert "Exchange" not in plan_text(query)
+    # two passes joined on the segment: no shuffle either, also where the join is not a broadcast
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_text(A.stats20(table))
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert A.segment_counts(table).where("n = 50").count() == 6
 
 
@@ -137,3 +145,11 @@ def test_streamed_statistics_equal_batch(spark, scratch):
     a, b = (df.toPandas().set_index("name").sort_index() for df in (streamed, batch))
     assert list(a.index) == list(b.index)
     assert (a[b.columns] - b).abs().max().max() == pytest.approx(0)
+
+
+def test_a_repeated_run_overwrites_only_its_own_tables(spark):
+    one, two = (storage.run_folder(spark, r) for r in ("run-a", "run-b"))
+    for _ in range(2):
+        for folder in (one, two):
+            spark.range(4).write.mode("overwrite").parquet(f"{folder}/t")
+    assert spark.read.parquet(f"{one}/t").count() == spark.read.parquet(f"{two}/t").count() == 4

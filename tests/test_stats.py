@@ -138,3 +138,10 @@ def test_salted_join_equals_broadcast(spark, segment_frame, monkeypatch, plan_te
     assert pick(small) == pick(spread) and len(pick(small)) == 400
     assert Q.join_small(df, table, ["seg"], "left_anti").count() == 400
     assert "_salt" in plan_text(spread) and "_salt" not in plan_text(small)
+
+
+def test_approximate_percentiles(segment_frame):
+    x = signal(2000, 1)[0]
+    got = by_seg(A.stats36(segment_frame(x), accuracy=10_000)).loc[0]
+    assert got.x_p95 == pytest.approx(np.quantile(x, 0.95), abs=0.5)
+    assert got.x_std == pytest.approx(x.std(ddof=1))

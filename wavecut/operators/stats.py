@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ Quantiles = Sequence[tuple[Column, Mapping[str, float]]]
 
 def summarise(
     df: DataFrame, keys: Sequence[str], plain: Mapping[str, Column], quantiles: Quantiles = (),
-    max_group: int | None = None, two_passes: bool = False,
+    max_group: int | None = None, two_passes: bool = False, accuracy: int | None = None,
 ) -> DataFrame:
     """Plain aggregates plus one percentile buffer per expression, per group.
 
@@ -42,13 +43,19 @@ def summarise(
     Percentiles take an aggregate out of generated code.  ``two_passes`` keeps costly
     plain aggregates (third and fourth moments) in it: they are grouped in a scan of
     their own and joined back, one row per group.
+
+    ``accuracy`` asks for ``percentile_approx`` instead: not interpolated, in memory of
+    a fixed size whatever the number of distinct values.
     """
+    if accuracy is not None:
+        max_group = None
     if max_group is not None and quantiles:
         return _summarise_unbounded(df, list(keys), plain, quantiles, max_group)
     if two_passes and plain and quantiles:
-        return summarise(df, keys, plain).join(summarise(df, keys, {}, quantiles), list(keys))
+        return summarise(df, keys, plain).join(summarise(df, keys, {}, quantiles, accuracy=accuracy), list(keys))
+    percentile = F.percentile if accuracy is None else partial(F.percentile_approx, accuracy=accuracy)
     aggs = [c.alias(a) for a, c in plain.items()]
-    aggs += [F.percentile(e, list(ps.values())).alias(f"_q{i}") for i, (e, ps) in enumerate(quantiles)]
+    aggs += [percentile(e, list(ps.values())).alias(f"_q{i}") for i, (e, ps) in enumerate(quantiles)]
     grouped = df.groupBy(*keys).agg(*aggs)
     picks = [f"_q{i}[{j}] AS {name}" for i, (_, ps) in enumerate(quantiles) for j, name in enumerate(ps)]
     return grouped.selectExpr(*keys, *plain, *picks)
@@ -113,29 +120,30 @@ def adjusted_moments(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X)
     return summarise(df, keys, plain)
 
 
-def stats20(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
+# The percentile statistics below pass ``max_group`` and ``accuracy`` on to ``summarise``.
+def stats20(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how) -> DataFrame:
     """Five moments and five percentiles of the signal and of its absolute value."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys,
         {**moment_aggs(x, "x"), **moment_aggs(xa, "xa")},
         [(x, _named("x", FIVE_POINT)), (xa, _named("xa", FIVE_POINT))],
-        max_group,
         two_passes=True,
+        **how,
     )
 
 
-def stats14(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
+def stats14(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how) -> DataFrame:
     """Mean and outer percentiles."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys, {"x_avg": F.avg(x)},
         [(x, _named("x", TAILS)), (xa, _named("xa", ABS_TAILS))],
-        max_group,
+        **how,
     )
 
 
-def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
+def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how) -> DataFrame:
     """All of the above with minima and the range."""
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
@@ -149,12 +157,12 @@ def stats36(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group
             (x, {**_named("x", FIVE_POINT), **_named("x", TAILS)}),
             (xa, {**_named("xa", FIVE_POINT), **_named("xa", ABS_TAILS)}),
         ],
-        max_group,
         two_passes=True,
+        **how,
     )
 
 
-def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
+def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how) -> DataFrame:
     x, xa = F.col(value), F.abs(F.col(value))
     return summarise(
         df, keys, {},
@@ -162,12 +170,12 @@ def abs_quantiles(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max
             (xa, {f"abs_q{p:02d}": p / 100 for p in ABS_QUANTILES}),
             (x, {f"q{p:02d}": p / 100 for p in SIGNED_QUANTILES}),
         ],
-        max_group,
+        **how,
     )
 
 
-def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_group: int | None = None) -> DataFrame:
-    q = summarise(df, keys, {}, [(F.col(value), {"p25": 0.25, "med": 0.5, "p75": 0.75})], max_group)
+def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how) -> DataFrame:
+    q = summarise(df, keys, {}, [(F.col(value), {"p25": 0.25, "med": 0.5, "p75": 0.75})], **how)
     return q.select(*keys, (F.col("p75") - F.col("p25")).alias("iqr"), "med")
 
 

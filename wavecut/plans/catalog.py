@@ -28,7 +28,7 @@ from wavecut.plans.signal import (
     row_count,
     train_cut,
 )
-from wavecut.sources.storage import shared_folder
+from wavecut.sources.storage import run_folder
 from wavecut.streaming import ingest as T
 
 DIGITS = 6
@@ -199,6 +199,16 @@ def pack_bucket_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("seg", "pos", *(F.col("r")[f"stx{i}"].alias(f"stx{i}") for i in range(1, 5))))
 
 
+def scaled_bucket_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The four bucket-statistic arrays scaled to unit variance, all in one fit."""
+    packed = M.prepared(A.pack_bucket_stats(A.bucket_stats(full_segments(spark, d), SMALL.bucket)))
+    columns = [f"stx{i}" for i in range(1, 5)]
+    scaler = V.fit_unit_scaler(packed, columns, [L // SMALL.bucket + 1] * 4)
+    names = [f"stxn{i}" for i in range(1, 5)]
+    rows = scaler.transform(packed, names).select("seg", F.posexplode(F.arrays_zip(*names)).alias("pos", "r"))
+    return rounded(rows.select("seg", "pos", *(F.col("r")[n].alias(n) for n in names)))
+
+
 # ------------------------------------------------------------------ rolling
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.rolling_mean(full_segments(spark, d), SMALL.mean_widths, seg_len=L))
@@ -460,7 +470,7 @@ def segment_apply(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- streaming
 def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     """Writes the signal as files that hold whole segments, for a file stream to pick up."""
-    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = run_folder(spark, f"stream-{uuid.uuid4().hex}")
     rows = event_signal(spark, d).select("seg", "no", "x")
     rows.repartition("seg").write.parquet(f"{run}/in")
     return rows, run
@@ -468,14 +478,14 @@ def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
 
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     rows, run = _staged(spark, d)
-    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=2)
+    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=1000)
     T.run_available(stream, lambda batch: batch, f"{run}/out", f"{run}/state")
     return rounded(spark.read.parquet(f"{run}/out").select("seg", "no", "x"))
 
 
 def stream_segment_stats(spark: SparkSession, d: str) -> DataFrame:
     rows, run = _staged(spark, d)
-    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=2)
+    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=1000)
     T.run_available(stream, A.stats20, f"{run}/out", f"{run}/state")
     return rounded(spark.read.parquet(f"{run}/out").drop("batch"))
 
@@ -487,7 +497,8 @@ QUERIES = {
         systematic_sample, holdout_split, set_union, key_semi_join, row_id_range, position_slice,
         segment_position, cast_key_join, moment_stats, adjusted_moments, stats20, percentile_stats, stats36,
         scaled_stats, abs_quantiles, iqr_median, mean_abs_dev, trend_slope, head_tail_stats, bucket_stats,
-        two_level_percentiles, std_max_mean, pack_slices, pack_bucket_stats, rolling_mean, rolling_std,
+        two_level_percentiles, std_max_mean, pack_slices, pack_bucket_stats,
+        scaled_bucket_stats, rolling_mean, rolling_std,
         bollinger, roll_extrema, ewma_mean, sta_lta, autocorrelation, change_rate, hann_mean, dct_coeffs,
         low_freq_cut, unit_scale, standard_scale, band_means, window_band_means, band_slice, window_concat,
         fft_mag_stats, envelope_mean, signal_features, feature_join, suffix_join, prediction_diff,

@@ -27,3 +27,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the table once to the shared folder and reads it from there afterwards."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_folder(spark: SparkSession, run: str) -> str:
+    """Folder of one run's intermediate tables.  A repeated run overwrites its own
+    tables there; inputs and other runs are never touched."""
+    return f"{shared_folder(spark)}/{run}"
