@@ -138,6 +138,16 @@ def test_sequence_regression(features):
     assert M.window_errors(per_window).count() == 2 and scale > 0
 
 
+def test_window_regression(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, j, [float(v)], float(5 * v + 2 * j)) for s in range(30) for j, v in enumerate(rng.normal(0, 1, 8))]
+    sequence = spark.createDataFrame(rows, "seg long, win int, f array<double>, y double")
+    held = M.window_regress(sequence, 20, LinearRegression(regParam=0.0))
+    assert held.count() == 80
+    errors = {r.win: r.mae for r in M.window_errors(held).collect()}
+    assert sorted(errors) == list(range(8)) and max(errors.values()) < 1e-6
+
+
 def test_segment_apply_bounds_its_groups(segment_frame):
     df = segment_frame(list(range(10)), list(range(25)))
     got = U.segment_apply(df, lambda x: {"s": x.sum(), "n": len(x)}, ["s", "n"], max_len=10)

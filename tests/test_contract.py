@@ -7,7 +7,9 @@ from conftest import SF_DIR
 
 import __spark_entry__ as entry
 
-WITHOUT_SQL = {"forest_predict", "gbt_oof", "gbt_importance", "param_search", "sequence_regress", "batch_score"}
+WITHOUT_SQL = {
+    "forest_predict", "gbt_oof", "gbt_importance", "param_search", "sequence_regress", "window_regress", "batch_score",
+}
 
 
 @pytest.fixture(scope="module")

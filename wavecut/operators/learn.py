@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecut.operators.assemble import normalise_target, restore_target, target_scale
+from wavecut.operators.assemble import feature_vector, normalise_target, restore_target, target_scale
 from wavecut.operators.segments import consecutive_index, restrict_to_keys, union_sets
 from wavecut.operators.stats import mae
 from wavecut.sources.storage import cut_lineage
@@ -283,6 +283,21 @@ def sequence_regress(
     return model, scale, restore_target(restore_target(held, scale), scale, "label")
 
 
+def window_regress(sequence: DataFrame, cut: int, estimator: Estimator | None = None) -> DataFrame:
+    """One regression pooled over all windows: ``(seg, win, label, prediction)`` of the
+    held-out segments, for an error per window.
+
+    ``sequence`` has ``seg, win, f, y``; the window number is a feature of its own.
+    """
+    rows = feature_vector(sequence, ["f", "win"]).select("seg", "win", "features", F.col("y").alias("label"))
+    scale = target_scale(rows.where(F.col("seg") < cut), "label")
+    scaled = normalise_target(rows, scale, "label")
+    estimator = estimator or LinearRegression(regParam=0.1, elasticNetParam=0.0)
+    model = estimator.fit(scaled.where(F.col("seg") < cut))
+    held = model.transform(scaled.where(F.col("seg") >= cut)).select("seg", "win", "label", "prediction")
+    return restore_target(restore_target(held, scale), scale, "label")
+
+
 def window_errors(predictions: DataFrame, window: str = "win") -> DataFrame:
     """Mean absolute error per window, next to the default last-window metric."""
     return predictions.groupBy(window).agg(mae().alias("mae"))

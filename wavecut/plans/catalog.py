@@ -452,6 +452,12 @@ def sequence_regress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.sequence_regress(table, _cut(spark, d, L))[2])
 
 
+def window_regress(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions per window of one regression pooled over the windows."""
+    table = M.prepared(_sequence(spark, d))
+    return rounded(M.window_regress(table, _cut(spark, d, L)))
+
+
 def batch_score(spark: SparkSession, d: str) -> DataFrame:
     table, _ = _learning_table(spark, d)
     cut = _cut(spark, d, 100)
@@ -503,7 +509,8 @@ QUERIES = {
         low_freq_cut, unit_scale, standard_scale, band_means, window_band_means, band_slice, window_concat,
         fft_mag_stats, envelope_mean, signal_features, feature_join, suffix_join, prediction_diff,
         sequence_table, target_normalise, fold_average, importance_topk, mae, fold_score_summary,
-        kfold_assign, forest_predict, gbt_oof, gbt_importance, param_search, sequence_regress, batch_score,
+        kfold_assign, forest_predict, gbt_oof, gbt_importance, param_search, sequence_regress,
+        window_regress, batch_score,
         segment_apply, incremental_ingest, stream_segment_stats,
     )
 }

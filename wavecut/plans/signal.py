@@ -12,7 +12,7 @@ from wavecut.operators.segments import drop_partial_tail, segment_label, with_se
 
 @dataclass(frozen=True)
 class Params:
-    """Widths, lags and cuts.  The defaults suit full-size segments of 150,000 rows."""
+    """Widths, lags and cuts.  The defaults are fixed values for segments of 150,000 rows."""
 
     seg_len: int = 150_000
     slice_len: int = 15_000
