@@ -45,7 +45,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # ------------------------------------------------------------- segmentation
 def segment_index(spark: SparkSession, d: str) -> DataFrame:
     ids = events(spark, d).select(F.col("event_id").alias("uid"))
-    numbered = S.with_segments(S.consecutive_index(ids, "uid", block_bits=10), L)
+    numbered = S.with_segments(S.consecutive_index(ids, "uid"), L)
     return numbered.select("uid", "idx", "seg", "no")
 
 

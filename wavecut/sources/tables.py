@@ -69,13 +69,19 @@ def read_segment_files(
         "x",
     )
     if key_list is None:
-        key_list = number_names(rows.select("name").distinct())
+        key_list = number_names(file_names(spark, folder))
     numbered = number_file_rows(rows).join(key_list.select("name", "seg"), "name")
     return with_null_target(numbered.withColumn("set", F.lit(set_tag))).select(
         "set", "seg", "no", "name", "x", "y"
     )
 
 
+def file_names(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """``name`` of every file, from the listing alone: the content column is not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return listed.select(file_label(F.col("path")).alias("name"))
+
+
 def number_names(names: DataFrame) -> DataFrame:
     """``(name, seg)``: distinct names numbered 0, 1, ... in the order of their hash."""
     hashed = names.select("name", F.xxhash64("name").alias("_h"))
