@@ -98,7 +98,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 def pack_mixture(
     docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, min_piece: int = 256,
-    weights: dict[str, float] | None = None, block_tokens: int = 1 << 22, folder: str | None = None,
+    weights: dict[str, float] | None = None, block_tokens: int = 1 << 20, folder: str | None = None,
     key: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
     """One row for each piece of a document: see ``PIECES``.  Each id lies in exactly one piece.

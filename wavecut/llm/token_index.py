@@ -217,7 +217,9 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard file
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = based.select("ids_file", "idx_file", "base").repartition("ids_file")
+    # A row stands for a whole shard: the number of tasks must not follow the bytes of the manifest.
+    most = 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = based.select("ids_file", "idx_file", "base").repartition(max(1, min(manifest.count(), most)))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
