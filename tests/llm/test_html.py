@@ -84,7 +84,7 @@ def test_trees_read_as_fitted(spark):
     rng = np.random.default_rng(3)
     x = rng.random((500, 4))
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] < 0.3)).astype(float)
-    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x.tolist(), y)], "label double, features vector")
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x.tolist(), y)], ["label", "features"])
     model = GBTClassifier(maxIter=6, maxDepth=4, seed=1).fit(df)
     want = [r.probability[1] for r in model.transform(df).collect()]
     assert np.allclose(H.read_trees(model).probability(x), want)

@@ -38,7 +38,7 @@ def test_one_changed_word_and_one_more_word(spark, items):
     long = "every one of these fourteen plain words stands here to be found again after a single small change in the middle of it all"
     more = spark.createDataFrame([(9, long)], "item_id long, text string")
     words = long.split()
-    got = found(spark, more, [long, " ".join([*words[:12], "extra", *words[12:]]), long.replace("change", "shift"), " ".join(words[::-1])])
+    got = found(spark, more, [long, " ".join([*words[:12], "extra", *words[12:]]), long.replace("it all", "it now"), " ".join(words[::-1])])
     assert {k[0] for k in got} == {0, 1, 2}
     assert got[1, 9].similarity >= 0.8
 

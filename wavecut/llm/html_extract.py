@@ -322,6 +322,28 @@ NEUTRAL = {
 _SEMANTIC = re.compile(r"<(/?)(article|main|nav|footer|header|aside)\b([^>]*)>", re.I)
 
 
+#: Other shapes that a paragraph of an article can take; {0} and {1} are its halves.
+SHAPES = (
+    "<ul><li>{0}</li><li>{1}</li></ul>", "<ol><li>{0}<li>{1}</ol>", "<blockquote><p>{0} {1}</p></blockquote>",
+    "<section><h2>{0}</h2><p>{1}</p></section>", "<div>{0} {1}</div>", "<table><tr><td>{0}</td><td>{1}</td></tr></table>",
+    "<pre>{0} {1}</pre>", "<h2>{0}</h2><div><p>{1}</p></div>", "<figure><p>{0} {1}</p></figure>", "<dl><dt>{0}</dt><dd>{1}</dd></dl>",
+)
+_PARAGRAPH = re.compile(r"<p>([^<]{30,})</p>", re.I)
+
+
+def reshaped(source: str, rng: np.random.Generator) -> str:
+    """Some paragraphs of the page in other elements."""
+
+    def other(m: re.Match) -> str:
+        if rng.random() > 0.35:
+            return m[0]
+        words = m[1].split()
+        half = max(1, len(words) // 2) if rng.random() < 0.6 else min(len(words) - 1, 4)
+        return SHAPES[rng.integers(len(SHAPES))].format(" ".join(words[:half]), " ".join(words[half:]))
+
+    return _PARAGRAPH.sub(other, source)
+
+
 def rewritten(source: str, rng: np.random.Generator, lines: list[str]) -> str:
     """A training page with other boilerplate and, half of the time, without semantic elements."""
 
@@ -337,7 +359,7 @@ def rewritten(source: str, rng: np.random.Generator, lines: list[str]) -> str:
         tag, attrs, kind = EXTRA[rng.integers(len(EXTRA))]
         return f'<{tag} {attrs} data-x="drop">{filling(kind)}</{tag}>'
 
-    out = source
+    out = reshaped(source, rng)
     for place in (r"<article\b[^>]*>", r"</article>", r"<body\b[^>]*>", r"</p>"):
         if rng.random() < (0.25 if place == "</p>" else 0.6):
             m = list(re.finditer(place, out, re.I))

@@ -109,7 +109,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def nearest(
     embeddings: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", seed: int = 11,
-    epsilon: float = 2.5, block_rows: int = 16_384, query_rows: int = 2_048, folder: str | None = None,
+    epsilon: float = 3.5, block_rows: int = 16_384, query_rows: int = 2_048, folder: str | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of each row that ``queries`` selects.
 
