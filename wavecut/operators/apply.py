@@ -16,14 +16,14 @@ FeatureFunction = Callable[[np.ndarray], Mapping[str, float]]
 
 
 def segment_apply(
-    df: DataFrame, features: FeatureFunction, names: Sequence[str], max_len: int = 150_000,
-    keys: Sequence[str] = KEYS, value: str = "x", target: str = "y",
+    df: DataFrame, features: FeatureFunction, names: Sequence[str], keys: Sequence[str] = KEYS, value: str = "x",
+    target: str = "y", chunk_rows: int | None = None, max_len: int = 10_000_000,
 ) -> DataFrame:
     """One row per segment: keys, chunk, the target on its last row, and the named features.
 
-    ``features`` gets the values in position order.  A segment longer than
-    ``max_len`` rows yields one row per ``max_len`` rows (``chunk`` 0, 1, ...), so
-    the group handed to one task has a fixed upper size.
+    ``features`` gets the values of the whole segment in position order.  ``chunk_rows`` asks for
+    one row per so many rows of a segment instead (``chunk`` 0, 1, ...).  What is handed to one task
+    is bounded: a position past ``max_len`` fails the job if no chunks are asked for.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(
@@ -39,8 +39,13 @@ def segment_apply(
         row.update({n: values[n] for n in names})
         return pd.DataFrame([row])
 
+    if chunk_rows is None:
+        said = F.concat(F.lit("position "), F.col("no").cast("string"), F.lit(f" is past max_len={max_len}; give chunk_rows"))
+        chunk = F.coalesce(F.when(F.col("no") <= max_len, F.lit(0)), F.raise_error(said).cast("int")).cast("bigint")
+    else:
+        chunk = F.floor((F.col("no") - 1) / chunk_rows)
     rows = df.select(
-        *keys, "no", F.floor((F.col("no") - 1) / max_len).alias("chunk"),
+        *keys, "no", chunk.alias("chunk"),
         F.col(value).cast("double").alias("_x"), F.col(target).cast("double").alias("_y"),
     )
     return rows.groupBy(*keys, "chunk").applyInPandas(run, schema)

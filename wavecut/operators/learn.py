@@ -12,11 +12,12 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from wavecut.operators.assemble import feature_vector, normalise_target, restore
 from wavecut.operators.segments import consecutive_index, restrict_to_keys, union_sets
 from wavecut.operators.stats import mae
 from wavecut.sources.storage import cut_lineage
+from wavecut.sources.tables import load_model
 
 
 # -------------------------------------------------------------------- folds
@@ -107,7 +109,13 @@ def cross_fit(
 
 
 def importance_rows(model: Model, names: Sequence[str], fold: int) -> list[tuple[str, float, int]]:
-    values = model.featureImportances.toArray()
+    """Importances of tree models; the absolute coefficients of linear ones; nothing for others."""
+    for attribute in ("featureImportances", "coefficients"):
+        if hasattr(model, attribute):
+            values = abs(getattr(model, attribute).toArray())
+            break
+    else:
+        return []
     return [(name, float(values[i]), fold) for i, name in enumerate(names)]
 
 
@@ -216,11 +224,12 @@ SPACES: dict[str, Space] = {
 }
 
 
-def candidates(package: str, count: int, seed: int = 42) -> list[dict[str, object]]:
-    if package not in SPACES:
+def candidates(package: str, count: int, seed: int = 42, space: Space | None = None) -> list[dict[str, object]]:
+    """Seeded draws from the search space of a package, or from the given one."""
+    if space is None and package not in SPACES:
         raise ValueError(f"unknown package {package!r}: use one of {sorted(SPACES)}")
     rng = random.Random(seed)
-    return [SPACES[package].draw(rng) for _ in range(count)]
+    return [(space or SPACES[package]).draw(rng) for _ in range(count)]
 
 
 def _param_map(estimator: Estimator, params: Mapping[str, object]) -> dict:
@@ -232,40 +241,57 @@ def _param_map(estimator: Estimator, params: Mapping[str, object]) -> dict:
 
 def param_search(
     folded: DataFrame, package: str = "lgbm", num_evals: int = 1000, diagnostic: bool = False,
-    seed: int = 42, rounds: int = 100, parallelism: int = 4, max_depth: int = 30,
+    seed: int = 42, rounds: int = 100, parallelism: int = 4, space: Space | None = None, metric: str = "mae",
+    early_stop_tol: float | None = 0.01,
 ):
-    """Random search by k-fold mean absolute error.
+    """Random search by k-fold error, ``metric`` ``mae`` or ``rmse``.
 
-    ``folded`` has ``fold, features, label``.  Every candidate is cross-validated on
-    the given folds; fits of different candidates run side by side.  Returns the best
-    parameters, with ``diagnostic`` also the table ``(trial, family, params, mae, mae_std)``.
+    ``folded`` has ``fold, features, label``.  Every candidate is fitted on all folds but one and judged
+    on that one; fits of different candidates run side by side.  Boosting stops early by the error on the
+    judged fold.  Returns the best parameters, with ``diagnostic`` also the table
+    ``(trial, family, params, fold, error)``.
     """
-    drawn = candidates(package, num_evals, seed)
-    for params in drawn:
-        params["maxDepth"] = min(params["maxDepth"], max_depth)
-    evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
+    if metric not in ("mae", "rmse"):
+        raise ValueError("metric is mae or rmse")
+    drawn = candidates(package, num_evals, seed, space)
+    evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
     k = folded.agg(F.max("fold")).first()[0] + 1
+    data = folded.select("fold", "features", "label")
     rows = []
     for family, base in (("gbt", boosted(rounds=rounds, seed=seed)), ("forest", forest(trees=rounds, seed=seed))):
         trials = [(i, p) for i, p in enumerate(drawn) if p["family"] == family]
         if not trials:
             continue
-        search = CrossValidator(
-            estimator=base, estimatorParamMaps=[_param_map(base, p) for _, p in trials], evaluator=evaluator,
-            numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed,
-        ).fit(folded.select("fold", "features", "label"))
-        for (i, p), m, s in zip(trials, search.avgMetrics, search.stdMetrics):
-            rows.append((i, family, json.dumps(p, sort_keys=True), float(m), float(s)))
-    table = folded.sparkSession.createDataFrame(
-        rows, "trial int, family string, params string, mae double, mae_std double"
+        maps = [_param_map(base, p) for _, p in trials]
+        for fold in range(k):
+            inside = F.col("fold") == fold
+            judged = data.where(inside)
+            if family == "gbt" and early_stop_tol is not None:
+                base.setParams(validationIndicatorCol="held", validationTol=early_stop_tol)
+                train = data.withColumn("held", inside)
+            else:
+                train = data.where(~inside)
+            fitted = base.fitMultiple(train, maps)
+
+            def one(_: int) -> tuple[int, float]:
+                at, model = next(fitted)  # the iterator may be shared by threads
+                return at, evaluator.evaluate(model.transform(judged))
+
+            with ThreadPool(min(parallelism, len(maps))) as pool:
+                for at, error in pool.imap_unordered(inheritable_thread_target(data.sparkSession)(one), range(len(maps))):
+                    i, p = trials[at]
+                    rows.append((i, family, json.dumps(p, sort_keys=True), fold, float(error)))
+    table = data.sparkSession.createDataFrame(
+        rows, "trial int, family string, params string, fold int, error double"
     )
     best = json.loads(best_trial(table).first()["params"])
     return (best, table) if diagnostic else best
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The trial with the smallest error; the earlier one wins a tie."""
-    return trials.orderBy("mae", "trial").limit(1)
+    """The trial with the smallest mean error over its folds; the earlier one wins a tie."""
+    means = trials.groupBy("trial", "family", "params").agg(F.avg("error").alias("error"))
+    return means.orderBy("error", "trial").limit(1)
 
 
 # --------------------------------------------------------- sequences, scoring
@@ -313,6 +339,24 @@ def batch_score(
     )
 
 
-def prepared(features: DataFrame) -> DataFrame:
+def prepared(features: DataFrame, path: str | None = None) -> DataFrame:
     """The feature table, written once so that iterative fits do not recompute it."""
-    return cut_lineage(features)
+    return cut_lineage(features, path)
+
+
+def save_folds(fit: FoldFit, path: str) -> None:
+    """Every fold's model below one folder."""
+    for fold, model in enumerate(fit.models):
+        model.write().overwrite().save(f"{path}/fold={fold}")
+
+
+def load_folds(spark: SparkSession, path: str, k: int) -> list[Model]:
+    return [load_model(spark, f"{path}/fold={fold}") for fold in range(k)]
+
+
+def score_folds(models: Sequence[Model], test: DataFrame, key_list: DataFrame, key: str = "name", scale: float = 1.0) -> DataFrame:
+    """Submission table ``(seg_id, time_to_failure)``: the fold models' mean for the listed segments."""
+    listed = restrict_to_keys(test, key_list, key)
+    parts = [m.transform(listed).select(key, F.lit(i).alias("fold"), "prediction") for i, m in enumerate(models)]
+    scored = restore_target(fold_average(union_sets(*parts), key), scale)
+    return scored.select(F.col(key).alias("seg_id"), F.col("prediction").alias("time_to_failure"))

@@ -14,25 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecut.sources.storage import cut_lineage
+from wavecut.sources.storage import cut_lineage, join_small
 
 CELLS = 4096
-MAX_ROUNDS = 5  # 12 bits of the cell path per round
-BROADCAST_ROWS = 200_000
-SALTS = 64
-
-
-def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins a written table to raw rows without moving a hot key to one task.
-
-    The table is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast.  A larger
-    one is repeated ``SALTS`` times and the rows are spread over the copies.
-    """
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), list(on), how)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def split_by_size(df: DataFrame, keys: Sequence[str], max_group: int) -> tuple[DataFrame, DataFrame | None]:
@@ -71,7 +55,7 @@ def large_group_percentiles(
     nodes = groups.select(*keys, F.lit(0).cast("bigint").alias("node"), "lo", "hi", F.lit(0).cast("bigint").alias("below"))
     wanted = _wanted_ranks(groups, keys, list(fractions.values())).withColumn("node", F.lit(0).cast("bigint"))
     rows = rows.withColumn("node", F.lit(0).cast("bigint"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         scaled = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)
         cell = F.when(F.col("hi") > F.col("lo"), F.least(scaled, F.lit(cells - 1))).otherwise(F.lit(0))
         rows = join_small(rows, nodes.select(*keys, "node", "lo", "hi"), [*keys, "node"]).select(

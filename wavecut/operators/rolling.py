@@ -15,10 +15,18 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wavecut.functions import weights as W
-from wavecut.operators.segments import KEYS
-from wavecut.operators.stats import with_segment_length
+from wavecut.operators.segments import KEYS, complete_values
+from wavecut.operators.stats import same_lengths, with_segment_length
+from wavecut.sources.storage import cut_lineage, join_small
 
 X = "x"
+
+
+def ROWS() -> Column:  # noqa: N802
+    """Number of rows of a group, for ``same_lengths``."""
+    return F.count(F.lit(1)).alias("_rows")
+
+
 # Smallest positive normal double: floor of the long-term average.
 TINY = 2.2250738585072014e-308
 # Rows per window partition when a segment has no known bound.
@@ -36,8 +44,9 @@ def rolling_mean(
     df: DataFrame, widths: Sequence[int] = (700, 1500, 3000, 6000), keys: Sequence[str] = KEYS,
     value: str = X, seg_len: int | None = None,
 ) -> DataFrame:
-    rows = with_segment_length(df, keys, seg_len)
-    return rows.groupBy(*keys).agg(*(rolling_mean_agg(w, value).alias(f"ma_{w}_mean") for w in widths))
+    rows = with_segment_length(complete_values(df, value, keys), keys, seg_len)
+    means = rows.groupBy(*keys).agg(ROWS(), *(rolling_mean_agg(w, value).alias(f"ma_{w}_mean") for w in widths))
+    return same_lengths(means, keys, seg_len)
 
 
 def hann_mean_agg(width: int, value: str = X) -> Column:
@@ -49,8 +58,9 @@ def hann_mean(
     value: str = X, seg_len: int | None = None,
 ) -> DataFrame:
     """Mean of the same-size convolution with a normalised Hann window."""
-    rows = with_segment_length(df, keys, seg_len)
-    return rows.groupBy(*keys).agg(*(hann_mean_agg(w, value).alias(f"hann_{w}_mean") for w in widths))
+    rows = with_segment_length(complete_values(df, value, keys), keys, seg_len)
+    means = rows.groupBy(*keys).agg(ROWS(), *(hann_mean_agg(w, value).alias(f"hann_{w}_mean") for w in widths))
+    return same_lengths(means, keys, seg_len)
 
 
 def with_ewma_weights(df: DataFrame, spans: Sequence[float]) -> DataFrame:
@@ -98,10 +108,11 @@ def ewma_mean(
     value: str = X, seg_len: int | None = None,
 ) -> DataFrame:
     """Mean of the bias-adjusted exponential moving average."""
-    rows = with_ewma_weights(with_segment_length(df, keys, seg_len), spans)
+    rows = with_ewma_weights(with_segment_length(complete_values(df, value, keys), keys, seg_len), spans)
     sums = rows.groupBy(*keys).agg(
-        F.max("n").alias("n"), *(c.alias(a) for a, c in ewma_aggs(spans, value).items())
+        ROWS(), F.max("n").alias("n"), *(c.alias(a) for a, c in ewma_aggs(spans, value).items())
     )
+    sums = same_lengths(sums, keys, seg_len)
     return ewma_finish(sums, spans, [f"ewma_{s}_mean" for s in spans], seg_len).drop("n")
 
 
@@ -126,22 +137,25 @@ def ordered_rows(
 ) -> Ordered:
     """Prepares segments for windows that look ``reach`` rows back (or ``ahead``).
 
-    ``seg_len`` bounds the segment length.  Within that bound a segment is one
-    window partition, and its length and mean are taken in the same window.
+    ``seg_len`` bounds the segment length; a longer segment fails the job.  Within that bound a
+    segment is one window partition, and its length and mean are taken in the same window.
+    A NULL value fails the job.
     Without a bound a segment is cut into chunks of ``chunk_rows``; each chunk
     also gets the ``reach`` rows next to it, so no task ever holds more than
     ``chunk_rows + reach`` rows of one segment and results stay exact.
     """
-    base = df.select(*keys, "no", F.col(value).alias("x"))
+    base = complete_values(df.select(*keys, "no", F.col(value).alias("x")), "x", keys)
     if seg_len is not None:
         w = Window.partitionBy(*keys).orderBy("no")
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = base.withColumns(
             {"n": F.count(F.lit(1)).over(whole), "mu": F.avg("x").over(whole)}
         )
-        return Ordered(rows, w, False)
+        said = F.concat(F.lit("a segment has "), F.col("n").cast("string"), F.lit(f" rows, not {seg_len} at most"))
+        short = F.when(F.col("n") <= seg_len, F.col("n"))
+        return Ordered(rows.withColumn("n", F.coalesce(short, F.raise_error(said).cast("bigint"))), w, False)
     size = max(chunk_rows or CHUNK_ROWS, 1)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mu"))
+    totals = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mu")))
     chunk_of = lambda pos: F.floor((pos - 1) / size)
     own = chunk_of(F.col("no"))
     if ahead:
@@ -149,7 +163,7 @@ def ordered_rows(
     else:
         span = F.sequence(own, F.least(chunk_of(F.col("no") + reach), chunk_of(F.col("n"))))
     rows = (
-        base.join(totals, list(keys))
+        join_small(base, totals, keys)
         .withColumn("_chunk", F.explode(span))
         .withColumn("_halo", F.col("_chunk") != own)
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecut.sources.storage import cut_lineage, join_small
+
 KEYS = ("seg",)
 
 
@@ -55,8 +57,11 @@ def consecutive_index(
     can exceed ``2**block_bits`` rows however the ids are spread.  Block counts
     come from a scan of the id column alone and are pre-aggregated map-side.
     For 64-bit hashes use a larger ``block_bits`` (the values are spread evenly)
-    and name the columns that break ties.
+    and name the columns that break ties.  A NULL id has no place in the order and fails the job.
     """
+    kind = df.schema[order_by].dataType
+    said = F.raise_error(F.lit(f"NULL in {order_by}: the row has no place in the order")).cast(kind)
+    df = df.withColumn(order_by, F.coalesce(F.col(order_by), said))
     block = F.shiftright(F.col(order_by).cast("bigint"), block_bits)
     blocked = df.withColumn("_block", block)
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -70,6 +75,24 @@ def consecutive_index(
     )
 
 
+def file_order_index(rows: DataFrame, out: str = "idx", within: str | None = None) -> DataFrame:
+    """1-based row index in the order of file name, split and row, without moving a raw row.
+
+    ``rows`` has ``_file``, ``_split`` (byte offset of the input split) and ``_id``
+    (``monotonically_increasing_id``, consecutive inside a split).  One row for each input split is
+    ordered and summed; a raw row adds its distance from the first row of its split.  ``within``
+    counts from 1 in each value of that column, for example in each file.
+    """
+    keys = ["_file", "_split", *([within] if within else [])]
+    splits = cut_lineage(rows.groupBy(*keys).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    order = Window.partitionBy(within) if within else Window
+    before = order.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = cut_lineage(splits.select("_file", "_split", shift.alias("_shift")))
+    placed = join_small(rows, offsets, ["_file", "_split"])
+    return placed.withColumn(out, F.col("_id") + F.col("_shift")).drop("_file", "_split", "_id", "_shift")
+
+
 def with_segments(df: DataFrame, seg_len: int, idx: str = "idx") -> DataFrame:
     """Adds ``seg`` and the 1-based position ``no``; no shuffle is needed."""
     if seg_len <= 0:
@@ -79,6 +102,29 @@ def with_segments(df: DataFrame, seg_len: int, idx: str = "idx") -> DataFrame:
     )
 
 
+def complete_values(df: DataFrame, value: str = "x", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Fails on a NULL value, naming its segment and position.
+
+    Features that look at neighbouring rows have no frame to speak of where a sample is missing, so a
+    NULL is refused there instead of being skipped.
+    """
+    said = F.concat(
+        F.lit("NULL value in segment "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)),
+        F.lit(" at position "), F.coalesce(F.col("no").cast("string"), F.lit("NULL")),
+    )
+    kind = df.schema[value].dataType
+    return df.withColumn(value, F.coalesce(F.col(value), F.raise_error(said).cast(kind)))
+
+
+def only_lengths(grouped: DataFrame, good: Column, keys: Sequence[str], rows: str, wanted: str) -> DataFrame:
+    """Fails on a segment whose row count ``rows`` is not ``good``."""
+    said = F.concat(
+        F.lit("segment "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), F.lit(" has "),
+        F.col(rows).cast("string"), F.lit(f" rows, not {wanted}"),
+    )
+    return grouped.where(F.coalesce(F.when(good, F.lit(True)), F.raise_error(said).cast("boolean")))
+
+
 def with_position(df: DataFrame, keys: Sequence[str] = KEYS, order_by: str = "uid", out: str = "no") -> DataFrame:
     """Position inside an already known segment, by rank of ``order_by``."""
     w = Window.partitionBy(*keys).orderBy(order_by)
@@ -99,8 +145,16 @@ def file_label(file_name: Column) -> Column:
 def number_signal(
     df: DataFrame, seg_len: int, set_tag: int = 0, order_by: str = "uid"
 ) -> DataFrame:
-    """Raw ``x, y`` rows with an id -> ``uid, set, seg, no, name, x, y``."""
-    numbered = with_segments(consecutive_index(df, order_by), seg_len)
+    """Raw ``x, y`` rows with an id -> ``uid, set, seg, no, name, x, y``.
+
+    Rows that carry their place in the files (``read_ordered_csv``) are numbered in file order and
+    get their index as ``uid``; others in the order of the id.
+    """
+    if {"_file", "_split", "_id"} <= set(df.columns):
+        indexed = file_order_index(df)
+        numbered = with_segments(indexed.withColumn(order_by, F.col("idx")), seg_len)
+    else:
+        numbered = with_segments(consecutive_index(df, order_by), seg_len)
     if "y" not in df.columns:
         numbered = with_null_target(numbered)
     return numbered.select(

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import DCT, StandardScaler, StandardScalerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecut.functions.arrays import array_slices, band_range, overlapping_band_means
@@ -29,7 +29,7 @@ def pack_slices(
 ) -> DataFrame:
     """``vx0 .. vx9``: one array per slice, from a single grouped pass.
 
-    Positions are gap-free within a segment; rows past the last slice are not read.
+    Positions are gap-free within a segment; a segment that goes on past the last slice fails the job.
     """
     packed = pack_segments(df, keys, value, max_len=slice_len * n_slices)
     slices = array_slices(F.col("values"), slice_len, n_slices, shared_edge)
@@ -103,6 +103,18 @@ class UnitScaler:
             start += length
         return out.drop("_arr")
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.active()
+        rows = list(zip(range(len(self.columns)), self.columns, self.lengths))
+        spark.createDataFrame(rows, "pos int, name string, length int").write.mode("overwrite").parquet(f"{path}/columns")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "UnitScaler":
+        rows = spark.read.parquet(f"{path}/columns").orderBy("pos").collect()  # one row for each array column
+        model = StandardScalerModel.load(f"{path}/model")
+        return cls(model, tuple(r["name"] for r in rows), tuple(r["length"] for r in rows))
+
 
 def fit_unit_scaler(train: DataFrame, columns: Sequence[str], lengths: Sequence[int]) -> UnitScaler:
     """Fits on the training segments (an action); zero-variance elements scale to 0."""
@@ -125,6 +137,15 @@ class ColumnScaler:
             scaled[c] = (F.col(c) - F.lit(mu)) / F.lit(sd if sd and sd > 0 else 1.0)
         return df.withColumns(scaled)
 
+    def save(self, path: str) -> None:
+        rows = [(c, self.means[c], self.stds[c]) for c in self.means]
+        SparkSession.active().createDataFrame(rows, "name string, mean double, std double").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ColumnScaler":
+        rows = spark.read.parquet(path).orderBy("name").collect()  # one row for each column
+        return cls({r["name"]: r["mean"] for r in rows}, {r["name"]: r["std"] for r in rows})
+
 
 def fit_column_scaler(train: DataFrame, columns: Sequence[str]) -> ColumnScaler:
     """One aggregate row (two values per column) comes back to the driver."""
@@ -270,6 +291,15 @@ def sorted_median(values: Column) -> Column:
     return F.when(n > 0, (F.element_at(values, low) + F.element_at(values, high)) / 2)
 
 
+def sorted_quantile(values: Column, p: float) -> Column:
+    """Interpolated quantile of a sorted array; NULL for an empty one."""
+    position = F.lit(float(p)) * (F.size(values) - 1)
+    low = F.floor(position).cast("int")
+    part = position - low
+    a, b = F.element_at(values, low + 1), F.element_at(values, F.ceil(position).cast("int") + 1)
+    return F.when(F.size(values) > 0, a * (1 - part) + b * part)
+
+
 def fft_mag_stats(
     packed: DataFrame, first_bin: int = 1000, end_bin: int = 20000, last_bins: int = 5000,
     keys: Sequence[str] = KEYS,

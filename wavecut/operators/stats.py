@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecut.functions.arrays import packed
 from wavecut.operators.quantiles import large_group_percentiles, split_by_size
-from wavecut.operators.segments import KEYS, segment_counts
+from wavecut.operators.segments import KEYS, only_lengths, segment_counts
+from wavecut.sources.storage import cut_lineage, join_small
 
 # Column names and fractions of the percentile statistics.
 FIVE_POINT = {"p1": 0.05, "p2": 0.20, "p5": 0.50, "p8": 0.80, "p9": 0.95}
@@ -180,14 +181,9 @@ def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how)
 
 
 def mean_abs_dev(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
-    """Mean absolute deviation around the mean.
-
-    The second step needs each segment's mean next to its rows: one row per
-    segment is joined back.  An oversized segment stays split across tasks,
-    because both aggregations combine map-side and the join may be skew-split.
-    """
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mu"))
-    return df.join(means, list(keys)).groupBy(*keys).agg(
+    """Mean absolute deviation around the mean, from one scan and one exchange by segment."""
+    mean = F.avg(value).over(Window.partitionBy(*keys))
+    return df.select(*keys, value, mean.alias("_mu")).groupBy(*keys).agg(
         F.avg(F.abs(F.col(value) - F.col("_mu"))).alias("mad")
     )
 
@@ -201,10 +197,23 @@ def trend_slope(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, no: s
 
 
 def with_segment_length(df: DataFrame, keys: Sequence[str] = KEYS, seg_len: int | None = None) -> DataFrame:
-    """Adds ``n``: the given exact length, or the counted one joined back."""
+    """Adds ``n``, the number of rows of the segment.
+
+    It is counted in the data, and the counts are joined back without moving a hot segment to one task.
+    ``seg_len`` says that all segments have that length and saves the join; what is grouped from these
+    rows then goes through ``same_lengths``, which fails if it was not so.
+    """
     if seg_len is not None:
         return df.withColumn("n", F.lit(seg_len).cast("bigint"))
-    return df.join(segment_counts(df, keys), list(keys))
+    return join_small(df, cut_lineage(segment_counts(df, keys)), keys)
+
+
+def same_lengths(grouped: DataFrame, keys: Sequence[str], seg_len: int | None) -> DataFrame:
+    """Drops ``_rows``, the row count; fails on a segment that has not ``seg_len`` rows."""
+    if seg_len is not None:
+        grouped = only_lengths(grouped, F.col("_rows") == seg_len, keys, "_rows", str(seg_len))
+    return grouped.drop("_rows")
+
 
 
 def head_tail_aggs(sizes: Sequence[int], value: str = X) -> dict[str, Column]:
@@ -221,7 +230,8 @@ def head_tail_stats(
     df: DataFrame, sizes: Sequence[int] = (50000, 10000), keys: Sequence[str] = KEYS,
     value: str = X, seg_len: int | None = None,
 ) -> DataFrame:
-    return summarise(with_segment_length(df, keys, seg_len), keys, head_tail_aggs(sizes, value))
+    aggs = {"_rows": F.count(F.lit(1)), **head_tail_aggs(sizes, value)}
+    return same_lengths(summarise(with_segment_length(df, keys, seg_len), keys, aggs), keys, seg_len)
 
 
 def bucket_number(no: Column, bucket: int, aligned: bool = False) -> Column:
@@ -306,10 +316,22 @@ def two_level_stats(df: DataFrame, bucket: int = 1000, keys: Sequence[str] = KEY
 def pack_segments(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, max_len: int | None = None) -> DataFrame:
     """Each segment's values as one array ordered by position.
 
-    ``max_len`` keeps positions ``1..max_len``: the bound of every array.
+    ``max_len`` is the bound of every array: a segment with more rows, or with positions outside
+    ``1..max_len``, fails the job.
     """
-    rows = df if max_len is None else df.where(F.col("no").between(1, max_len))
-    return rows.groupBy(*keys).agg(packed(F.col("no"), F.col(value)).alias("values"))
+    rows = df
+    if max_len is not None:
+        said = F.concat(
+            F.lit("segment "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), F.lit(" has position "),
+            F.col("no").cast("string"), F.lit(f", outside 1..{max_len}"),
+        )
+        inside = F.when(F.col("no").between(1, max_len), F.col("no"))
+        rows = df.withColumn("no", F.coalesce(inside, F.raise_error(said).cast(df.schema["no"].dataType)))
+    grouped = rows.groupBy(*keys).agg(packed(F.col("no"), F.col(value)).alias("values"))
+    if max_len is not None:
+        sized = grouped.withColumn("_rows", F.size("values"))
+        grouped = only_lengths(sized, F.col("_rows") <= max_len, keys, "_rows", f"{max_len} at most").drop("_rows")
+    return grouped
 
 
 def mae(label: str = "label", prediction: str = "prediction") -> Column:

@@ -6,8 +6,12 @@ engine; every computed column carries an explicit alias.
 
 from __future__ import annotations
 
+import math
 import uuid
+from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,7 @@ from wavecut.plans.signal import (
     row_count,
     train_cut,
 )
+from wavecut.sources import tables as IO
 from wavecut.sources.storage import run_folder
 from wavecut.streaming import ingest as T
 
@@ -167,6 +172,15 @@ def head_tail_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.head_tail_stats(full_segments(spark, d), SMALL.head_tail, seg_len=L))
 
 
+def head_tail_stats_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.head_tail_stats(event_signal(spark, d, SHORT), SMALL.head_tail))
+
+
+def drop_partial(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the full segments, where the last segment is a partial one."""
+    return rounded(S.drop_partial(event_signal(spark, d, SHORT), SHORT).select("uid", "seg", "no", "x"))
+
+
 def bucket_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.bucket_stats(event_signal(spark, d), SMALL.bucket))
 
@@ -214,6 +228,22 @@ def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.rolling_mean(full_segments(spark, d), SMALL.mean_widths, seg_len=L))
 
 
+def rolling_mean_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.rolling_mean(event_signal(spark, d, SHORT), SMALL.mean_widths))
+
+
+def rolling_std_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.rolling_std(event_signal(spark, d, SHORT), SMALL.std_widths, chunk_rows=70))
+
+
+def ewma_mean_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.ewma_mean(event_signal(spark, d, SHORT), SMALL.ewma_spans))
+
+
+def hann_mean_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.hann_mean(event_signal(spark, d, SHORT), SMALL.hann))
+
+
 def rolling_std(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.rolling_std(full_segments(spark, d), SMALL.std_widths, seg_len=L))
 
@@ -273,11 +303,13 @@ def standard_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bands(spark: SparkSession, d: str) -> DataFrame:
-    return P.band_table(_slices(spark, d), SMALL, F.col("seg") < train_cut(spark, d))
+    is_train = F.col("seg") < train_cut(spark, d)
+    return P.band_table(_slices(spark, d), SMALL, is_train, folder=run_folder(spark, "bands", d))
 
 
 def _window_bands(spark: SparkSession, d: str) -> DataFrame:
-    return P.window_band_table(_slices(spark, d), SMALL, F.col("seg") < train_cut(spark, d))
+    is_train = F.col("seg") < train_cut(spark, d)
+    return P.window_band_table(_slices(spark, d), SMALL, is_train, folder=run_folder(spark, "window-bands", d))
 
 
 def band_means(spark: SparkSession, d: str) -> DataFrame:
@@ -307,6 +339,20 @@ def envelope_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(V.envelope_mean(A.pack_segments(full_segments(spark, d), max_len=L)))
 
 
+def fft_mag_stats_tail(spark: SparkSession, d: str) -> DataFrame:
+    packed = A.pack_segments(event_signal(spark, d, SHORT), max_len=SHORT)
+    return rounded(V.fft_mag_stats(packed, *SMALL.fft_bins, SMALL.fft_last))
+
+
+def envelope_mean_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.envelope_mean(A.pack_segments(event_signal(spark, d, SHORT), max_len=SHORT)))
+
+
+def signal_features_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table of full segments and a partial one."""
+    return rounded(P.signal_features(event_signal(spark, d, SHORT), replace(SMALL, seg_len=SHORT)))
+
+
 def signal_features(spark: SparkSession, d: str) -> DataFrame:
     """The wide per-segment table in one shuffle."""
     return rounded(P.signal_features(full_segments(spark, d), SMALL))
@@ -405,65 +451,136 @@ def kfold_assign(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.kfold_assign(segs, 5, 42).select("seg", "fold"))
 
 
-def _learning_table(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+def _learning_table(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, list[str]]:
     """``seg, name, features, label`` of every full segment of 100 rows, written once."""
     sig = full_segments(spark, d, 100)
     stats = A.stats20(sig)
     names = J.feature_columns(stats)
     label = S.last_values(sig).select("seg", F.col("y").alias("label"))
     table = J.feature_vector(J.join_on_segment(stats, label), names)
-    return M.prepared(labelled(table).select("seg", "name", "features", "label")), names
+    columns = labelled(table).select("seg", "name", "features", "label")
+    return M.prepared(columns, f"{run_folder(spark, name, d)}/table"), names
 
 
 def _cut(spark: SparkSession, d: str, seg_len: int) -> int:
     return row_count(events(spark, d)).first()["n"] // seg_len * 3 // 4
 
 
+#: Boosting rounds and search trials of the registered queries; an operator's own defaults are 100 and 1000.
+ROUNDS, TRIALS = 20, 4
+
+
+def _inside(df: DataFrame, train: DataFrame) -> DataFrame:
+    """Whether a prediction lies within the range of the training labels."""
+    span = train.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    near = F.col("prediction").between(span["lo"] - 1e-6, span["hi"] + 1e-6)
+    return df.withColumn("inside", near)
+
+
 def forest_predict(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _learning_table(spark, d)
-    _, held = M.fit_holdout(table, M.forest(trees=10, depth=5), _cut(spark, d, 100))
-    return rounded(held)
+    """Held-out segments with their label; a forest cannot leave the range of its training labels."""
+    table, _ = _learning_table(spark, d, "forest")
+    cut = _cut(spark, d, 100)
+    _, held = M.fit_holdout(table, M.forest(trees=200, depth=30), cut)
+    return rounded(_inside(held, table.where(F.col("seg") < cut)).drop("prediction"))
 
 
-def _folds(spark: SparkSession, d: str) -> M.FoldFit:
-    table, names = _learning_table(spark, d)
-    folded = M.prepared(M.kfold_assign(table, 5, 42))
-    return M.cross_fit(folded, names, lambda: M.boosted(rounds=3, depth=3), 5)
+def _folds(spark: SparkSession, d: str, name: str) -> tuple[M.FoldFit, DataFrame]:
+    table, names = _learning_table(spark, d, name)
+    folded = M.prepared(M.kfold_assign(table, 5, 42), f"{run_folder(spark, name, d)}/folded")
+    return M.cross_fit(folded, names, lambda: M.boosted(rounds=ROUNDS), 5), folded
 
 
 def gbt_oof(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_folds(spark, d).oof)
+    """Every segment once, predicted by the fold that did not see it."""
+    found = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return rounded(_folds(spark, d, "oof")[0].oof.withColumn("predicted", found).drop("prediction"))
 
 
 def gbt_importance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(J.best_feature_rows(_folds(spark, d).importances, 10))
+    """Importances of each fold: not negative, and one in sum."""
+    table = _folds(spark, d, "importance")[0].importances
+    return rounded(table.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), (F.min("importance") >= 0).alias("not_negative")
+    ))
 
 
 def param_search(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _learning_table(spark, d)
-    folded = M.prepared(M.kfold_assign(table, 3, 42))
-    _, trials = M.param_search(folded, "cb", 3, diagnostic=True, rounds=2, max_depth=4)
-    return rounded(trials)
+    """One row for each trial and fold of a search over the whole space."""
+    table, _ = _learning_table(spark, d, "search")
+    folded = M.prepared(M.kfold_assign(table, 3, 42), f"{run_folder(spark, 'search', d)}/folded")
+    _, trials = M.param_search(folded, "cb", TRIALS, diagnostic=True, rounds=ROUNDS)
+    return rounded(trials.select("trial", "fold", (F.col("error") > 0).alias("positive")))
+
+
+def _gradient(table: DataFrame, model, label: str = "label") -> DataFrame:
+    """Gradient of the regularised squared error over the training rows, one row for each feature.
+
+    The fit works on features and labels of unit deviation; at its minimum every entry is 0.
+    """
+    k = model.coefficients.size
+    rows = model.transform(table).select((F.col("prediction") - F.col(label)).alias("r"), F.col(label).alias("y"), vector_to_array("features").alias("x"))
+    long = rows.select("r", "y", F.posexplode("x").alias("feature", "v"))
+    weights = spark_rows(table, [(i, float(model.coefficients[i])) for i in range(k)], "feature int, w double")
+    sums = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop("r", "v").alias("c"), F.stddev_pop("v").alias("s"),
+        F.stddev_pop("y").alias("sy"), F.avg("y").alias("label_mean"),
+    )
+    pull = model.getRegParam() / F.col("sy") * F.col("w") * F.col("s")
+    entry = F.when(F.col("s") > 0, (F.col("c") / F.col("s") + pull) / F.col("sy")).otherwise(0.0)
+    return sums.join(weights, "feature").select("feature", (F.abs(entry) < 1e-3).alias("at_minimum"), "n", "label_mean")
+
+
+def spark_rows(like: DataFrame, rows: list, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def sequence_regress(spark: SparkSession, d: str) -> DataFrame:
+    """Linear regression on all windows: the gradient at the fitted weights, feature by feature."""
     flat = J.feature_vector(J.flat_sequences(_sequence(spark, d)), ["f"])
-    table = M.prepared(flat.select("seg", "features", "label"))
-    return rounded(M.sequence_regress(table, _cut(spark, d, L))[2])
+    table = M.prepared(flat.select("seg", "features", "label"), f"{run_folder(spark, 'sequence', d)}/table")
+    cut = _cut(spark, d, L)
+    model, scale, held = M.sequence_regress(table, cut, LinearRegression(regParam=0.1, elasticNetParam=0.0, tol=1e-12, maxIter=500))
+    train = J.normalise_target(table.where(F.col("seg") < cut), scale, "label")
+    return rounded(_gradient(train, model).withColumn("held", F.lit(held.count()).cast("bigint")))
 
 
 def window_regress(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out predictions per window of one regression pooled over the windows."""
-    table = M.prepared(_sequence(spark, d))
-    return rounded(M.window_regress(table, _cut(spark, d, L)))
+    """Held-out segments and windows of one regression pooled over the windows, each with its label."""
+    table = M.prepared(_sequence(spark, d), f"{run_folder(spark, 'pooled', d)}/table")
+    held = M.window_regress(table, _cut(spark, d, L))
+    return rounded(held.select("seg", "win", "label", F.col("prediction").isNotNull().alias("predicted")))
 
 
 def batch_score(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _learning_table(spark, d)
+    table, _ = _learning_table(spark, d, "score")
     cut = _cut(spark, d, 100)
-    model, _ = M.fit_holdout(table, M.forest(trees=5, depth=4), cut)
+    model, _ = M.fit_holdout(table, M.forest(trees=50, depth=10), cut)
+    key_list = table.where(F.col("seg") >= cut).select("name")
+    scored = M.batch_score(model, table, key_list).withColumnRenamed("time_to_failure", "prediction")
+    return rounded(_inside(scored, table.where(F.col("seg") < cut)).select("seg_id", "inside"))
+
+
+def score_saved_models(spark: SparkSession, d: str) -> DataFrame:
+    """Scaler and fold models saved, loaded in their stead, averaged, restricted to the key list, written and read."""
+    run = run_folder(spark, "saved", d)
+    sig, cut = full_segments(spark, d, 100), _cut(spark, d, 100)
+    stats = labelled(A.stats20(sig))
+    names = [c for c in J.feature_columns(stats) if c != "name"]
+    label = S.last_values(sig).select("seg", F.col("y").alias("label"))
+    V.fit_column_scaler(stats.where(F.col("seg") < cut), names).save(f"{run}/scaler")
+    V.fit_unit_scaler(stats.select("seg", F.array(*names).alias("stat")), ["stat"], [len(names)]).save(f"{run}/unit")
+    unit = V.UnitScaler.load(spark, f"{run}/unit")
+    scaler = V.ColumnScaler.load(spark, f"{run}/scaler")
+    scaled = J.feature_vector(J.join_on_segment(scaler.transform(stats), label), names)
+    table = M.prepared(scaled.select("seg", "name", "features", "label"), f"{run}/table")
+    folded = M.kfold_assign(table.where(F.col("seg") < cut), 5, 42)
+    M.save_folds(M.cross_fit(folded, names, lambda: M.forest(trees=20, depth=8), 5), f"{run}/models")
     key_list = table.where(F.col("seg") >= cut).select("name")
-    return rounded(M.batch_score(model, table, key_list))
+    IO.write_result(M.score_folds(M.load_folds(spark, f"{run}/models", 5), table, key_list), f"{run}/csv")
+    read = spark.read.csv(f"{run}/csv", header=True, schema="seg_id string, prediction double")
+    judged = _inside(read, table.where(F.col("seg") < cut)).withColumn("scaled_columns", F.lit(sum(unit.lengths)).cast("bigint"))
+    return rounded(judged.select("seg_id", "inside", "scaled_columns"))
 
 
 def segment_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -473,25 +590,153 @@ def segment_apply(spark: SparkSession, d: str) -> DataFrame:
     return rounded(U.segment_apply(event_signal(spark, d), features, ["energy", "peak"], max_len=L))
 
 
+def segment_apply_tail(spark: SparkSession, d: str) -> DataFrame:
+    def features(x):
+        return {"energy": float((x * x).sum()), "peak": float(abs(x).max())}
+
+    return rounded(U.segment_apply(event_signal(spark, d, SHORT), features, ["energy", "peak"]))
+
+
+def segment_apply_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One row for every 200 rows of a segment."""
+    def features(x):
+        return {"energy": float((x * x).sum()), "peak": float(abs(x).max())}
+
+    return rounded(U.segment_apply(event_signal(spark, d), features, ["energy", "peak"], chunk_rows=200))
+
+
+# ------------------------------------------------------------------ sources
+def row_id_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Row ids of two sets, those of the second shifted past the largest of the first."""
+    train, test = S.holdout_split(full_segments(spark, d), train_cut(spark, d))
+    first = S.with_row_id(train.select(F.col("uid").alias("event_id")))
+    start = S.max_row_id(first).first()["m"] + 1
+    second = S.with_row_id(test.select(F.col("uid").alias("event_id")), start)
+    both = S.union_sets(first.withColumn("set", F.lit(0)), second.withColumn("set", F.lit(1)))
+    return rounded(S.consecutive_index(both, "uid", block_bits=40).select("set", "event_id", "idx"))
+
+
+def _written_csv(spark: SparkSession, d: str, name: str, table: DataFrame, files: int = 3) -> str:
+    """Files of unequal size whose names sort like the signal."""
+    path = f"{run_folder(spark, name, d)}/csv"
+    part = F.floor(F.log2(F.col("uid") + 2))  # ranges that double in length
+    table.repartitionByRange(4 * files, part).sortWithinPartitions("uid").drop("uid").write.mode("overwrite").csv(path, header=True)
+    return path
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A signal written as several CSV files, read back and numbered in file order."""
+    path = _written_csv(spark, d, "csv", event_signal(spark, d).select("uid", "x", "y"))
+    numbered = S.number_signal(IO.read_ordered_csv(spark, path), SHORT)
+    return rounded(numbered.select(F.col("uid").alias("idx"), "seg", "no", "name", "x", "y"))
+
+
+def narrow_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A 16-bit signal, whose squares would not fit 16 bits."""
+    sig = event_signal(spark, d).select("uid", F.round("x").cast("short").alias("x"), "y")
+    path = _written_csv(spark, d, "narrow", sig)
+    rows = S.file_order_index(IO.with_file_place(IO.read_signal_csv(spark, path, IO.NARROW_SCHEMA)))
+    return rounded(rows.select("idx", F.pow(F.col("x").cast("double"), 2.0).alias("energy")))
+
+
+def _signal_table(spark: SparkSession, d: str) -> DataFrame:
+    return event_signal(spark, d, SHORT).withColumn("set", F.lit(0)).select("uid", "set", "seg", "no", "x")
+
+
+def signal_table(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(spark, 'signal', d)}/table"
+    IO.write_signal(_signal_table(spark, d), path, rows_per_file=1000)
+    return rounded(IO.read_table(spark, path).select("set", "seg", "no", "x"))
+
+
+def compact_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three small batches rewritten as one table."""
+    folder, sig = run_folder(spark, "compact", d), _signal_table(spark, d)
+    batches = [f"{folder}/batch-{k}" for k in range(3)]
+    for k, path in enumerate(batches):
+        sig.where(F.pmod("seg", F.lit(3)) == k).write.mode("overwrite").parquet(path)
+    IO.compact(spark, batches, f"{folder}/table")
+    return rounded(IO.read_table(spark, f"{folder}/table").select("set", "seg", "no", "x"))
+
+
+def append_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the segments loaded, then all of them: none comes twice."""
+    folder = run_folder(spark, f"append-{uuid.uuid4().hex[:8]}", d)
+    sig = labelled(event_signal(spark, d, SHORT)).select("name", "no", "x", "seg")
+    for rows in (sig.where("seg % 2 = 0"), sig, sig):
+        IO.append_new_segments(rows.drop("seg"), f"{folder}/table", f"{folder}/loaded")
+    return rounded(IO.read_table(spark, f"{folder}/table"))
+
+
+def result_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(spark, 'result', d)}/csv"
+    means = labelled(full_segments(spark, d)).groupBy(F.col("name").alias("seg_id")).agg(F.avg("y").alias("time_to_failure"))
+    IO.write_result(means, path)
+    return rounded(spark.read.csv(path, header=True, schema="seg_id string, time_to_failure double"))
+
+
+def named_view(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text over a registered table."""
+    IO.register(event_signal(spark, d), "wavecut_signal")
+    return rounded(spark.sql("SELECT seg, count(*) AS n, avg(x) AS x_avg FROM wavecut_signal GROUP BY seg"))
+
+
+def feature_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(spark, 'features', d)}/csv"
+    table = labelled(full_segments(spark, d)).groupBy(F.col("name").alias("seg_id")).agg(
+        F.avg("x").alias("x_avg"), F.max("x").alias("x_max")
+    )
+    IO.write_result(table, path)
+    return rounded(IO.read_features_csv(spark, path))
+
+
+def total_order(spark: SparkSession, d: str) -> DataFrame:
+    """The written table read back: its rows lie in signal order, so their place is their rank."""
+    path = f"{run_folder(spark, 'order', d)}/table"
+    IO.write_signal(_signal_table(spark, d), path, rows_per_file=700)
+    rows = IO.with_file_place(IO.read_table(spark, path).select("uid", "_metadata"))
+    return rounded(S.file_order_index(rows.drop("_metadata"), "pos").select("pos", "uid"))
+
+
 # ---------------------------------------------------------------- streaming
-def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+def _staged(spark: SparkSession, d: str, name: str, seg_len: int) -> tuple[DataFrame, str]:
     """Writes the signal as files that hold whole segments, for a file stream to pick up."""
-    run = run_folder(spark, f"stream-{uuid.uuid4().hex}")
-    rows = event_signal(spark, d).select("seg", "no", "x")
-    rows.repartition("seg").write.parquet(f"{run}/in")
+    run = run_folder(spark, f"{name}-{uuid.uuid4().hex[:8]}", d)  # a stream's state is never shared by runs
+    rows = labelled(event_signal(spark, d, seg_len)).select("name", "seg", "no", "x")
+    count = row_count(events(spark, d)).first()["n"]
+    files = max(1, math.ceil(count / seg_len))
+    rows.repartitionByRange(files, "seg").sortWithinPartitions("seg", "no").write.parquet(f"{run}/in")
     return rows, run
 
 
+def _ingest(spark: SparkSession, run: str, rows: DataFrame) -> DataFrame:
+    T.run_available(T.stream_parquet(spark, f"{run}/in", rows.schema), lambda batch: batch, f"{run}/out", f"{run}/state")
+    return spark.read.parquet(f"{run}/out")
+
+
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    rows, run = _staged(spark, d)
-    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=1000)
-    T.run_available(stream, lambda batch: batch, f"{run}/out", f"{run}/state")
-    return rounded(spark.read.parquet(f"{run}/out").select("seg", "no", "x"))
+    """Segment files loaded twenty at a time, as a set without a target."""
+    rows, run = _staged(spark, d, "ingest", 100)
+    loaded = _ingest(spark, run, rows)
+    numbered = T.as_test_set(loaded.drop("seg"), rows.select("name", "seg").distinct())
+    return rounded(numbered.drop("batch"))
+
+
+def ingest_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What an incremental load did, and what a second run over the same files added."""
+    rows, run = _staged(spark, d, "batches", 100)
+    loaded = _ingest(spark, run, rows)
+    before = loaded.count()
+    added = _ingest(spark, run, rows).count() - before
+    return rounded(loaded.agg(
+        F.countDistinct("seg").alias("segments"), F.count(F.lit(1)).alias("n_rows"),
+        (F.countDistinct("batch") >= 3).alias("several_batches"), F.lit(added).cast("bigint").alias("added_by_second_run"),
+    ))
 
 
 def stream_segment_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows, run = _staged(spark, d)
-    stream = T.stream_parquet(spark, f"{run}/in", rows.schema, max_files=1000)
+    rows, run = _staged(spark, d, "stats", L)
+    stream = T.stream_parquet(spark, f"{run}/in", rows.schema)
     T.run_available(stream, A.stats20, f"{run}/out", f"{run}/state")
     return rounded(spark.read.parquet(f"{run}/out").drop("batch"))
 
@@ -512,5 +757,9 @@ QUERIES = {
         kfold_assign, forest_predict, gbt_oof, gbt_importance, param_search, sequence_regress,
         window_regress, batch_score,
         segment_apply, incremental_ingest, stream_segment_stats,
+        signal_features_tail, head_tail_stats_tail, rolling_mean_tail, rolling_std_tail, hann_mean_tail, ewma_mean_tail,
+        fft_mag_stats_tail, envelope_mean_tail, segment_apply_tail, segment_apply_chunks, drop_partial, row_id_offset,
+        csv_round_trip, narrow_csv, signal_table, compact_batches, append_twice, result_csv, named_view, feature_csv,
+        total_order, ingest_batches, score_saved_models,
     )
 }

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecut.operators import rolling as R
 from wavecut.operators import spectral as V
-from wavecut.operators.segments import KEYS
+from wavecut.operators.segments import KEYS, complete_values
 from wavecut.operators.stats import (
     ABS_QUANTILES,
     SIGNED_QUANTILES,
@@ -25,9 +25,8 @@ from wavecut.sources.storage import cut_lineage
 
 
 def summed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Features that are sums over rows: they combine map-side, so only partial sums are
-    shuffled and the layout of the input does not matter."""
-    rows = R.with_ewma_weights(df.withColumn("n", F.lit(p.seg_len).cast("bigint")), p.ewma_spans)
+    """Features that are sums over rows with ``n``, the length of their segment."""
+    rows = R.with_ewma_weights(df, p.ewma_spans)
     x, xa = F.col("x"), F.abs("x")
     size = F.count(x).cast("double")
     sums = rows.groupBy(*keys).agg(
@@ -44,18 +43,19 @@ def summed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS)
         *(c.alias(a) for a, c in R.ewma_aggs(p.ewma_spans).items()),
     )
     names = [f"ewma_{s}_mean" for s in p.ewma_spans]
-    return R.ewma_finish(sums, p.ewma_spans, names, p.seg_len).drop("n")
+    return R.ewma_finish(sums, p.ewma_spans, names).drop("n")
 
 
-def quantile_features(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Quantiles of the signal and its absolute value; value counts combine map-side."""
-    x, xa = F.col("x"), F.abs("x")
-    quantiles = [
-        (xa, {f"abs_q{q:02d}": q / 100 for q in ABS_QUANTILES}),
-        (x, {**{f"q{q:02d}": q / 100 for q in SIGNED_QUANTILES}, "_p25": 0.25, "med": 0.5, "_p75": 0.75}),
-    ]
-    wide = summarise(df, keys, {}, quantiles)
-    return wide.withColumn("iqr", F.col("_p75") - F.col("_p25")).drop("_p25", "_p75")
+def with_quantile_features(packed: DataFrame) -> DataFrame:
+    """Quantiles of the packed ``values`` and of their absolute values, picked from the sorted arrays."""
+    sorted_ = packed.withColumns(
+        {"_s": F.array_sort("values"), "_sa": F.array_sort(F.transform("values", F.abs))}
+    )
+    picks = {f"abs_q{q:02d}": V.sorted_quantile(F.col("_sa"), q / 100) for q in ABS_QUANTILES}
+    picks |= {f"q{q:02d}": V.sorted_quantile(F.col("_s"), q / 100) for q in SIGNED_QUANTILES}
+    picks["med"] = V.sorted_quantile(F.col("_s"), 0.5)
+    picks["iqr"] = V.sorted_quantile(F.col("_s"), 0.75) - V.sorted_quantile(F.col("_s"), 0.25)
+    return sorted_.withColumns(picks).drop("_s", "_sa")
 
 
 def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -82,25 +82,25 @@ def ordered_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS
     return summarise(rows, keys, aggs)
 
 
-def fourier_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Magnitude statistics and envelope mean of the packed segment (``p.seg_len`` rows at most)."""
-    packed = pack_segments(df, keys)
+def packed_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Quantiles, magnitude statistics and envelope mean of the packed segment (``p.seg_len`` rows at most)."""
+    packed = with_quantile_features(pack_segments(df, keys, max_len=p.seg_len))
     return V.with_fourier_features(packed, *p.fft_bins, p.fft_last).drop("values")
 
 
 def signal_features(df: DataFrame, p: Params = FULL, keys: Sequence[str] = KEYS) -> DataFrame:
-    """All per-segment signal features of full segments (``keys, no, x``).
+    """All per-segment signal features (``keys, no, x``), of full and partial segments alike.
 
-    Four grouped passes, joined on the segment with one row each.  Sums and quantiles
-    come straight from the scan and combine map-side.  The order-dependent passes start
-    from one shared exchange by segment, so raw rows are shuffled once.
+    Three grouped passes, joined on the segment with one row each, all start from one exchange by
+    segment: raw rows are read and shuffled once.  ``p.seg_len`` bounds the length of a segment; the
+    true one is counted.  A longer segment or a NULL value fails the job.
     """
-    by_segment = df.select(*keys, "no", "x").repartition(*keys)
+    by_segment = complete_values(df.select(*keys, "no", "x"), "x", keys).repartition(*keys)
+    counted = by_segment.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     wide = (
-        summed_features(df, p, keys)
-        .join(quantile_features(df, keys), list(keys))
+        summed_features(counted, p, keys)
         .join(ordered_features(by_segment, p, keys), list(keys))
-        .join(fourier_features(by_segment, p, keys), list(keys))
+        .join(packed_features(by_segment, p, keys), list(keys))
     )
     centre = F.col(f"ma_{p.mean_widths[0]}_mean")
     bounds = {}
@@ -120,36 +120,42 @@ class BandTables:
 
 
 def scaled_spectrum(
-    slices: DataFrame, cut: int, is_train: Column, keys: Sequence[str] = KEYS
+    slices: DataFrame, cut: int, is_train: Column, keys: Sequence[str] = KEYS, folder: str | None = None
 ) -> BandTables:
     """Low-frequency spectrum ``vx`` scaled to unit variance over the training segments.
 
     The spectra are written once: the fit and the transform read them back instead of
     shuffling and transforming the signal twice.
     """
-    raw = cut_lineage(V.low_frequency_spectrum(slices, cut, keys))
+    raw = cut_lineage(V.low_frequency_spectrum(slices, cut, keys), folder and f"{folder}/spectrum")
     scaler = V.fit_unit_scaler(raw.where(is_train), ["vx"], [cut])
     return BandTables(scaler, scaler.transform(raw))
 
 
 def scaled_windows(
-    slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS
+    slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS, folder: str | None = None
 ) -> BandTables:
     """Window spectra ``fn_w0 ..`` scaled over the training segments, one fit for all windows."""
-    raw = cut_lineage(V.window_spectra(slices, p.n_windows, p.per_window, p.window_cut, keys))
+    raw = cut_lineage(
+        V.window_spectra(slices, p.n_windows, p.per_window, p.window_cut, keys), folder and f"{folder}/windows"
+    )
     columns = [f"fs_w{j}" for j in range(p.n_windows)]
     scaler = V.fit_unit_scaler(raw.where(is_train), columns, [p.window_cut] * p.n_windows)
     scaled = scaler.transform(raw, [f"fn_w{j}" for j in range(p.n_windows)]).drop(*columns)
     return BandTables(scaler, scaled)
 
 
-def band_table(slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+def band_table(
+    slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS, folder: str | None = None
+) -> DataFrame:
     """``keys, f``: band means of the whole segment."""
-    spectra = scaled_spectrum(slices, p.cut, is_train, keys).spectra
+    spectra = scaled_spectrum(slices, p.cut, is_train, keys, folder).spectra
     return V.with_bands(spectra, **p.bands).drop("vx")
 
 
-def window_band_table(slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+def window_band_table(
+    slices: DataFrame, p: Params, is_train: Column, keys: Sequence[str] = KEYS, folder: str | None = None
+) -> DataFrame:
     """``keys, f0 .. f7``: band means of every window."""
-    spectra = scaled_windows(slices, p, is_train, keys).spectra
+    spectra = scaled_windows(slices, p, is_train, keys, folder).spectra
     return V.window_bands(spectra, p.n_windows, keys=keys, **p.window_bands)

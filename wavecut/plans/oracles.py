@@ -98,18 +98,11 @@ O["segment_complete"] = f"""WITH {_signal(SHORT)}
 SELECT seg, count(*) AS n FROM sig GROUP BY seg HAVING count(*) <> {SHORT}"""
 O["segment_label"] = f"WITH {_signal()} SELECT uid, {LABEL} AS name FROM sig"
 O["point_target"] = f"WITH {_signal()} SELECT seg, {r('y', 'y')} FROM sig WHERE no = {L}"
-O["multi_target_pivot"] = "\n".join(
-    [
-        f"WITH {_signal()}",
-        "SELECT d0.seg, " + ", ".join(r(f"d{i}.y", f"y{i}") for i in range(8)),
-        "FROM sig AS d0",
-        *(
-            f"JOIN sig AS d{i} ON d{i}.seg = d0.seg AND d{i}.no = {SMALL.target_positions[i]}"
-            for i in range(1, 8)
-        ),
-        f"WHERE d0.no = {SMALL.target_positions[0]}",
-    ]
-)
+_points = {f"y{i}": f"max(y) FILTER (WHERE no = {p})" for i, p in enumerate(SMALL.target_positions)}
+_wanted = ", ".join(str(p) for p in SMALL.target_positions)
+O["multi_target_pivot"] = f"""WITH {_signal()}
+SELECT seg, {cols(_points)} FROM sig GROUP BY seg
+HAVING count(*) FILTER (WHERE no IN ({_wanted})) = {len(SMALL.target_positions)}"""
 O["last_value"] = f"""WITH {_signal(SHORT)}
 SELECT seg, count(*) AS n, {r('arg_max(y, no)', 'y')} FROM sig GROUP BY seg"""
 O["systematic_sample"] = f"""WITH {_signal()}
@@ -289,7 +282,7 @@ def _rates() -> dict[str, str]:
     out = {}
     for size in SMALL.head_tail:
         for side, cond, shift in (
-            ("first", f"no < {size}", "0"), ("last", f"no > n - {size} AND no < n", f"n - {size}"),
+            ("first", f"no < {size}", "0"), ("last", f"no > n - {size} AND no < n", f"greatest(n - {size}, 0)"),
         ):
             out[f"nonzero_rate_pos_mean_{side}_{size}"] = (
                 f"avg(no - 1 - ({shift})) FILTER (WHERE {cond} AND NOT (nx = x AND x <> 0))"
@@ -307,11 +300,11 @@ def _hann(w: int) -> str:
     """Direct same-size convolution with w taps, averaged over the segment."""
     start = (w - 1) // 2
     tap = f"(0.5 - 0.5 * cos(2 * pi() * k / {w - 1}))"
-    return f"""SELECT seg, sum(x * {tap}) / {(w - 1) / 2} / {L} AS v
-    FROM fs JOIN range({w}) AS t(k) ON no - 1 + k - {start} BETWEEN 0 AND {L - 1} GROUP BY seg"""
+    return f"""SELECT seg, sum(x * {tap}) / {(w - 1) / 2} / max(n) AS v
+    FROM ns JOIN range({w}) AS t(k) ON no - 1 + k - {start} BETWEEN 0 AND n - 1 GROUP BY seg"""
 
 
-O["hann_mean"] = f"WITH {_full()}" + "".join(f",\nh{w} AS ({_hann(w)})" for w in SMALL.hann) + "\nSELECT seg, " + ", ".join(
+O["hann_mean"] = f"WITH {_counted}" + "".join(f",\nh{w} AS ({_hann(w)})" for w in SMALL.hann) + "\nSELECT seg, " + ", ".join(
     r(f"h{w}.v", f"hann_{w}_mean") for w in SMALL.hann
 ) + " FROM " + " JOIN ".join(f"h{w}" if i == 0 else f"h{w} USING (seg)" for i, w in enumerate(SMALL.hann))
 
@@ -368,24 +361,24 @@ _f, _l = SMALL.wide_band_slice
 O["window_concat"] = f"""WITH {_WBANDS}
 SELECT seg, win * {_l - _f + 1} + band - {_f} AS pos, {r('v', 'v')} FROM wb WHERE band BETWEEN {_f} AND {_l}"""
 _a, _e = SMALL.fft_bins
-O["fft_mag_stats"] = f"""WITH {_full()},
-mg AS (SELECT seg, k, sqrt(power(sum(x * cos(2 * pi() * k * (no - 1) / {L})), 2)
-                         + power(sum(x * sin(2 * pi() * k * (no - 1) / {L})), 2)) AS m
-       FROM fs JOIN range({L}) AS t(k) ON (k >= {_a} AND k < {_e}) OR k >= {L - SMALL.fft_last} GROUP BY seg, k),
+O["fft_mag_stats"] = f"""WITH {_counted},
+mg AS (SELECT seg, k, max(n) AS n, sqrt(power(sum(x * cos(2 * pi() * k * (no - 1) / n)), 2)
+                         + power(sum(x * sin(2 * pi() * k * (no - 1) / n)), 2)) AS m
+       FROM ns JOIN range({L}) AS t(k) ON k < n AND ((k >= {_a} AND k < {_e}) OR k >= n - {SMALL.fft_last}) GROUP BY seg, k),
 ba AS (SELECT seg, m, m - avg(m) OVER (PARTITION BY seg) AS d FROM mg WHERE k >= {_a} AND k < {_e}),
-la AS (SELECT seg, m - avg(m) OVER (PARTITION BY seg) AS d FROM mg WHERE k >= {L - SMALL.fft_last}),
+la AS (SELECT seg, m - avg(m) OVER (PARTITION BY seg) AS d FROM mg WHERE k >= n - {SMALL.fft_last}),
 lb AS (SELECT seg, {r(_g1('d'), 'fft_mag_skew_last')} FROM la GROUP BY seg),
 bb AS (SELECT seg, {cols({
     'fft_mag_mean': 'avg(m)', 'fft_mag_std': 'stddev_pop(m)', 'fft_mag_kurt': _g2('d'), 'fft_mag_skew': _g1('d'),
     'fft_mag_max': 'max(m)', 'fft_mag_median': 'median(m)'})} FROM ba GROUP BY seg)
 SELECT * FROM bb JOIN lb USING (seg)"""
 _half = L // 2
-O["envelope_mean"] = f"""WITH {_full()},
-ft AS (SELECT seg, k, sum(x * cos(2 * pi() * k * (no - 1) / {L})) AS re, -sum(x * sin(2 * pi() * k * (no - 1) / {L})) AS im
-       FROM fs JOIN range(1, {_half}) AS t(k) ON true GROUP BY seg, k),
-hi AS (SELECT fs.seg, fs.no, any_value(x) AS x,
-              2.0 / {L} * sum(re * sin(2 * pi() * k * (no - 1) / {L}) + im * cos(2 * pi() * k * (no - 1) / {L})) AS h
-       FROM fs JOIN ft ON fs.seg = ft.seg GROUP BY fs.seg, fs.no)
+O["envelope_mean"] = f"""WITH {_counted},
+ft AS (SELECT seg, k, sum(x * cos(2 * pi() * k * (no - 1) / n)) AS re, -sum(x * sin(2 * pi() * k * (no - 1) / n)) AS im
+       FROM ns JOIN range(1, {_half}) AS t(k) ON 2 * k < n GROUP BY seg, k),
+hi AS (SELECT ns.seg, ns.no, any_value(x) AS x,
+              2.0 / max(n) * sum(re * sin(2 * pi() * k * (no - 1) / n) + im * cos(2 * pi() * k * (no - 1) / n)) AS h
+       FROM ns JOIN ft ON ns.seg = ft.seg GROUP BY ns.seg, ns.no)
 SELECT seg, {r('avg(sqrt(x * x + h * h))', 'envelope_mean')} FROM hi GROUP BY seg"""
 _wide_own = {
     "abs_max": "max(xa)", "abs_mean": "avg(xa)", "abs_std": "stddev_samp(xa)", "abs_trend": "regr_slope(xa, no)",
@@ -403,6 +396,15 @@ O["signal_features"] = "SELECT * FROM " + "\nJOIN ".join(
     f"({q}) AS p{i}" + (" USING (seg)" if i else "") for i, q in enumerate(_parts)
 )
 
+# The same over segments of SHORT rows, of which the last is a partial one.
+_TAIL = f"{_signal(SHORT)},\nfs AS (SELECT * FROM sig)"
+TAIL_QUERIES = (
+    "signal_features", "head_tail_stats", "rolling_mean", "rolling_std", "hann_mean", "ewma_mean", "fft_mag_stats", "envelope_mean",
+)
+for _name in TAIL_QUERIES:
+    O[f"{_name}_tail"] = O[_name].replace(_full(), _TAIL)
+O["drop_partial"] = f"""WITH {_full(SHORT)} SELECT uid, seg, no, {r('x', 'x')} FROM fs"""
+
 # ----------------------------------------------------------------- assembly
 _bf, _bl = SMALL.band_slice
 O["feature_join"] = f"""WITH {_BANDS},
@@ -446,7 +448,49 @@ SELECT seg, (row_number() OVER (ORDER BY substr(md5('42_' || CAST(seg AS VARCHAR
 O["segment_apply"] = f"""WITH {_signal()}
 SELECT seg, CAST(0 AS BIGINT) AS chunk, {r('arg_max(y, no)', 'target')}, {r('sum(x * x)', 'energy')}, {r('max(abs(x))', 'peak')}
 FROM sig GROUP BY seg"""
-O["incremental_ingest"] = f"WITH {_signal()} SELECT seg, no, {r('x', 'x')} FROM sig"
+O["segment_apply_tail"] = O["segment_apply"].replace(_signal(), _signal(SHORT))
+O["segment_apply_chunks"] = f"""WITH {_signal()}
+SELECT seg, (no - 1) // 200 AS chunk, {r('arg_max(y, no)', 'target')}, {r('sum(x * x)', 'energy')}, {r('max(abs(x))', 'peak')}
+FROM sig GROUP BY 1, 2"""
+O["row_id_offset"] = f"""WITH {_full()}
+SELECT CAST(CASE WHEN seg < {CUT} THEN 0 ELSE 1 END AS BIGINT) AS "set", uid AS event_id, row_number() OVER (ORDER BY uid) AS idx FROM fs"""
+_numbered = f"SELECT idx, seg, no, {LABEL} AS name, {r('x', 'x')}, {r('y', 'y')} FROM sig"
+O["csv_round_trip"] = f"WITH {_signal(SHORT)} {_numbered}"
+O["narrow_csv"] = f"WITH {_signal()} SELECT idx, {r('CAST(CAST(round(x) AS SMALLINT) AS DOUBLE) ** 2', 'energy')} FROM sig"
+O["signal_table"] = f"""WITH {_signal(SHORT)} SELECT CAST(0 AS BIGINT) AS "set", seg, no, {r('x', 'x')} FROM sig"""
+O["compact_batches"] = O["signal_table"]
+O["append_twice"] = f"WITH {_signal(SHORT)} SELECT {LABEL} AS name, no, {r('x', 'x')} FROM sig"
+O["result_csv"] = f"WITH {_full()} SELECT {LABEL} AS seg_id, {r('avg(y)', 'time_to_failure')} FROM fs GROUP BY seg"
+O["named_view"] = f"WITH {_signal()} SELECT seg, count(*) AS n, {r('avg(x)', 'x_avg')} FROM sig GROUP BY seg"
+O["feature_csv"] = f"""WITH {_full()}
+SELECT {LABEL} AS seg_id, {r('avg(x)', 'x_avg')}, {r('max(x)', 'x_max')} FROM fs GROUP BY seg"""
+O["total_order"] = f"""WITH {_signal(SHORT)} SELECT row_number() OVER (ORDER BY seg, no) AS pos, uid FROM sig"""
+O["incremental_ingest"] = f"""WITH {_signal(100)}
+SELECT CAST(1 AS BIGINT) AS "set", seg, no, {LABEL} AS name, {r('x', 'x')}, CAST(NULL AS DOUBLE) AS y FROM sig"""
+O["ingest_batches"] = f"""WITH {_signal(100)}
+SELECT count(DISTINCT seg) AS segments, count(*) AS n_rows, 3 <= ceil(count(DISTINCT seg) / 20.0) AS several_batches,
+  CAST(0 AS BIGINT) AS added_by_second_run FROM sig"""
 O["stream_segment_stats"] = _per_segment(_STATS20)
 
+# Learning: labels, folds and row sets from SQL; what must hold of any right fit is stated as a constant.
+_CUT100 = "(SELECT (count(*) // 100) * 3 // 4 FROM events)"
+_L100 = f"""{_full(100)},
+lb AS (SELECT seg, arg_max(y, no) AS label FROM fs GROUP BY seg)"""
+O["forest_predict"] = f"WITH {_L100} SELECT seg, {r('label', 'label')}, TRUE AS inside FROM lb WHERE seg >= {_CUT100}"
+_FOLD = "(row_number() OVER (ORDER BY substr(md5('42_' || CAST(seg AS VARCHAR)), 1, 15), seg) - 1) % {k} AS fold"
+O["gbt_oof"] = f"WITH {_L100} SELECT seg, {_FOLD.format(k=5)}, {r('label', 'label')}, TRUE AS predicted FROM lb"
+O["gbt_importance"] = "SELECT k AS fold, CAST(20 AS BIGINT) AS features, 1.0::DOUBLE AS total, TRUE AS not_negative FROM range(5) AS t(k)"
+O["param_search"] = "SELECT t AS trial, f AS fold, TRUE AS positive FROM range(4) AS a(t), range(3) AS b(f)"
+_NW = SMALL.n_windows * (_bl - _bf + 1)
+O["sequence_regress"] = f"""WITH {_full()},
+lb AS (SELECT seg, y / (SELECT max(y) FROM fs WHERE no = {L} AND seg < {CUT}) AS label FROM fs WHERE no = {L}),
+tr AS (SELECT count(*) AS n, avg(label) AS m FROM lb WHERE seg < {CUT}),
+te AS (SELECT count(*) AS h FROM lb WHERE seg >= {CUT})
+SELECT k AS feature, TRUE AS at_minimum, n, {r('m', 'label_mean')}, h AS held FROM range({_NW}) AS t(k), tr, te"""
+O["window_regress"] = f"""WITH {_full()},
+tg AS ({' UNION ALL '.join(f'SELECT seg, CAST({i} AS BIGINT) AS win, y FROM fs WHERE no = {p}' for i, p in enumerate(SMALL.target_positions))})
+SELECT seg, win, {r('y', 'label')}, TRUE AS predicted FROM tg WHERE seg >= {CUT}"""
+O["batch_score"] = f"WITH {_L100} SELECT {LABEL} AS seg_id, TRUE AS inside FROM lb WHERE seg >= {_CUT100}"
+O["score_saved_models"] = f"WITH {_L100} SELECT {LABEL} AS seg_id, TRUE AS inside, CAST(20 AS BIGINT) AS scaled_columns FROM lb WHERE seg >= {_CUT100}"
+
 ORACLES = O

@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+ROWS_PER_TASK = 5_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh temporary folder is set only
-    where it is unset on a local master."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    """The session's ``spark.checkpoint.dir``; where it is unset on a local master, a folder of the
+    application below the session's own ``spark.local.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        return configured or current
     if not configured:
-        if not sc.master.startswith("local"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="wavecut-")
-    sc.setCheckpointDir(configured)
+        configured = f"{sc.getConf().get('spark.local.dir', '/tmp')}/wavecut-{sc.applicationId}"
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the table once to the shared folder and reads it from there afterwards."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes the table once, as Parquet, and reads it from there afterwards.
+
+    ``path``: a table of the caller's run folder, overwritten by the next run; by default a new one.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession, run: str, source: str = "") -> str:
+    """Folder of the intermediate tables of one run over one input.
+
+    A repeated run overwrites its own tables; inputs and other runs are never touched.
+    """
+    tag = f"-{hashlib.md5(source.encode()).hexdigest()[:8]}" if source else ""
+    return f"{shared_folder(spark)}/runs/{run}{tag}"
+
 
+def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins a written table to raw rows without moving a hot key to one task.
 
-def run_folder(spark: SparkSession, run: str) -> str:
-    """Folder of one run's intermediate tables.  A repeated run overwrites its own
-    tables there; inputs and other runs are never touched."""
-    return f"{shared_folder(spark)}/{run}"
+    The table is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast.  Beyond that the largest
+    group of the rows is counted, the table is repeated so often that a copy meets at most
+    ``ROWS_PER_TASK`` rows of it, and the rows are spread over the copies.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), list(on), how)
+    largest = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    salts = max(1, -(-largest // ROWS_PER_TASK))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

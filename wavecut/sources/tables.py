@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.util import DefaultParamsReader, MLWritable
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavecut.operators.segments import consecutive_index, file_label, union_sets, with_null_target
+from wavecut.operators.segments import consecutive_index, file_label, file_order_index, union_sets, with_null_target
+from wavecut.sources.storage import cut_lineage, join_small
 
 TRAIN_SCHEMA = T.StructType(
     [T.StructField("x", T.DoubleType(), True), T.StructField("y", T.DoubleType(), True)]
@@ -25,31 +26,27 @@ def read_signal_csv(spark: SparkSession, path: str, schema: T.StructType = TRAIN
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
 
 
+def with_file_place(raw: DataFrame) -> DataFrame:
+    """Adds where each row came from: ``_file``, ``_split`` and ``_id`` (see ``file_order_index``)."""
+    return raw.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+
+
+def read_ordered_csv(spark: SparkSession, path: str, schema: T.StructType = TRAIN_SCHEMA) -> DataFrame:
+    """One or many CSV files, ready to be numbered in the order of file name and row."""
+    return with_file_place(read_signal_csv(spark, path, schema))
+
+
 def read_narrow_csv(spark: SparkSession, path: str) -> DataFrame:
     """16-bit integer signal, widened before anyone can overflow it."""
     return read_signal_csv(spark, path, NARROW_SCHEMA).withColumn("x", F.col("x").cast("double"))
 
 
 def number_file_rows(rows: DataFrame) -> DataFrame:
-    """Adds the 1-based position ``no`` of each row in its file.
-
-    ``rows`` has ``name``, ``_split`` (byte offset of the input split) and ``_id``
-    (increasing within a split).  Rows are ranked per split, whose size Spark
-    bounds, and shifted by the rows of earlier splits of the file: a file of any
-    size is numbered without collecting it in one task.
-    """
-    splits = rows.groupBy("name", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("name").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "name", "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    rank = F.row_number().over(Window.partitionBy("name", "_split").orderBy("_id"))
-    return (
-        rows.withColumn("_rank", rank)
-        .join(offsets, ["name", "_split"])
-        .withColumn("no", F.col("_rank") + F.col("_offset"))
-        .drop("_rank", "_offset", "_split", "_id")
-    )
+    """Adds the 1-based position ``no`` of each row in its file ``name``; see ``file_order_index``."""
+    return file_order_index(rows, "no", within="name")
 
 
 def read_segment_files(
@@ -62,12 +59,7 @@ def read_segment_files(
     are numbered in the order of a hash of their name.
     """
     raw = spark.read.csv(folder, header=True, schema=TEST_SCHEMA, enforceSchema=True, pathGlobFilter="*.csv")
-    rows = raw.select(
-        file_label(F.col("_metadata.file_name")).alias("name"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_id"),
-        "x",
-    )
+    rows = with_file_place(raw).withColumn("name", file_label(F.col("_file")))
     if key_list is None:
         key_list = number_names(file_names(spark, folder))
     numbered = number_file_rows(rows).join(key_list.select("name", "seg"), "name")
@@ -166,15 +158,31 @@ def compact(spark: SparkSession, batches: Sequence[str], path: str, partitions:
     write_signal(union_sets(*(read_table(spark, b) for b in batches)), path, partitions=partitions)
 
 
-def append_new_segments(rows: DataFrame, path: str, done: DataFrame | None) -> None:
-    """Appends only segments whose name is not in ``done`` yet; safe to repeat."""
-    fresh = rows if done is None else rows.join(done.select("name").distinct(), "name", "left_anti")
-    fresh.write.mode("append").parquet(path)
+def append_new_segments(rows: DataFrame, path: str, loaded: str) -> None:
+    """Appends only segments that were not loaded before; safe to repeat.
+
+    ``loaded`` is a small table of the names already in ``path``; the signal itself is not read.  The
+    names are added after the rows: a run that fails in between is repeated under the same names only
+    if the caller cleans its half-written rows, as with any append.
+    """
+    spark = rows.sparkSession
+    names = rows.select("name").distinct()
+    known = _read_if_there(spark, loaded, names.schema)
+    fresh_names = cut_lineage(names.join(known, "name", "left_anti"))
+    join_small(rows, fresh_names, ["name"], "left_semi").write.mode("append").parquet(path)
+    fresh_names.write.mode("append").parquet(loaded)
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str):
+    """Whatever model or pipeline was saved: the class is read from its metadata."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavecut.operators.segments import file_label
+from wavecut.operators.segments import file_label, with_null_target
 from wavecut.operators.stats import stats20
-from wavecut.sources.tables import TEST_SCHEMA, number_file_rows
+from wavecut.sources.storage import cut_lineage, join_small
+from wavecut.sources.tables import TEST_SCHEMA, number_file_rows, number_names
 
 FILES_PER_TRIGGER = 20
 
 
 def stream_csv(spark: SparkSession, folder: str, max_files: int = FILES_PER_TRIGGER) -> DataFrame:
-    """One-segment CSV files as a stream of ``name, _split, x``."""
+    """One-segment CSV files as a stream of ``name, _file, _split, x``."""
     return (
         spark.readStream.schema(TEST_SCHEMA)
         .option("header", True)
@@ -26,6 +27,7 @@ def stream_csv(spark: SparkSession, folder: str, max_files: int = FILES_PER_TRIG
         .csv(folder)
         .select(
             file_label(F.col("_metadata.file_name")).alias("name"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_split"),
             "x",
         )
@@ -67,9 +69,19 @@ def numbered_batch(rows: DataFrame) -> DataFrame:
 def ingest_segment_files(
     spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int = FILES_PER_TRIGGER
 ) -> DataFrame:
-    """Incremental load of segment files into ``out``; returns ``name, no, x, batch``."""
+    """Incremental load of segment files into ``out``; returns ``set, seg, no, name, x, y, batch``.
+
+    The same columns as ``read_segment_files`` gives, with the segments numbered by the names loaded so far.
+    """
     run_available(stream_csv(spark, folder, max_files), numbered_batch, out, checkpoint)
-    return spark.read.parquet(out)
+    loaded = spark.read.parquet(out)
+    return as_test_set(loaded, number_names(loaded.select("name").distinct()))
+
+
+def as_test_set(rows: DataFrame, key_list: DataFrame, set_tag: int = 1) -> DataFrame:
+    """Loaded rows as a set without a target; ``key_list`` (``name, seg``) numbers the segments."""
+    numbered = join_small(rows, cut_lineage(key_list.select("name", "seg")), ["name"])
+    return with_null_target(numbered.withColumn("set", F.lit(set_tag))).select("set", "seg", "no", "name", "x", "y", "batch")
 
 
 def segment_file_stats(
