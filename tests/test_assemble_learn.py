@@ -125,10 +125,22 @@ def test_candidates_stay_in_range():
 
 def test_param_search(features):
     folded = M.prepared(M.kfold_assign(features, 2))
-    best, trials = M.param_search(folded, "xgb", 3, diagnostic=True, rounds=2, max_depth=3)
-    assert trials.count() == 3 and best["maxDepth"] <= 3
-    assert M.best_trial(trials).first().mae == trials.agg(F.min("mae")).first()[0]
-    assert M.param_search(folded, "xgb", 3, rounds=2, max_depth=3) == best
+    wide = M.SPACES["xgb"]
+    space = M.Space({**wide.common, "maxDepth": M.Quantised(2, 3, 1)}, wide.branches)
+    best, trials = M.param_search(folded, "xgb", 3, diagnostic=True, rounds=2, space=space)
+    assert trials.count() == 6 and best["maxDepth"] <= 3
+    means = trials.groupBy("trial").agg(F.avg("error").alias("e"))
+    assert M.best_trial(trials).first().error == means.agg(F.min("e")).first()[0]
+    assert M.param_search(folded, "xgb", 3, rounds=2, space=space) == best
+    assert M.candidates("xgb", 5) == M.candidates("xgb", 5)
+    rmse = M.param_search(folded, "xgb", 2, diagnostic=True, rounds=2, space=space, metric="rmse")[1]
+    assert rmse.where("error > 0").count() == 4
+
+
+def test_folds_of_a_linear_model(features):
+    folded = M.kfold_assign(features, 2)
+    fit = M.cross_fit(folded, [f"f{i}" for i in range(2)], lambda: LinearRegression(regParam=0.1), 2)
+    assert fit.oof.count() == features.count() and fit.importances.where("importance >= 0").count() == 4
 
 
 def test_sequence_regression(features):
@@ -150,7 +162,7 @@ def test_window_regression(spark):
 
 def test_segment_apply_bounds_its_groups(segment_frame):
     df = segment_frame(list(range(10)), list(range(25)))
-    got = U.segment_apply(df, lambda x: {"s": x.sum(), "n": len(x)}, ["s", "n"], max_len=10)
+    got = U.segment_apply(df, lambda x: {"s": x.sum(), "n": len(x)}, ["s", "n"], chunk_rows=10)
     rows = {(r.seg, r.chunk): (r.target, r.s, r.n) for r in got.collect()}
     assert rows == {
         (0, 0): (1.0, 45.0, 10.0), (1, 0): (16.0, 45.0, 10.0), (1, 1): (6.0, 145.0, 10.0), (1, 2): (1.0, 110.0, 5.0),

@@ -148,3 +148,30 @@ def test_bad_arguments(segment_frame):
     for call in (lambda: R.rolling_std(df, (1,)), lambda: R.hann_mean(df, (2,)), lambda: R.sta_lta(df, ((5, 5),))):
         with pytest.raises(ValueError):
             call()
+
+
+@pytest.mark.parametrize("feature", [
+    lambda df: R.rolling_mean(df, (2,)), lambda df: R.rolling_std(df, (2,)), lambda df: R.bollinger(df, 2, (2,)),
+    lambda df: R.roll_extrema(df, (2,)), lambda df: R.ewma_mean(df, (3,)), lambda df: R.sta_lta(df, ((1, 2),)),
+    lambda df: R.autocorrelation(df, (1,)), lambda df: R.change_rate(df, (2,)), lambda df: R.hann_mean(df, (3,)),
+])
+def test_a_missing_sample_is_refused(spark, feature):
+    df = spark.createDataFrame([(0, 1, 1.0), (0, 2, None), (0, 3, 3.0), (0, 4, 4.0)], "seg long, no long, x double")
+    with pytest.raises(Exception, match="NULL value in segment 0 at position 2"):
+        feature(df).collect()
+
+
+def test_lengths_of_partial_segments(segment_frame):
+    rng = np.random.default_rng(6)
+    full, tail = rng.normal(size=60), rng.normal(size=25)
+    df = segment_frame(full, tail)
+    for values, seg in ((full, 0), (tail, 1)):
+        s = pd.Series(values)
+        mean = {r.seg: r.ma_5_mean for r in R.rolling_mean(df, (5,)).collect()}[seg]
+        ewm = {r.seg: r.ewma_3_mean for r in R.ewma_mean(df, (3,)).collect()}[seg]
+        assert mean == pytest.approx(s.rolling(5).mean().mean()) and ewm == pytest.approx(s.ewm(span=3).mean().mean())
+    for feature in (R.rolling_mean, R.hann_mean, R.ewma_mean):
+        with pytest.raises(Exception, match="has 25 rows, not 60"):
+            feature(df, (5,), seg_len=60).collect()
+    with pytest.raises(Exception, match="60 rows, not 30 at most"):
+        R.rolling_std(df, (5,), seg_len=30).collect()

@@ -3,10 +3,12 @@ import os
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from wavecut.operators import rolling as R
 from wavecut.operators import segments as S
+from wavecut.operators import spectral as V
 from wavecut.operators import stats as A
 from wavecut.sources import storage, tables
 from wavecut.streaming import ingest
@@ -94,11 +96,11 @@ def test_bucketed_table_needs_no_exchange(spark, scratch, segment_frame, plan_te
 
 def test_append_is_idempotent(spark, scratch, segment_frame):
     rows = segment_frame([1, 2], [3]).withColumn("name", S.segment_label(F.col("seg")))
-    out = f"{scratch}/t"
-    tables.append_new_segments(rows.where("seg = 0"), out, None)
+    out, loaded = f"{scratch}/t", f"{scratch}/loaded"
+    tables.append_new_segments(rows.where("seg = 0"), out, loaded)
     for _ in range(2):
-        tables.append_new_segments(rows, out, tables.read_table(spark, out).select("name"))
-    assert tables.read_table(spark, out).count() == 3
+        tables.append_new_segments(rows, out, loaded)
+    assert tables.read_table(spark, out).count() == 3 and tables.read_table(spark, loaded).count() == 2
 
 
 def test_views_features_and_results(spark, scratch, segment_frame):
@@ -116,7 +118,51 @@ def test_model_round_trip(spark, scratch):
     model = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="v")]).fit(df)
     for _ in range(2):
         tables.save_model(model, f"{scratch}/m")
-    assert tables.load_model(f"{scratch}/m").transform(df).count() == 2
+    assert tables.load_model(spark, f"{scratch}/m").transform(df).count() == 2
+
+
+@pytest.mark.parametrize("estimator", [
+    RandomForestRegressor(numTrees=3), GBTRegressor(maxIter=2), LinearRegression(regParam=0.1),
+])
+def test_any_model_is_loaded_by_its_class(spark, scratch, estimator):
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(
+        spark.range(30).selectExpr("cast(id as double) a", "cast(id % 7 as double) label")
+    )
+    model = estimator.fit(df)
+    tables.save_model(model, f"{scratch}/m")
+    again = tables.load_model(spark, f"{scratch}/m")
+    assert type(again) is type(model)
+    assert [r.prediction for r in again.transform(df).collect()] == [r.prediction for r in model.transform(df).collect()]
+
+
+def test_scalers_are_saved(spark, scratch):
+    df = spark.createDataFrame([(1.0, [1.0, 5.0]), (3.0, [2.0, 9.0]), (8.0, [4.0, 1.0])], "a double, v array<double>")
+    columns, unit = V.fit_column_scaler(df, ["a"]), V.fit_unit_scaler(df, ["v"], [2])
+    columns.save(f"{scratch}/c")
+    unit.save(f"{scratch}/u")
+    assert V.ColumnScaler.load(spark, f"{scratch}/c") == columns
+    again = V.UnitScaler.load(spark, f"{scratch}/u")
+    assert again.transform(df).collect() == unit.transform(df).collect()
+
+
+def test_csv_files_are_numbered_in_name_order(spark, scratch, plan_text):
+    sizes, rows = {"a": 700, "b": 40, "c": 460}, []
+    for name, n in sizes.items():
+        values = [len(rows) + i for i in range(n)]
+        with open(f"{scratch}/{name}.csv", "w") as f:
+            f.write("acoustic_data,time_to_failure\n" + "".join(f"{v},{v / 2}\n" for v in values))
+        rows += values
+    numbered = S.number_signal(tables.read_ordered_csv(spark, scratch), 300)
+    got = sorted((r.uid, r.seg, r.no, r.x) for r in numbered.collect())
+    assert got == [(i + 1, i // 300, i % 300 + 1, float(i)) for i in range(1200)]
+    plan = plan_text(S.file_order_index(tables.read_ordered_csv(spark, scratch)))
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_null_ids_are_refused(spark):
+    df = spark.createDataFrame([(1,), (None,)], "uid long")
+    with pytest.raises(Exception, match="no place in the order"):
+        S.consecutive_index(df).collect()
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -88,7 +88,18 @@ def test_packing_is_ordered(segment_frame):
     x = signal(500, 2)
     got = {r.seg: r["values"] for r in A.pack_segments(segment_frame(*x)).collect()}
     assert got[0] == list(x[0]) and got[1] == list(x[1])
-    assert len(A.pack_segments(segment_frame(x[0]), max_len=100).first()["values"]) == 100
+    assert len(A.pack_segments(segment_frame(x[0]), max_len=500).first()["values"]) == 500
+    with pytest.raises(Exception, match="outside 1..100"):
+        A.pack_segments(segment_frame(x[0]), max_len=100).collect()
+
+
+def test_lengths_are_counted_or_checked(segment_frame):
+    df = segment_frame(*signal(500, 1), *signal(200, 1))
+    got = {r.seg: r for r in A.head_tail_stats(df, (50,)).collect()}
+    tail = signal(200, 1)[0][-50:]
+    assert got[1].avg_last_50 == pytest.approx(float(np.mean(tail)))
+    with pytest.raises(Exception, match="segment 1 has 200 rows, not 500"):
+        A.head_tail_stats(df, (50,), seg_len=500).collect()
 
 
 def test_grouped_statistics_scan_only_what_they_need(spark, scratch, segment_frame, plan_text):
@@ -127,13 +138,14 @@ def test_percentiles_of_oversized_groups_are_exact(segment_frame, max_group):
 
 
 def test_salted_join_equals_broadcast(spark, segment_frame, monkeypatch, plan_text):
-    from wavecut.operators import quantiles as Q
+    from wavecut.sources import storage as Q
 
     df = segment_frame(*signal(200, 4))
     table = spark.createDataFrame([(0, 1), (2, 5)], "seg long, k long")
     pick = lambda d: sorted(tuple(r) for r in d.select("seg", "no", "k").collect())
     small = Q.join_small(df, table, ["seg"])
     monkeypatch.setattr(Q, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 30)
     spread = Q.join_small(df, table, ["seg"])
     assert pick(small) == pick(spread) and len(pick(small)) == 400
     assert Q.join_small(df, table, ["seg"], "left_anti").count() == 400

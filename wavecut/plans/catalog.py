@@ -704,7 +704,7 @@ def _staged(spark: SparkSession, d: str, name: str, seg_len: int) -> tuple[DataF
     run = run_folder(spark, f"{name}-{uuid.uuid4().hex[:8]}", d)  # a stream's state is never shared by runs
     rows = labelled(event_signal(spark, d, seg_len)).select("name", "seg", "no", "x")
     count = row_count(events(spark, d)).first()["n"]
-    files = max(1, math.ceil(count / seg_len))
+    files = min(64, max(1, math.ceil(count / seg_len)))  # more than three loads of twenty
     rows.repartitionByRange(files, "seg").sortWithinPartitions("seg", "no").write.parquet(f"{run}/in")
     return rows, run
 
