@@ -1,12 +1,41 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from tests_llm_helpers import plain_stages
+from wavecut.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_stages(docs, items):
+    """Ids that the filtering stages keep, by definition and over all pairs; passages by exact repeats."""
+    letters = [d for d in docs if d.text and any(map(str.isalpha, d.text))]
+    fps = np.array([fingerprint(d.text) for d in letters], dtype=np.uint64)
+    group = list(range(len(letters)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(letters)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1:] ^ fps[i]) <= 4) + i + 1:
+            group[root(i)] = root(int(j))
+    first = {}
+    for i, d in enumerate(letters):
+        first[root(i)] = min(first.get(root(i), d.doc_id), d.doc_id)
+    stay = [d for d in letters if d.doc_id in set(first.values())]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    questions = [g for g in (grams(b.text or "") for b in items) if g]
+    return {d.doc_id: d.text for d in stay if not any(len(q & g) / len(q) >= 0.9 for g in [grams(d.text)] for q in questions)}
+
+
 def test_stages_and_result(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, rows = docs.columns, docs
