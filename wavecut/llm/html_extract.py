@@ -171,7 +171,7 @@ FEATURES = [
     *(f"tag_{t}" for t in TAGS), *(f"own_{w}" for w in WORDS), *(f"above_{w}" for w in WORDS),
     *(f"in_{t}" for t in ("article", "main", "nav", "header", "footer", "aside", "form")), "hidden", "depth", "children",
     "place_among_siblings", "like_siblings", "log_chars", "link_share", "chars_per_node", "words_per_block", "stops_per_word",
-    "share_of_page", "page_before", "holds_article",
+    "share_of_page", "page_before", "holds_article", "own_surroundings", "above_surroundings",
 ]
 _ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form")
 
@@ -233,6 +233,8 @@ def features(page: Page) -> np.ndarray:
     x[:, s0 + 10] = chars / max(total, 1)
     x[:, s0 + 11] = run / max(total, 1)
     x[:, s0 + 12] = article
+    x[:, s0 + 13] = x[:, w0 + 1:a0].max(axis=1)  # any word but those of content
+    x[:, s0 + 14] = x[:, a0 + 1:t0].max(axis=1)
     return x
 
 
@@ -303,15 +305,10 @@ def read_trees(model) -> Trees:
     return Trees(out, list(model.treeWeights))
 
 
-# Boilerplate of known kind for the rewritten training pages: (element, attributes, kind of filling).
-EXTRA = (
-    ("header", "", "links"), ("div", 'class="site-header"', "line"), ("aside", "", "links"), ("div", 'class="sidebar"', "links"),
-    ("div", 'class="cookie-notice"', "line"), ("div", 'id="consent"', "line"), ("section", 'class="comments"', "comments"),
-    ("div", 'id="comments"', "comments"), ("form", 'action="/s"', "line"), ("div", 'class="newsletter-signup"', "line"),
-    ("div", 'class="related-posts"', "links"), ("div", 'class="advert"', "line"), ("div", 'class="sponsored"', "line"),
-    ("div", 'class="share-buttons"', "links"), ("nav", 'class="breadcrumbs"', "links"), ("aside", 'class="widget"', "line"),
-    ("section", 'id="reader-comments"', "comments"), ("div", 'class="alert"', "line"), ("div", 'role="banner"', "line"),
-)
+# Boilerplate of known kind for the rewritten training pages: elements by themselves, and elements marked by a word.
+PLAIN_EXTRA = (("header", "links"), ("header", "line"), ("aside", "links"), ("aside", "line"), ("nav", "links"), ("form", "line"), ("footer", "line"))
+FILLING = {"menu": "links", "side": "links", "comment": "comments"}
+SPELLINGS = ('class="{0}"', 'id="{0}"', 'class="{0}-box"', 'class="site-{0}"', 'class="block {0}"', 'role="{0}"', 'id="{0}-area"')
 NEUTRAL = {
     "article": ("div", ('class="post-content"', 'id="content"', 'class="entry"', 'class="article-body"', "", "")),
     "main": ("div", ('id="main"', 'class="main-content"', "")),
@@ -353,15 +350,25 @@ def rewritten(source: str, rng: np.random.Generator, lines: list[str]) -> str:
             return "<ul>" + "".join(f'<li><a href="/x">{" ".join(p.split()[:3])}</a></li>' for p in pick) + "</ul>"
         if kind == "comments":
             return "".join(f'<div class="comment"><p>{p} {q}</p></div>' for p, q in zip(pick, pick[::-1]))
-        return f"<p>{pick[0]}</p>" if rng.random() < 0.5 else pick[0]
+        words = pick[0].split()
+        short = " ".join(words[: int(rng.integers(1, 12))]) if rng.random() < 0.6 else pick[0]
+        return f"<p>{short}</p>" if rng.random() < 0.5 else short
 
     def extra() -> str:
-        tag, attrs, kind = EXTRA[rng.integers(len(EXTRA))]
-        return f'<{tag} {attrs} data-x="drop">{filling(kind)}</{tag}>'
+        if rng.random() < 0.3:
+            tag, kind = PLAIN_EXTRA[rng.integers(len(PLAIN_EXTRA))]
+            return f'<{tag} data-x="drop">{filling(kind)}</{tag}>'
+        group = list(WORDS)[int(rng.integers(1, len(WORDS)))]
+        marks = WORDS[group].split()
+        mark = SPELLINGS[rng.integers(len(SPELLINGS))].format(marks[rng.integers(len(marks))])
+        tag = ("div", "div", "section", "aside", "p")[rng.integers(5)]
+        kind = FILLING.get(group, "line" if rng.random() < 0.7 else "links")
+        body = filling(kind)
+        return f'<{tag} {mark} data-x="drop">{re.sub("</?(p|div|ul|li)[^>]*>", " ", body) if tag == "p" else body}</{tag}>'
 
     out = reshaped(source, rng)
     for place in (r"<article\b[^>]*>", r"</article>", r"<body\b[^>]*>", r"</p>"):
-        if rng.random() < (0.25 if place == "</p>" else 0.6):
+        for _ in range(int(rng.integers(0, 3))):
             m = list(re.finditer(place, out, re.I))
             if m:
                 x = m[int(rng.integers(len(m)))]
@@ -431,7 +438,7 @@ def training_nodes(pages: DataFrame, max_pages: int, variants: int, seed: int, k
 
 
 def fit(
-    pages: DataFrame, max_pages: int = 240, variants: int = 4, rounds: int = 20, depth: int = 4, seed: int = 5,
+    pages: DataFrame, max_pages: int = 240, variants: int = 4, rounds: int = 30, depth: int = 4, seed: int = 5,
     key: str = "page_id", source: str = "html", folder: str | None = None,
 ) -> Trees | None:
     """Boosted trees from at most ``max_pages`` labelled pages; None where no page tells its article."""
