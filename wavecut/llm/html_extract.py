@@ -438,7 +438,7 @@ def training_nodes(pages: DataFrame, max_pages: int, variants: int, seed: int, k
 
 
 def fit(
-    pages: DataFrame, max_pages: int = 240, variants: int = 4, rounds: int = 30, depth: int = 4, seed: int = 5,
+    pages: DataFrame, max_pages: int = 240, variants: int = 4, rounds: int = 10, depth: int = 5, seed: int = 5,
     key: str = "page_id", source: str = "html", folder: str | None = None,
 ) -> Trees | None:
     """Boosted trees from at most ``max_pages`` labelled pages; None where no page tells its article."""
@@ -447,7 +447,7 @@ def fit(
     if nodes.select("label").distinct().count() < 2:
         return None
     data = nodes.select("label", array_to_vector("x").alias("features")).coalesce(1)
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, cacheNodeIds=False)
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.5, seed=seed, maxMemoryInMB=512)
     return read_trees(gbt.fit(data))
 
 
