@@ -122,13 +122,13 @@ def test_model_round_trip(spark, scratch):
 
 
 @pytest.mark.parametrize("estimator", [
-    RandomForestRegressor(numTrees=3), GBTRegressor(maxIter=2), LinearRegression(regParam=0.1),
+    lambda: RandomForestRegressor(numTrees=3), lambda: GBTRegressor(maxIter=2), lambda: LinearRegression(regParam=0.1),
 ])
 def test_any_model_is_loaded_by_its_class(spark, scratch, estimator):
     df = VectorAssembler(inputCols=["a"], outputCol="features").transform(
         spark.range(30).selectExpr("cast(id as double) a", "cast(id % 7 as double) label")
     )
-    model = estimator.fit(df)
+    model = estimator().fit(df)
     tables.save_model(model, f"{scratch}/m")
     again = tables.load_model(spark, f"{scratch}/m")
     assert type(again) is type(model)
