@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wavecut.functions import weights as W
-from wavecut.operators.segments import KEYS, complete_values
+from wavecut.operators.segments import KEYS, complete_values, only_lengths
 from wavecut.operators.stats import same_lengths, with_segment_length
 from wavecut.sources.storage import cut_lineage, join_small
 
@@ -151,9 +151,7 @@ def ordered_rows(
         rows = base.withColumns(
             {"n": F.count(F.lit(1)).over(whole), "mu": F.avg("x").over(whole)}
         )
-        said = F.concat(F.lit("a segment has "), F.col("n").cast("string"), F.lit(f" rows, not {seg_len} at most"))
-        short = F.when(F.col("n") <= seg_len, F.col("n"))
-        return Ordered(rows.withColumn("n", F.coalesce(short, F.raise_error(said).cast("bigint"))), w, False)
+        return Ordered(only_lengths(rows, F.col("n") <= seg_len, keys, "n", f"{seg_len} at most"), w, False)
     size = max(chunk_rows or CHUNK_ROWS, 1)
     totals = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mu")))
     chunk_of = lambda pos: F.floor((pos - 1) / size)
