@@ -71,3 +71,14 @@ def test_odd_tables(spark, items):
 def test_small_filter_changes_nothing(spark, items):
     a = found(spark, items, [f"{FILL} {ITEM}", FILL], filter_bits=7)
     assert set(a) == {(0, 1)}
+
+
+def test_repeated_template_in_one_item(spark):
+    text = "In the big yard while Alice has 3 red apples, Bob has 5 red apples and they want to share all of them with every child in town today"
+    more = spark.createDataFrame([(1, text)], "item_id long, text string")
+    changed = text.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "8").replace("5", "11")
+    extra = changed.replace("yard", "open yard")
+    mixed = text.replace("Alice", "Carol").replace("Bob", "Carol").replace("3", "8").replace("5", "11")
+    got = found(spark, more, [f"{FILL} {changed} {FILL}", text, extra, mixed])
+    assert {k[0]: r.kind for k, r in got.items()} == {0: "reparameterised", 1: "verbatim", 2: "reparameterised"}
+    assert got[0, 1].similarity == 1.0

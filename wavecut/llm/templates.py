@@ -226,6 +226,15 @@ def contaminated(
     slack = F.greatest(F.lit(1), F.floor(F.col("n_tokens") * (1 - similarity)))
     jump = F.coalesce((F.col("diag") - F.lag("diag").over(order) > slack).cast("int"), F.lit(1))
     occurrences = pairs.withColumn("jump", jump).withColumn("occ", F.sum("jump").over(order))
+    # An item that repeats a template also meets itself on other diagonals: each position keeps its longest run.
+    along = Window.partitionBy("doc_id", "item_id", "occ", "diag")
+    island = F.col("item_pos") - F.dense_rank().over(along.orderBy("item_pos"))
+    run = Window.partitionBy("doc_id", "item_id", "occ", "diag", "island")
+    length = F.max("item_pos").over(run) - F.min("item_pos").over(run)
+    choice = Window.partitionBy("doc_id", "item_id", "occ", "item_pos").orderBy(F.desc("length"), "diag")
+    occurrences = occurrences.withColumn("island", island).withColumn("length", length).withColumn(
+        "choice", F.dense_rank().over(choice)
+    ).where("choice = 1")
     zipped = F.arrays_zip("item_slots", "doc_slots")
     same = F.col("item_slots") == F.col("doc_slots")
     merged = occurrences.groupBy("doc_id", "item_id", "occ", "n_windows").agg(
