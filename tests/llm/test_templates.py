@@ -82,3 +82,11 @@ def test_repeated_template_in_one_item(spark):
     got = found(spark, more, [f"{FILL} {changed} {FILL}", text, extra, mixed])
     assert {k[0]: r.kind for k, r in got.items()} == {0: "reparameterised", 1: "verbatim", 2: "reparameterised"}
     assert got[0, 1].similarity == 1.0
+
+
+def test_items_dense_in_numbers(spark):
+    rows = [(1, "Compute 12 + 34 * 56 - 78"), (2, "3 km 4 km 5 km 6 km 7 km"), (3, ITEM), (4, "2 4 8 16 32 64 128 256")]
+    more = spark.createDataFrame(rows, "item_id long, text string")
+    changed = ITEM.replace("60", "95").replace("3 km", "9 km").replace("75", "12.5")
+    got = found(spark, more, [f"{FILL} {t} {FILL}" for _, t in rows] + [changed, "3 4 8 17 32 65 128 257", "Compute 13 + 34 * 57 - 79"])
+    assert {k: r.kind for k, r in got.items()} == {(0, 1): "verbatim", (1, 2): "verbatim", (2, 3): "verbatim", (3, 4): "verbatim", (4, 3): "reparameterised"}

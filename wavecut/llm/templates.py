@@ -108,22 +108,31 @@ class Tokens:
         after[1:] = (self.type[:-1] == NUMBER) & (self.doc[1:] == self.doc[:-1])
         self.type[(k == _UNIT_WORD) & after] = UNIT
         self.hash = np.where(self.type == PLAIN, kinds.hash[self.row], self.type.astype(np.uint64))
+        self.exact = kinds.hash[self.row] ^ self.second.astype(np.uint64)
         n = int(doc[-1]) + 1 if len(doc) else 0
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
 
-    def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each window inside one text with at least ``literal`` plain tokens."""
+    def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and hash of each window inside one text, and whether it has at least ``literal`` plain tokens.
+
+        Windows with fewer are hashed with the values in their slots: they are found verbatim only.
+        """
         n = len(self.hash) - width + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
         h, plain = np.full(n, width, dtype=np.uint64), np.zeros(n, dtype=np.int8)
         with np.errstate(over="ignore"):
             for j in range(width):
                 h = (h ^ (h >> np.uint64(31))) * _HASH_BASE + self.hash[j:j + n]
                 plain += self.type[j:j + n] == PLAIN
-        good = (self.doc[:n] == self.doc[width - 1:]) & (plain >= literal)
-        at = np.flatnonzero(good)
-        return at, mix64(h[at])
+            at = np.flatnonzero(self.doc[:n] == self.doc[width - 1:])
+            h, plain = mix64(h[at]), plain[at] >= literal
+            bare = at[~plain]
+            x = np.full(len(bare), width, dtype=np.uint64)
+            for j in range(width):
+                x = (x ^ (x >> np.uint64(31))) * _HASH_BASE + self.exact[bare + j]
+            h[~plain] = mix64(x, 1)
+        return at, h, plain
 
     def slots(self, at: int, width: int) -> list[str]:
         """Type and value of each slot in a window."""
@@ -138,34 +147,35 @@ def _window_table(texts: list[str | None], kinds: WordKinds, width: int, literal
     t = kinds.tokens(texts)
     sizes = np.diff(t.first) if len(t.first) else np.zeros(0, dtype=np.int64)
     for w in sorted({min(width, int(s)) for s in sizes if s}):
-        at, h = t.windows(w, min(literal, w))
-        for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
+        at, h, plain = t.windows(w, min(literal, w))
+        for i, x, p in zip(at.tolist(), h.view(np.int64).tolist(), plain.tolist()):
             d = int(t.doc[i])
             if min(width, int(sizes[d])) == w:
-                yield d, i - int(t.first[d]), w, int(sizes[d]), x, t.slots(i, w)
+                yield d, i - int(t.first[d]), w, int(sizes[d]), x, t.slots(i, w), p
 
 
 def item_windows(items: DataFrame, width: int = 5, literal: int = 3, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, item_pos, width, n_tokens, h, item_slots`` of each template window of each item.
+    """``item_id, item_pos, width, n_tokens, h, item_slots, typed`` of each window of each item.
 
-    Items whose windows have fewer than ``literal`` plain tokens give no window and match nothing.
+    Windows with fewer than ``literal`` plain tokens are not ``typed``: they match verbatim.  Items of fewer
+    than ``literal`` tokens give no window and match nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = WordKinds()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for d, pos, w, n, h, slots in _window_table(batch.column(1).to_pylist(), kinds, width, literal):
+            for d, pos, w, n, h, slots, typed in _window_table(batch.column(1).to_pylist(), kinds, width, literal):
                 if n >= literal:
-                    out.append((ids[d], pos, w, n, h, slots))
+                    out.append((ids[d], pos, w, n, h, slots, typed))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
-                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots"],
+                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()))],
+                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots", "typed"],
             )
 
     rows = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>")
+    return rows.mapInArrow(run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>, typed boolean")
 
 
 def _filter_words(windows: DataFrame, bits: int) -> np.ndarray:
@@ -204,7 +214,7 @@ def contaminated(
                 batch = whole.slice(first, 1000)
                 t, ids, out = kinds.tokens(batch.column(1).to_pylist()), batch.column(0).to_pylist(), []
                 for w in widths:
-                    at, h = t.windows(w, min(literal, w))
+                    at, h, _ = t.windows(w, min(literal, w))
                     place = h >> shift
                     maybe = (words.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                     for i, x in zip(at[maybe].tolist(), h[maybe].view(np.int64).tolist()):
@@ -218,26 +228,29 @@ def contaminated(
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     found = rows.mapInArrow(scan, "doc_id long, doc_pos int, h long, doc_slots array<string>")
-    sizes = targets.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    pairs = found.join(targets.join(sizes, "item_id"), "h").withColumn("diag", F.col("doc_pos") - F.col("item_pos"))
+    # Level 0 judges the typed windows alone, so that changed numbers cost nothing; level 1 judges all windows.
+    levels = targets.withColumn("level", F.explode(F.when(F.col("typed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    sizes = levels.groupBy("item_id", "level").agg(F.countDistinct("item_pos").alias("n_windows"))
+    pairs = found.join(levels.join(sizes, ["item_id", "level"]), "h").withColumn("diag", F.col("doc_pos") - F.col("item_pos"))
 
     # Occurrences: runs of nearby diagonals; edits move the diagonal by a few tokens.
-    order = Window.partitionBy("doc_id", "item_id").orderBy("diag", "item_pos")
+    order = Window.partitionBy("doc_id", "item_id", "level").orderBy("diag", "item_pos")
     slack = F.greatest(F.lit(1), F.floor(F.col("n_tokens") * (1 - similarity)))
     jump = F.coalesce((F.col("diag") - F.lag("diag").over(order) > slack).cast("int"), F.lit(1))
     occurrences = pairs.withColumn("jump", jump).withColumn("occ", F.sum("jump").over(order))
     # An item that repeats a template also meets itself on other diagonals: each position keeps its longest run.
-    along = Window.partitionBy("doc_id", "item_id", "occ", "diag")
+    along = Window.partitionBy("doc_id", "item_id", "level", "occ", "diag")
     island = F.col("item_pos") - F.dense_rank().over(along.orderBy("item_pos"))
-    run = Window.partitionBy("doc_id", "item_id", "occ", "diag", "island")
+    run = Window.partitionBy("doc_id", "item_id", "level", "occ", "diag", "island")
     length = F.max("item_pos").over(run) - F.min("item_pos").over(run)
-    choice = Window.partitionBy("doc_id", "item_id", "occ", "item_pos").orderBy(F.desc("length"), "diag")
+    choice = Window.partitionBy("doc_id", "item_id", "level", "occ", "item_pos").orderBy(F.desc("length"), "diag")
     occurrences = occurrences.withColumn("island", island).withColumn("length", length).withColumn(
         "choice", F.dense_rank().over(choice)
     ).where("choice = 1")
+    occurrences = occurrences.withColumn("doc_slots", F.when(F.col("typed"), F.col("doc_slots")).otherwise(F.col("item_slots")))
     zipped = F.arrays_zip("item_slots", "doc_slots")
     same = F.col("item_slots") == F.col("doc_slots")
-    merged = occurrences.groupBy("doc_id", "item_id", "occ", "n_windows").agg(
+    merged = occurrences.groupBy("doc_id", "item_id", "level", "occ", "n_windows").agg(
         (F.countDistinct("item_pos") / F.col("n_windows")).alias("similarity"),
         (F.countDistinct(F.when(same, F.col("item_pos"))) / F.col("n_windows")).alias("literal"),
         F.min("doc_pos").alias("token_start"),
