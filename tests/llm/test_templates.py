@@ -90,3 +90,14 @@ def test_items_dense_in_numbers(spark):
     changed = ITEM.replace("60", "95").replace("3 km", "9 km").replace("75", "12.5")
     got = found(spark, more, [f"{FILL} {t} {FILL}" for _, t in rows] + [changed, "3 4 8 17 32 65 128 257", "Compute 13 + 34 * 57 - 79"])
     assert {k: r.kind for k, r in got.items()} == {(0, 1): "verbatim", (1, 2): "verbatim", (2, 3): "verbatim", (3, 4): "verbatim", (4, 3): "reparameterised"}
+
+
+def test_names_that_open_a_sentence(spark):
+    rows = [(1, "Alice has 3 apples. Bob gives her 5 more. How many apples does Alice have?"),
+            (2, "They went to see Alice's new house and Alice's old garden before Bob's mother came home to cook.")]
+    more = spark.createDataFrame(rows, "item_id long, text string")
+    new = [t.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "8").replace("5", "11") for _, t in rows]
+    wrong = new[1].replace("Carol's old", "Erin's old")
+    got = found(spark, more, [f"{FILL}. {t} {FILL}" for t in new] + [t for _, t in rows] + [wrong, f"{FILL} {rows[0][1]}", FILL.title()])
+    kinds = {k: r.kind for k, r in got.items()}
+    assert kinds == {(0, 1): "reparameterised", (1, 2): "reparameterised", (2, 1): "verbatim", (3, 2): "verbatim", (5, 1): kinds[5, 1]}

@@ -32,6 +32,7 @@ UNITS = frozenset(
 )
 _MARKS = "".join(c for c in string.punctuation if c not in "%$") + "«»“”„‘’…–—¿¡"
 _NUMBER = re.compile(r"([€$£¥]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]*|[%€$£¥])$")
+_POSSESSIVE = re.compile(r"(\w\w+)['’]s$")
 _HASH_BASE = np.uint64(0x100000001B3)
 
 
@@ -59,6 +60,8 @@ class WordKinds:
                 kind, values = _UNIT_WORD, (low,)
             elif len(core) > 1 and core[0].isupper() and core[1:].islower():
                 kind, values = _TITLE, (low,)
+        elif (m := _POSSESSIVE.match(core)) and m[1].isalpha() and m[1][0].isupper() and m[1][1:].islower():
+            kind, values = _TITLE, (m[1].lower(),)
         elif m := _NUMBER.match(core):
             before, number, after = m.groups()
             unit = (before + after).lower()
@@ -95,9 +98,10 @@ class Tokens:
         kind = kinds.kind[row]
         opens = np.ones(len(row), dtype=bool)
         opens[1:] = kinds.ends[row[:-1]] | (doc[1:] != doc[:-1])
-        kind = np.where((kind == _TITLE) & opens, _WORD, kind)
+        opens &= kind == _TITLE
+        kind = np.where(opens, _WORD, kind)
         word = np.repeat(np.arange(len(row)), np.where(kind == _SKIP, 0, np.where(kind == _NUM_UNIT, 2, 1)))
-        self.kinds, self.row, self.doc = kinds, row[word], doc[word]
+        self.kinds, self.row, self.doc, self.opener = kinds, row[word], doc[word], opens[word]
         self.second = np.zeros(len(word), dtype=bool)
         self.second[1:] = word[1:] == word[:-1]
         k = kind[word]
@@ -112,33 +116,49 @@ class Tokens:
         n = int(doc[-1]) + 1 if len(doc) else 0
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
 
-    def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and hash of each window inside one text, and whether it has at least ``literal`` plain tokens.
+    def windows(self, width: int, literal: int) -> tuple[np.ndarray, ...]:
+        """Start and hash of each window inside one text, and three marks for each.
 
-        Windows with fewer are hashed with the values in their slots: they are found verbatim only.
+        ``typed``: it has at least ``literal`` plain tokens; windows with fewer are hashed with the values in
+        their slots and are found verbatim only.  ``names``: bits of the capitalised sentence openers that are read as
+        names; a typed window has one row for each such reading.  ``firm``: typed even if all of them are names.
         """
         n = len(self.hash) - width + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-        h, plain = np.full(n, width, dtype=np.uint64), np.zeros(n, dtype=np.int8)
-        with np.errstate(over="ignore"):
-            for j in range(width):
-                h = (h ^ (h >> np.uint64(31))) * _HASH_BASE + self.hash[j:j + n]
-                plain += self.type[j:j + n] == PLAIN
-            at = np.flatnonzero(self.doc[:n] == self.doc[width - 1:])
-            h, plain = mix64(h[at]), plain[at] >= literal
-            bare = at[~plain]
-            x = np.full(len(bare), width, dtype=np.uint64)
-            for j in range(width):
-                x = (x ^ (x >> np.uint64(31))) * _HASH_BASE + self.exact[bare + j]
-            h[~plain] = mix64(x, 1)
-        return at, h, plain
-
-    def slots(self, at: int, width: int) -> list[str]:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none.astype(np.uint64), none.astype(bool), none, none.astype(bool)
+        plain, openers = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=np.int64)
+        for j in range(width):
+            plain += self.type[j:j + n] == PLAIN
+            openers |= self.opener[j:j + n].astype(np.int64) << j
+        inside = self.doc[:n] == self.doc[width - 1:]
+        firm = plain - np.bitwise_count(openers).astype(np.int8) >= literal
+
+        def hashed(at: np.ndarray, names: int = 0, exact: bool = False) -> np.ndarray:
+            h = np.full(len(at), width, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(width):
+                    token = np.uint64(NAME) if names >> j & 1 else (self.exact if exact else self.hash)[at + j]
+                    h = (h ^ (h >> np.uint64(31))) * _HASH_BASE + token
+            return mix64(h, int(exact))
+
+        rows = []
+        for exact in (False, True):
+            at = np.flatnonzero(inside & ((plain < literal) if exact else (plain >= literal)))
+            rows.append((at, hashed(at, exact=exact), 0))
+        some = np.flatnonzero(inside & (openers > 0) & (plain > literal))
+        for names in range(1, 1 << width):
+            at = some[(openers[some] & names == names) & (plain[some] - names.bit_count() >= literal)]
+            if len(at):
+                rows.append((at, hashed(at, names), names))
+        at, h = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        return at, h, plain[at] >= literal, np.repeat([r[2] for r in rows], [len(r[0]) for r in rows]), firm[at]
+
+    def slots(self, at: int, width: int, names: int = 0) -> list[str]:
         """Type and value of each slot in a window."""
+        types = [NAME if names >> j & 1 else int(self.type[at + j]) for j in range(width)]
         return [
-            f"{'-#@%'[self.type[i]]}{self.kinds.values[self.row[i]][int(self.second[i])]}"
-            for i in range(at, at + width) if self.type[i] != PLAIN
+            f"{'-#@%'[k]}{self.kinds.values[self.row[i]][int(self.second[i])]}" for i, k in enumerate(types, at) if k != PLAIN
         ]
 
 
@@ -147,17 +167,18 @@ def _window_table(texts: list[str | None], kinds: WordKinds, width: int, literal
     t = kinds.tokens(texts)
     sizes = np.diff(t.first) if len(t.first) else np.zeros(0, dtype=np.int64)
     for w in sorted({min(width, int(s)) for s in sizes if s}):
-        at, h, plain = t.windows(w, min(literal, w))
-        for i, x, p in zip(at.tolist(), h.view(np.int64).tolist(), plain.tolist()):
+        at, h, *marks = t.windows(w, min(literal, w))
+        for i, x, typed, names, firm in zip(at.tolist(), h.view(np.int64).tolist(), *(m.tolist() for m in marks)):
             d = int(t.doc[i])
             if min(width, int(sizes[d])) == w:
-                yield d, i - int(t.first[d]), w, int(sizes[d]), x, t.slots(i, w), p
+                yield d, i - int(t.first[d]), w, int(sizes[d]), x, t.slots(i, w, names), typed, names > 0, firm
 
 
 def item_windows(items: DataFrame, width: int = 5, literal: int = 3, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, item_pos, width, n_tokens, h, item_slots, typed`` of each window of each item.
+    """``item_id, item_pos, width, n_tokens, h, item_slots, typed, named, firm`` of each window of each item.
 
-    Windows with fewer than ``literal`` plain tokens are not ``typed``: they match verbatim.  Items of fewer
+    Windows with fewer than ``literal`` plain tokens are not ``typed``: they match verbatim.  A capitalised sentence
+    opener is read as a word, and once more as a name (``named``).  Items of fewer
     than ``literal`` tokens give no window and match nothing.
     """
 
@@ -165,17 +186,19 @@ def item_windows(items: DataFrame, width: int = 5, literal: int = 3, key: str =
         kinds = WordKinds()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for d, pos, w, n, h, slots, typed in _window_table(batch.column(1).to_pylist(), kinds, width, literal):
-                if n >= literal:
-                    out.append((ids[d], pos, w, n, h, slots, typed))
+            for d, *row in _window_table(batch.column(1).to_pylist(), kinds, width, literal):
+                if row[2] >= literal:
+                    out.append((ids[d], *row))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()))],
-                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots", "typed"],
+                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.bool_()] * 3))],
+                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots", "typed", "named", "firm"],
             )
 
     rows = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>, typed boolean")
+    return rows.mapInArrow(
+        run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>, typed boolean, named boolean, firm boolean"
+    )
 
 
 def _filter_words(windows: DataFrame, bits: int) -> np.ndarray:
@@ -214,24 +237,28 @@ def contaminated(
                 batch = whole.slice(first, 1000)
                 t, ids, out = kinds.tokens(batch.column(1).to_pylist()), batch.column(0).to_pylist(), []
                 for w in widths:
-                    at, h, _ = t.windows(w, min(literal, w))
+                    at, h, _, names, _ = t.windows(w, min(literal, w))
                     place = h >> shift
                     maybe = (words.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    for i, x in zip(at[maybe].tolist(), h[maybe].view(np.int64).tolist()):
+                    for i, x, m in zip(at[maybe].tolist(), h[maybe].view(np.int64).tolist(), names[maybe].tolist()):
                         d = int(t.doc[i])
-                        out.append((ids[d], i - int(t.first[d]), x, t.slots(i, w)))
+                        out.append((ids[d], i - int(t.first[d]), x, t.slots(i, w, m), m > 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in out], x) for i, x in enumerate(
-                        (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
-                    names=["doc_id", "doc_pos", "h", "doc_slots"],
+                        (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()))],
+                    names=["doc_id", "doc_pos", "h", "doc_slots", "doc_named"],
                 )
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    found = rows.mapInArrow(scan, "doc_id long, doc_pos int, h long, doc_slots array<string>")
-    # Level 0 judges the typed windows alone, so that changed numbers cost nothing; level 1 judges all windows.
-    levels = targets.withColumn("level", F.explode(F.when(F.col("typed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    found = rows.mapInArrow(scan, "doc_id long, doc_pos int, h long, doc_slots array<string>, doc_named boolean")
+    # Level 0 judges the typed windows alone, so that changed numbers cost nothing; level 1 judges all windows; level 2
+    # also reads sentence openers as names, on the windows that are typed even then.
+    word = F.when(F.col("named"), F.array().cast("array<int>")).when(F.col("typed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    levels = targets.withColumn("level", F.explode(F.concat(word, F.when(F.col("firm"), F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))))
     sizes = levels.groupBy("item_id", "level").agg(F.countDistinct("item_pos").alias("n_windows"))
-    pairs = found.join(levels.join(sizes, ["item_id", "level"]), "h").withColumn("diag", F.col("doc_pos") - F.col("item_pos"))
+    pairs = found.join(levels.join(sizes, ["item_id", "level"]), "h").where("level = 2 or not doc_named").withColumn(
+        "diag", F.col("doc_pos") - F.col("item_pos")
+    )
 
     # Occurrences: runs of nearby diagonals; edits move the diagonal by a few tokens.
     order = Window.partitionBy("doc_id", "item_id", "level").orderBy("diag", "item_pos")
@@ -243,7 +270,9 @@ def contaminated(
     island = F.col("item_pos") - F.dense_rank().over(along.orderBy("item_pos"))
     run = Window.partitionBy("doc_id", "item_id", "level", "occ", "diag", "island")
     length = F.max("item_pos").over(run) - F.min("item_pos").over(run)
-    choice = Window.partitionBy("doc_id", "item_id", "level", "occ", "item_pos").orderBy(F.desc("length"), "diag")
+    choice = Window.partitionBy("doc_id", "item_id", "level", "occ", "item_pos").orderBy(
+        F.desc("length"), F.col("named") | F.col("doc_named"), "diag"
+    )
     occurrences = occurrences.withColumn("island", island).withColumn("length", length).withColumn(
         "choice", F.dense_rank().over(choice)
     ).where("choice = 1")
