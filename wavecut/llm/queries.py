@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecut.llm import html_extract
+from wavecut.llm import html_extract, oracles
 from wavecut.llm.chat import default_ranks, format_and_read_back
 from wavecut.llm.common import ship_path
 from wavecut.llm.compact_windows import repeated_passages
+from wavecut.llm.divergence import source_divergence
 from wavecut.llm.encode import default_tokenizer
 from wavecut.llm.langid import default_vocabulary, identify
 from wavecut.llm.packing import pack_mixture
@@ -80,6 +81,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_index": op2_token_index,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_one_bit_codes": op8_one_bit_codes,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op13_source_divergence": op13_source_divergence,
 }
-# No oracles: tokenizers, CRC-32, XXH64, fitted models and hashed windows have no counterpart in DuckDB's SQL.
-ORACLES: dict[str, str] = {}
+# The others have none: tokenizers, XXH64, fitted models and hashed windows have no counterpart in DuckDB's SQL.
+ORACLES: dict[str, str] = {"op13_source_divergence": oracles.SOURCE_DIVERGENCE}
