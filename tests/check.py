@@ -67,7 +67,7 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> str:
         a, b = bad[0]
         cells = [(names[i], a[i], b[i]) for i in range(len(names)) if a[i] != b[i]]
         return f"MISMATCH {len(bad)} of {len(rows)} rows, e.g. {cells[:4]}"
-    same = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     types = {d[0]: str(d[1]) for d in result.description}
     odd = {n: (t, types[n]) for n, t in df.dtypes if same.get(t) != types[n]}
     if odd:
