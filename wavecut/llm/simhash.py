@@ -286,11 +286,11 @@ def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_of_each(docs: DataFrame, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of the document that names its component; all columns as they came.
+def keep_one_of_each(docs: DataFrame, max_bits: int = 4, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of the document that names its component; all columns as they came, whatever their names.
 
-    Rows without an id cannot be named as duplicates and stay.
+    Rows without an id cannot be named as duplicates and stay.  Repeated rows of a kept document stay.
     """
-    found = near_duplicates(docs, max_bits, key=key, text=text)
+    found = near_duplicates(docs, max_bits, width, key=key, text=text)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
