@@ -9,8 +9,8 @@ from wavecut.llm.common import run_path, ship_path, written
 from wavecut.llm.compact_windows import without_repeats
 from wavecut.llm.encode import default_tokenizer
 from wavecut.llm.langid import UNDETERMINED, default_vocabulary, held_out, train, with_language
-from wavecut.llm.near_copies import keep_one_of_each
 from wavecut.llm.packing import pack_mixture
+from wavecut.llm.simhash import keep_one_of_each
 from wavecut.llm.templates import without_contaminated
 
 #: A language is accepted from this posterior probability on.
@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of at least 0.8."""
+    """One document of each group of near-duplicates: four-word shingles, fingerprints at most four bits apart."""
     ship_path(spark)
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, max_bits=4, width=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
