@@ -42,3 +42,68 @@ ranked AS (
          row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM all_)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+# CRC-32 byte by byte and bit by bit; the polynomial is a fixed value.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"""
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE
+source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+kinds AS (SELECT *, {_CRC.format("place")} % 20 AS kind FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         left(role, 1) AS initial FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faulty GROUP BY conv_id),
+-- States: 0 nothing yet, 1 after a system turn, 2 after a user, 3 after an assistant.
+inserts(p, q, n, edits, said) AS (
+  VALUES (0, 0, 0, '', []), (0, 2, 1, 'I', ['user:']), (0, 3, 2, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []),
+         (1, 2, 1, 'I', ['user:']), (1, 3, 2, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 1, 'I', ['assistant:']),
+         (2, 2, 2, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []), (3, 2, 1, 'I', ['user:']), (3, 3, 2, 'II', ['user:', 'assistant:'])),
+fits(q, t, initial, role) AS (VALUES (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (2, 3, 'a', 'assistant'), (3, 2, 'u', 'user')),
+options AS (
+  SELECT f.conv_id, f.i, x.p, o.t, 2 * x.n + o.cost + CASE WHEN f.fault = 'truncated' AND o.op <> 'D' THEN 1 ELSE 0 END AS cost,
+         x.edits || o.op AS edits, x.said || CASE o.op WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [o.role || ':' || f.text] END AS said
+  FROM faulty f, inserts x, (
+    SELECT q, q AS t, 'D' AS op, 3 AS cost, NULL AS initial, NULL AS role FROM fits UNION ALL
+    SELECT q, t, 'R', 2, NULL, role FROM fits UNION ALL
+    SELECT q, t, 'K', 0, initial, NULL FROM fits UNION ALL SELECT 0, 1, 'K', 0, 's', NULL) o
+  WHERE o.q = x.q AND (o.op = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (o.op <> 'K' OR o.initial = f.initial)),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM counts
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, o.t, min(w.cost + o.cost), arg_min(w.audit || o.edits, (w.cost + o.cost, w.audit || o.edits)),
+         arg_min(w.said || o.said, (w.cost + o.cost, w.audit || o.edits))
+  FROM ways w JOIN options o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1 AND o.p = w.state
+  GROUP BY w.conv_id, w.i, o.t),
+closed AS (
+  SELECT w.conv_id, w.cost + 2 * x.n AS cost, w.audit || x.edits AS audit, w.said || x.said AS said
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+  JOIN inserts x ON x.p = w.state AND (x.q = 3 OR (x.p = 0 AND x.q = 0))),
+best AS (
+  SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit,
+         sha256(array_to_string(arg_min(said, (cost, audit)), chr(10))) AS repaired_sha256 FROM closed GROUP BY conv_id)
+SELECT e.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+       coalesce(b.audit, '') AS audit, coalesce(b.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -11,6 +11,7 @@ from wavecut.llm import html_extract, oracles
 from wavecut.llm.chat import default_ranks, format_and_read_back
 from wavecut.llm.common import ship_path
 from wavecut.llm.compact_windows import repeated_passages
+from wavecut.llm.conversations import damaged, reports, with_edits
 from wavecut.llm.divergence import source_divergence
 from wavecut.llm.encode import default_tokenizer
 from wavecut.llm.langid import default_vocabulary, identify
@@ -81,6 +82,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return reports(turns, with_edits(damaged(turns)))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -96,7 +102,11 @@ QUERIES: dict[str, Query] = {
     "op8_one_bit_codes": op8_one_bit_codes,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 # The others have none: tokenizers, XXH64, fitted models and hashed windows have no counterpart in DuckDB's SQL.
-ORACLES: dict[str, str] = {"op13_source_divergence": oracles.SOURCE_DIVERGENCE}
+ORACLES: dict[str, str] = {
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
+}
