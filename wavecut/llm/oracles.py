@@ -107,3 +107,26 @@ SELECT e.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIG
 FROM (SELECT DISTINCT conv_id FROM conversations) e
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+NEAR_COPIES = f"""
+WITH RECURSIVE
+texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT row_id, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM texts),
+classes AS (SELECT min(row_id) AS class, list_sort(grams) AS grams, len(any_value(grams)) AS n FROM sets GROUP BY list_sort(grams)),
+members AS (SELECT s.row_id, s.doc_id, len(s.grams) AS n, CASE WHEN len(s.grams) > 0 THEN c.class ELSE -s.row_id END AS class
+            FROM sets s JOIN classes c ON c.grams = list_sort(s.grams)),
+spread AS (SELECT class, n, unnest(grams) AS gram FROM classes),
+common AS (
+  SELECT a.class AS a, b.class AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS both_
+  FROM spread a JOIN spread b ON a.gram = b.gram AND a.class < b.class GROUP BY a.class, b.class),
+links AS (SELECT a, b FROM common WHERE 100 * both_ >= 80 * (n + m - both_)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT class, class FROM members UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+named AS (SELECT r.a AS class, min(m.doc_id) AS component_id FROM reach r JOIN members m ON m.class = r.b GROUP BY r.a)
+SELECT m.doc_id, m.n::BIGINT AS n_shingles, c.component_id, m.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM members m JOIN named c USING (class)
+"""

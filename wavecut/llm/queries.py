@@ -15,6 +15,7 @@ from wavecut.llm.conversations import damaged, reports, with_edits
 from wavecut.llm.divergence import source_divergence
 from wavecut.llm.encode import default_tokenizer
 from wavecut.llm.langid import default_vocabulary, identify
+from wavecut.llm.minhash import near_copies
 from wavecut.llm.packing import pack_mixture
 from wavecut.llm.rabitq import nearest
 from wavecut.llm.sharding import shard_records
@@ -87,6 +88,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(turns, with_edits(damaged(turns)))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -103,10 +108,12 @@ QUERIES: dict[str, Query] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash": op12_minhash,
     "op13_source_divergence": op13_source_divergence,
 }
 # The others have none: tokenizers, XXH64, fitted models and hashed windows have no counterpart in DuckDB's SQL.
 ORACLES: dict[str, str] = {
     "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op12_minhash": oracles.NEAR_COPIES,
     "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
