@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from wavecut.llm import queries, templates
@@ -101,3 +103,40 @@ def test_names_that_open_a_sentence(spark):
     got = found(spark, more, [f"{FILL}. {t} {FILL}" for t in new] + [t for _, t in rows] + [wrong, f"{FILL} {rows[0][1]}", FILL.title()])
     kinds = {k: r.kind for k, r in got.items()}
     assert kinds == {(0, 1): "reparameterised", (1, 2): "reparameterised", (2, 1): "verbatim", (3, 2): "verbatim", (5, 1): kinds[5, 1]}
+
+
+def test_case_number_words_and_longer_names(spark):
+    rows = [
+        (1, "Alice has 12 red marbles and gives 5 of them to Bob before they both walk home"),
+        (2, "A farmer fills three baskets with ripe pears and five apples for the market near his house"),
+        (3, "Name two gases."), (4, "x + 2"), (5, "a b"),
+    ]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    one, two = rows[0][1], rows[1][1]
+    got = found(spark, items, [
+        f"{FILL} {one.lower()}", f"{FILL} {one.upper()}", f"{FILL}. {one.replace('Alice', 'Mary Ann')}", two.replace("three", "seven").replace("five", "nine"),
+        f"Please name two gases {FILL}", one.replace("12", "40").replace("Bob", "Tom Lee").lower(), "say x + 2 now", "a b a b a b", FILL,
+    ])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3)}
+    assert got[0, 1].kind == got[1, 1].kind == got[4, 3].kind == "verbatim"
+    assert got[2, 1].kind == got[3, 2].kind == "reparameterised"
+
+
+def test_recall_by_kind_of_change(spark):
+    """Against the changes made: case, numbers in figures and words, names of one and two words."""
+    rng = random.Random(4)
+    nouns = [f"{a}{b}" for a in ("bra", "tel", "mor", "kin", "sop") for b in ("dle", "vin", "ker", "pos", "tam")]
+    people, texts, want = ["Alice", "Bob", "Carla", "Dmitri", "Erin"], [], set()
+    items = []
+    for k in range(60):
+        a, b = rng.sample(people, 2)
+        n = rng.sample(range(2, 99), 2)  # one value of the item may not stand for two
+        words = rng.sample(nouns, 12)
+        make = lambda a, b, n, w=words: f"when {a} takes {n[0]} {' '.join(w[:4])} from {b} and {' '.join(w[4:8])} leaves {n[1]} {' '.join(w[8:])}"
+        items.append((k, make(a, b, n)))
+        changes = [make(a, b, n).lower(), make(a, b, n).upper(), make(b, a, n), make(a, b, [7, 8]), make(a, b, ["seven", "forty"]), make("Mary Ann", b, n), make("Jo", "Ann Lee", [3, "six"])]
+        for c in changes:
+            want.add((len(texts), k))
+            texts.append(f"{FILL} {c} {FILL}")
+    got = found(spark, spark.createDataFrame(items, "item_id long, text string"), texts)
+    assert set(got) == want

@@ -3,7 +3,8 @@
 Texts become token sequences in which numbers, names and units are typed placeholders.  Windows of tokens
 are hash-joined with the windows of the benchmark items; a filter of fixed size keeps windows that cannot
 match from being shuffled.  An occurrence needs most windows of an item in step, and the slots must be
-consistent: one value of the item always stands for one value of the document.
+consistent: one value of the item always stands for one value of the document.  A second stream of the words as they are, without
+case, finds copies in which names can no longer be told from words, and items that are all slots.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ UNITS = frozenset(
     "kmh percent % $ € £ ¥ usd eur gbp dollar dollars euro euros cent cents meter meters metre metres gram grams "
     "kilogram kilograms kilometer kilometers kilometre kilometres".split()
 )
+# Numbers in words; "one" is too often a pronoun.
+NUMBER_WORDS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
 _MARKS = "".join(c for c in string.punctuation if c not in "%$") + "«»“”„‘’…–—¿¡"
 _NUMBER = re.compile(r"([€$£¥]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]*|[%€$£¥])$")
 _POSSESSIVE = re.compile(r"(\w\w+)['’]s$")
@@ -58,6 +64,8 @@ class WordKinds:
         elif core.isalpha():
             if low in UNITS:
                 kind, values = _UNIT_WORD, (low,)
+            elif low in NUMBER_WORDS:
+                kind, values = _NUM, (low,)
             elif len(core) > 1 and core[0].isupper() and core[1:].islower():
                 kind, values = _TITLE, (low,)
         elif (m := _POSSESSIVE.match(core)) and m[1].isalpha() and m[1][0].isupper() and m[1][1:].islower():
@@ -100,7 +108,14 @@ class Tokens:
         opens[1:] = kinds.ends[row[:-1]] | (doc[1:] != doc[:-1])
         opens &= kind == _TITLE
         kind = np.where(opens, _WORD, kind)
-        word = np.repeat(np.arange(len(row)), np.where(kind == _SKIP, 0, np.where(kind == _NUM_UNIT, 2, 1)))
+        n = int(doc[-1]) + 1 if len(doc) else 0
+        said = kind != _SKIP
+        self.word_hash, self.word_doc = kinds.hash[row[said]], doc[said]
+        self.word_first = np.searchsorted(self.word_doc, np.arange(n + 1))
+        # names in a row are one
+        more = np.zeros(len(row), dtype=bool)
+        more[1:] = (kind[1:] == _TITLE) & (kind[:-1] == _TITLE) & (doc[1:] == doc[:-1]) & ~kinds.ends[row[:-1]]
+        word = np.repeat(np.arange(len(row)), np.where(~said | more, 0, np.where(kind == _NUM_UNIT, 2, 1)))
         self.kinds, self.row, self.doc, self.opener = kinds, row[word], doc[word], opens[word]
         self.second = np.zeros(len(word), dtype=bool)
         self.second[1:] = word[1:] == word[:-1]
@@ -113,9 +128,20 @@ class Tokens:
         self.type[(k == _UNIT_WORD) & after] = UNIT
         self.hash = np.where(self.type == PLAIN, kinds.hash[self.row], self.type.astype(np.uint64))
         self.exact = kinds.hash[self.row] ^ self.second.astype(np.uint64)
-        n = int(doc[-1]) + 1 if len(doc) else 0
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
 
+    def literal_windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each window of words as they are, without case and marks."""
+        n = len(self.word_hash) - width + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        at = np.flatnonzero(self.word_doc[:n] == self.word_doc[width - 1:])
+        h = np.full(len(at), width, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(width):
+                h = (h ^ (h >> np.uint64(31))) * _HASH_BASE + self.word_hash[at + j]
+        return at, mix64(h, 2)
+
     def windows(self, width: int, literal: int) -> tuple[np.ndarray, ...]:
         """Start and hash of each window inside one text, and three marks for each.
 
@@ -174,12 +200,25 @@ def _window_table(texts: list[str | None], kinds: WordKinds, width: int, literal
                 yield d, i - int(t.first[d]), w, int(sizes[d]), x, t.slots(i, w, names), typed, names > 0, firm
 
 
+def _literal_table(texts: list[str | None], kinds: WordKinds, width: int):
+    """The same of the words as they are: a second stream, with places of its own."""
+    t = kinds.tokens(texts)
+    sizes = np.diff(t.word_first)
+    for w in sorted({min(width, int(s)) for s in sizes if s}):
+        at, h = t.literal_windows(w)
+        for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
+            d = int(t.word_doc[i])
+            if min(width, int(sizes[d])) == w:
+                yield d, i - int(t.word_first[d]), w, int(sizes[d]), x
+
+
 def item_windows(items: DataFrame, width: int = 5, literal: int = 3, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, item_pos, width, n_tokens, h, item_slots, typed, named, firm`` of each window of each item.
+    """``item_id, item_pos, width, n_tokens, h, item_slots, typed, named, firm, folded`` of each window of each item.
 
-    Windows with fewer than ``literal`` plain tokens are not ``typed``: they match verbatim.  A capitalised sentence
+    ``folded`` windows are of the words as they are, without case, and find copies in other case.  The others are of
+    the template.  Windows with fewer than ``literal`` plain tokens are not ``typed``: they match verbatim.  A capitalised sentence
     opener is read as a word, and once more as a name (``named``).  Items of fewer
-    than ``literal`` tokens give no window and match nothing.
+    than ``literal`` words give no window and match nothing; others are found at least verbatim.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +227,19 @@ def item_windows(items: DataFrame, width: int = 5, literal: int = 3, key: str =
             ids, out = batch.column(0).to_pylist(), []
             for d, *row in _window_table(batch.column(1).to_pylist(), kinds, width, literal):
                 if row[2] >= literal:
-                    out.append((ids[d], *row))
+                    out.append((ids[d], *row, False))
+            for d, *row in _literal_table(batch.column(1).to_pylist(), kinds, width):
+                if row[1] >= literal:
+                    out.append((ids[d], *row, [], False, False, False, True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.bool_()] * 3))],
-                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots", "typed", "named", "firm"],
+                    (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.bool_()] * 4))],
+                names=["item_id", "item_pos", "width", "n_tokens", "h", "item_slots", "typed", "named", "firm", "folded"],
             )
 
     rows = items.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(
-        run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>, typed boolean, named boolean, firm boolean"
+        run, "item_id long, item_pos int, width int, n_tokens int, h long, item_slots array<string>, typed boolean, named boolean, firm boolean, folded boolean"
     )
 
 
@@ -243,6 +285,12 @@ def contaminated(
                     for i, x, m in zip(at[maybe].tolist(), h[maybe].view(np.int64).tolist(), names[maybe].tolist()):
                         d = int(t.doc[i])
                         out.append((ids[d], i - int(t.first[d]), x, t.slots(i, w, m), m > 0))
+                    at, h = t.literal_windows(w)
+                    place = h >> shift
+                    maybe = (words.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    for i, x in zip(at[maybe].tolist(), h[maybe].view(np.int64).tolist()):
+                        d = int(t.word_doc[i])
+                        out.append((ids[d], i - int(t.word_first[d]), x, [], False))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in out], x) for i, x in enumerate(
                         (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()))],
@@ -252,8 +300,9 @@ def contaminated(
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     found = rows.mapInArrow(scan, "doc_id long, doc_pos int, h long, doc_slots array<string>, doc_named boolean")
     # Level 0 judges the typed windows alone, so that changed numbers cost nothing; level 1 judges all windows; level 2
-    # also reads sentence openers as names, on the windows that are typed even then.
+    # also reads sentence openers as names, on the windows that are typed even then; level 3 judges the words as they are.
     word = F.when(F.col("named"), F.array().cast("array<int>")).when(F.col("typed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    word = F.when(F.col("folded"), F.array(F.lit(3))).otherwise(word)
     levels = targets.withColumn("level", F.explode(F.concat(word, F.when(F.col("firm"), F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))))
     sizes = levels.groupBy("item_id", "level").agg(F.countDistinct("item_pos").alias("n_windows"))
     pairs = found.join(levels.join(sizes, ["item_id", "level"]), "h").where("level = 2 or not doc_named").withColumn(
