@@ -6,7 +6,11 @@ from check import TABLES, compare
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
-from wavecut.plans.catalog import QUERIES
+from wavecut.plans import catalog, learned, long_signals
+
+QUERIES = catalog.QUERIES | long_signals.QUERIES | learned.QUERIES
+#: Fits of many leaves and races have no counterpart in SQL; they are held against NumPy in test_leafwise.
+NO_SQL = {"leafwise_oof", "racing_search"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +22,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) <= set(entry.oracle_sql())
+    assert set(QUERIES) - set(entry.oracle_sql()) == NO_SQL
     others = set(entry.queries()) - set(QUERIES)
     assert all(name.startswith("op") or name == "pipeline" for name in others)
 

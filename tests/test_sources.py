@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from wavecut.operators import rolling as R
@@ -100,7 +101,59 @@ def test_append_is_idempotent(spark, scratch, segment_frame):
     tables.append_new_segments(rows.where("seg = 0"), out, loaded)
     for _ in range(2):
         tables.append_new_segments(rows, out, loaded)
-    assert tables.read_table(spark, out).count() == 3 and tables.read_table(spark, loaded).count() == 2
+    assert tables.read_appended(spark, out, loaded).count() == 3 and tables.loaded_names(spark, loaded).count() == 2
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3])
+def test_append_that_fails_is_repeated(spark, scratch, segment_frame, fails_at, monkeypatch):
+    """The rows, the names or the commit are written, the next step fails: readers and the repeated run see none of it."""
+    rows = segment_frame([1, 2], [3], [4, 5]).withColumn("name", S.segment_label(F.col("seg")))
+    out, loaded = f"{scratch}/t", f"{scratch}/loaded"
+    tables.append_new_segments(rows.where("seg = 0"), out, loaded)
+    write, calls = DataFrameWriter.parquet, []
+
+    def failing(self, path, *args, **kwargs):
+        if str(path).startswith(scratch):  # not the intermediate tables
+            calls.append(path)
+            if len(calls) == fails_at:
+                raise OSError("lost")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(OSError, match="lost"):
+        tables.append_new_segments(rows, out, loaded)
+    monkeypatch.undo()
+    assert sorted(r.x for r in tables.read_appended(spark, out, loaded).collect()) == [1.0, 2.0]
+    tables.append_new_segments(rows, out, loaded)
+    assert sorted(r.x for r in tables.read_appended(spark, out, loaded).collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    assert len(tables.committed_runs(spark, loaded)) == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read_appended(spark, out, f"{scratch}/nothing")
+
+
+def test_key_list_over_several_files(spark, scratch):
+    os.makedirs(f"{scratch}/keys")
+    for file, names in (("a", ["a0", "a1", "a2"]), ("b", [f"b{k}" for k in range(400)])):
+        with open(f"{scratch}/keys/{file}.csv", "w") as f:
+            f.write("seg_id,time_to_failure\n" + "".join(f"{n},0\n" for n in names))
+    listed = [r.name for r in tables.read_key_list(spark, f"{scratch}/keys").orderBy("seg").collect()]
+    assert listed == ["a0", "a1", "a2"] + [f"b{k}" for k in range(400)]
+
+
+def test_temporary_tables_go_with_their_block(spark, segment_frame):
+    def there(path):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+    df = segment_frame([1, 2, 3])
+    with storage.temporary_tables(spark) as outer:
+        cut = storage.cut_lineage(df)
+        with storage.temporary_tables(spark) as inner:
+            assert storage.cut_lineage(cut).count() == 3 and there(inner)
+            assert storage.run_folder(spark, "r").startswith(inner)
+        assert not there(inner) and cut.count() == 3 and there(outer)
+    assert not there(outer)
+    assert storage.table_root(spark) == storage.shared_folder(spark)
 
 
 def test_views_features_and_results(spark, scratch, segment_frame):

@@ -180,12 +180,21 @@ def iqr_median(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, **how)
     return q.select(*keys, (F.col("p75") - F.col("p25")).alias("iqr"), "med")
 
 
-def mean_abs_dev(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X) -> DataFrame:
-    """Mean absolute deviation around the mean, from one scan and one exchange by segment."""
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    return df.select(*keys, value, mean.alias("_mu")).groupBy(*keys).agg(
-        F.avg(F.abs(F.col(value) - F.col("_mu"))).alias("mad")
-    )
+def mean_abs_dev(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, seg_len: int | None = None) -> DataFrame:
+    """Mean absolute deviation around the mean.
+
+    With ``seg_len`` as a bound for all segments, from one scan and one exchange by segment; a longer segment fails the
+    job.  Without one the means are aggregated and written first, and joined back without moving a hot segment to one
+    task: two scans, no task holds a segment.
+    """
+    if seg_len is not None:
+        w = Window.partitionBy(*keys)
+        rows = df.select(*keys, value, F.avg(value).over(w).alias("_mu"), F.count(F.lit(1)).over(w).alias("_n"))
+        rows = only_lengths(rows, F.col("_n") <= seg_len, keys, "_n", f"{seg_len} at most")
+    else:
+        means = cut_lineage(df.groupBy(*keys).agg(F.avg(value).alias("_mu")))
+        rows = join_small(df.select(*keys, value), means, keys)
+    return rows.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_mu"))).alias("mad"))
 
 
 def trend_slope(df: DataFrame, keys: Sequence[str] = KEYS, value: str = X, no: str = "no") -> DataFrame:

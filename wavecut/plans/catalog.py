@@ -161,7 +161,11 @@ def iqr_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_abs_dev(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.mean_abs_dev(event_signal(spark, d)))
+    return rounded(A.mean_abs_dev(event_signal(spark, d), seg_len=L))
+
+
+def mean_abs_dev_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.mean_abs_dev(event_signal(spark, d, SHORT)))
 
 
 def trend_slope(spark: SparkSession, d: str) -> DataFrame:
@@ -665,7 +669,7 @@ def append_twice(spark: SparkSession, d: str) -> DataFrame:
     sig = labelled(event_signal(spark, d, SHORT)).select("name", "no", "x", "seg")
     for rows in (sig.where("seg % 2 = 0"), sig, sig):
         IO.append_new_segments(rows.drop("seg"), f"{folder}/table", f"{folder}/loaded")
-    return rounded(IO.read_table(spark, f"{folder}/table"))
+    return rounded(IO.read_appended(spark, f"{folder}/table", f"{folder}/loaded"))
 
 
 def result_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -758,7 +762,7 @@ QUERIES = {
         window_regress, batch_score,
         segment_apply, incremental_ingest, stream_segment_stats,
         signal_features_tail, head_tail_stats_tail, rolling_mean_tail, rolling_std_tail, hann_mean_tail, ewma_mean_tail,
-        fft_mag_stats_tail, envelope_mean_tail, segment_apply_tail, segment_apply_chunks, drop_partial, row_id_offset,
+        fft_mag_stats_tail, envelope_mean_tail, mean_abs_dev_tail, segment_apply_tail, segment_apply_chunks, drop_partial, row_id_offset,
         csv_round_trip, narrow_csv, signal_table, compact_batches, append_twice, result_csv, named_view, feature_csv,
         total_order, ingest_batches, score_saved_models,
     )

@@ -151,6 +151,7 @@ O["abs_quantiles"] = _per_segment(
 )
 O["iqr_median"] = _per_segment({"iqr": "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "med": "median(x)"})
 O["mean_abs_dev"] = _per_segment({"mad": "avg(abs(d))"})
+O["mean_abs_dev_tail"] = _per_segment({"mad": "avg(abs(d))"}, "sig", _signal(SHORT))
 O["trend_slope"] = _per_segment({"trend": "regr_slope(x, no)", "abs_trend": "regr_slope(xa, no)"})
 _counted = f"{_full()},\nns AS (SELECT *, count(*) OVER (PARTITION BY seg) AS n FROM fs)"
 

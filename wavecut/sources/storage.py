@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,37 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """Within it, intermediate tables go to one folder, which is removed at the end.
+
+    For results that are written or collected inside; a DataFrame that leaves the block cannot be read any more.
+    Blocks can be nested; yields the folder.
+    """
+    folder = f"{shared_folder(spark)}/scopes/{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_root(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of the innermost ``temporary_tables``, else the shared folder."""
+    return _scopes[-1] if _scopes else shared_folder(spark)
+
+
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the table once, as Parquet, and reads it from there afterwards.
 
     ``path``: a table of the caller's run folder, overwritten by the next run; by default a new one.
     """
-    path = path or f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = path or f"{table_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,7 +67,7 @@ def run_folder(spark: SparkSession, run: str, source: str = "") -> str:
     A repeated run overwrites its own tables; inputs and other runs are never touched.
     """
     tag = f"-{hashlib.md5(source.encode()).hexdigest()[:8]}" if source else ""
-    return f"{shared_folder(spark)}/runs/{run}{tag}"
+    return f"{table_root(spark)}/runs/{run}{tag}"
 
 
 def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

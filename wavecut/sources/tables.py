@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.util import DefaultParamsReader, MLWritable
@@ -82,10 +83,9 @@ def number_names(names: DataFrame) -> DataFrame:
 
 
 def read_key_list(spark: SparkSession, path: str, key: str = "seg_id") -> DataFrame:
-    """``(name, seg)``: the segments to score, numbered in file order."""
-    listed = spark.read.csv(path, header=True).select(F.col(key).alias("name"))
-    numbered = consecutive_index(listed.withColumn("_id", F.monotonically_increasing_id()), "_id")
-    return numbered.select("name", (F.col("idx") - 1).alias("seg"))
+    """``(name, seg)``: the segments to score, numbered in the order of file name and row."""
+    listed = with_file_place(spark.read.csv(path, header=True)).select(F.col(key).alias("name"), "_file", "_split", "_id")
+    return file_order_index(listed).select("name", (F.col("idx") - 1).alias("seg"))
 
 
 def read_features_csv(spark: SparkSession, path: str, key: str = "seg_id") -> DataFrame:
@@ -159,18 +159,38 @@ def compact(spark: SparkSession, batches: Sequence[str], path: str, partitions:
 
 
 def append_new_segments(rows: DataFrame, path: str, loaded: str) -> None:
-    """Appends only segments that were not loaded before; safe to repeat.
+    """Appends only segments that were not loaded before; safe to repeat, also after a failure at any point.
 
-    ``loaded`` is a small table of the names already in ``path``; the signal itself is not read.  The
-    names are added after the rows: a run that fails in between is repeated under the same names only
-    if the caller cleans its half-written rows, as with any append.
+    Rows and names go to folders of this run; a last, single row in ``loaded`` commits the run, and ``read_appended``
+    and later appends see committed runs alone.  The signal itself is not read to find out what is there.
     """
-    spark = rows.sparkSession
-    names = rows.select("name").distinct()
-    known = _read_if_there(spark, loaded, names.schema)
-    fresh_names = cut_lineage(names.join(known, "name", "left_anti"))
-    join_small(rows, fresh_names, ["name"], "left_semi").write.mode("append").parquet(path)
-    fresh_names.write.mode("append").parquet(loaded)
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    known = loaded_names(spark, loaded, rows.schema["name"].dataType)
+    fresh_names = cut_lineage(rows.select("name").distinct().join(known, "name", "left_anti"))
+    join_small(rows, fresh_names, ["name"], "left_semi").write.parquet(f"{path}/run={run}")
+    fresh_names.write.parquet(f"{loaded}/names/run={run}")
+    spark.createDataFrame([(run,)], "committed string").coalesce(1).write.mode("append").parquet(f"{loaded}/runs")
+
+
+def committed_runs(spark: SparkSession, loaded: str) -> list[str]:
+    """The runs that reached their end, one for each append."""
+    runs = _read_if_there(spark, f"{loaded}/runs", T.StructType([T.StructField("committed", T.StringType())]))
+    return sorted(r.committed for r in runs.distinct().collect())
+
+
+def loaded_names(spark: SparkSession, loaded: str, kind: T.DataType | None = None) -> DataFrame:
+    """``name`` of every segment of a committed run."""
+    paths = [f"{loaded}/names/run={r}" for r in committed_runs(spark, loaded)]
+    schema = T.StructType([T.StructField("name", kind or T.StringType())])
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_appended(spark: SparkSession, path: str, loaded: str) -> DataFrame:
+    """The rows of all committed runs; what a failed run left behind is not read."""
+    runs = committed_runs(spark, loaded)
+    if not runs:
+        raise FileNotFoundError(f"nothing was appended to {path}")
+    return spark.read.parquet(*(f"{path}/run={r}" for r in runs))
 
 
 def _read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
