@@ -100,3 +100,13 @@ def test_odd_rows(spark, trees):
     assert H.extract(pages.where("false"), trees).count() == 0
     assert H.fit(pages.where("page_id = 5")) is None
     assert H.extract(pages.where("page_id = 5"), None).first().text == "no markup"
+
+
+@pytest.mark.parametrize("tag", ["button", "noscript", "select", "svg", "iframe"])
+def test_unclosed_elements_do_not_swallow_the_page(tag):
+    page = H.parse(f"<body><p>a para</p><{tag}>x<p>the rest of the page</p><p>and its end</p></body>")
+    said = [t for _, t, _ in page.blocks]
+    assert said[0] == "a para" and said[-2:] == ["the rest of the page", "and its end"]
+    closed = H.parse(f"<body><p>a para</p><{tag}>x<p>inside</p></{tag}><p>after</p></body>")
+    assert [t for _, t, _ in closed.blocks] == ["a para", "after"]
+    assert [t for _, t, _ in H.parse("<p>a</p><script>if (x) { <p>b</p>").blocks] == ["a"]

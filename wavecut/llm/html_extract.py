@@ -25,6 +25,8 @@ from wavecut.llm.common import run_path, written
 
 # Fixed values of the HTML standard: elements without content, with raw text, not rendered as text, and inline.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that run to the end of the file where they are not closed; others end with what holds them.
+ENDLESS = frozenset("script style textarea title".split())
 RAW = frozenset("script style textarea title iframe noscript template svg canvas object audio video select button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -138,7 +140,7 @@ def parse(source: str) -> Page:
         if tag in RAW:
             if not closing and not attrs.rstrip().endswith("/"):
                 done = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = done.end() if done else size
+                at = done.end() if done else size if tag in ENDLESS else at
             continue
         flush()
         if tag in ("html", "head", "body"):
