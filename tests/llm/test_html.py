@@ -110,3 +110,37 @@ def test_unclosed_elements_do_not_swallow_the_page(tag):
     closed = H.parse(f"<body><p>a para</p><{tag}>x<p>inside</p></{tag}><p>after</p></body>")
     assert [t for _, t, _ in closed.blocks] == ["a para", "after"]
     assert [t for _, t, _ in H.parse("<p>a</p><script>if (x) { <p>b</p>").blocks] == ["a"]
+
+
+def test_text_directly_in_the_body(trees):
+    line = LONG.strip()
+    menu = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>'
+    foot = "<footer><p>&copy; 2024 Site</p></footer>"
+    page = f"<html><body>{menu}{line}<p>{line} Two.</p>{line}<br><br><b>{line}</b> Three.{foot}</body></html>"
+    assert H.main_text([page], trees) == ["\n".join([line, f"{line} Two.", f"{line} {line} Three."])]
+    assert H.main_text([f"{line}<br>{line}"], trees) == [f"{line} {line}"]
+    # beside an article, text in the body belongs to the surroundings
+    assert H.main_text([UNSEEN.replace("<header>", "You are here<header>")], trees) == H.main_text([UNSEEN], trees)
+
+
+@pytest.mark.parametrize("mark", ['class="advert"', "hidden", 'style="display: none"', 'class="ad-box"'])
+def test_inline_elements_that_do_not_belong(trees, mark):
+    line = LONG.strip()
+    page = f'<article><p>{line} <span {mark}>Buy <span>this</span> now</span> And <b class="strong">so</b> on &amp;c.</p><p>{line}</p></article>'
+    assert H.main_text([page], trees) == [f"{line} And so on &c.\n{line}"]
+    unclosed = f"<article><p>{line} <span {mark}>Buy this</p><p>{line}</p></article>"
+    assert H.main_text([unclosed], trees) == [f"{line}\n{line}"]
+    around = f"<article><p>{line}</p><a {mark}><div>Buy this</div></a><p>{line}</p></article>"
+    assert H.main_text([around], trees) == [f"{line}\n{line}"]
+
+
+def test_inline_nodes_lose_no_text():
+    """Without trees, the text equals that of the same page without inline marks."""
+    rng = np.random.default_rng(8)
+    parts = ["a ", "b", "<p>", "</p>", "<div>", "</div>", "<span M>", "<i M>", "<span>", "</span>", "</i>", "<br>", "&am", "p;", "<a M>", "</a>", "<ul><li>", "</ul>"]
+    for _ in range(400):
+        page = "".join(parts[i] for i in rng.integers(0, len(parts), 40))
+        marked, plain = page.replace("M", "hidden"), page.replace("M", "")
+        assert H.main_text([marked], None) == H.main_text([plain], None)
+        tree = H.parse(marked)
+        assert all(p < i for i, p in enumerate(tree.parent))

@@ -1,6 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
-A page becomes a tree of its block elements.  Spark ML's boosted trees are fitted on the nodes of a bounded
+A page becomes a tree of its block elements, of the runs of text that stand directly in its body, and of inline
+elements marked as hidden or as adverts.  Spark ML's boosted trees are fitted on the nodes of a bounded
 sample of pages whose own semantic elements tell article from surroundings, as they are and rewritten: with
 neutral elements and attribute words in place of the semantic elements, and with further boilerplate of known
 kind put in.  Each page's labels are those of highest joint probability in which nothing below a dropped node is kept.
@@ -48,14 +49,16 @@ WORDS = {
     "comment": "comment comments reply replies respond discussion disqus thread reviews",
     "form": "form search login signup register share sharing social tools toolbar buttons follow tags meta byline",
 }
+ADVERT = list(WORDS).index("advert")
 _LOOKUP: dict[str, set[int]] = {}
 for _k, _words in enumerate(WORDS.values()):
     for _w in _words.split():
         _LOOKUP.setdefault(_w, set()).add(_k)
 TAGS = (
     "body", "article", "main", "section", "div", "p", "li", "ul", "ol", "nav", "header", "footer", "aside", "form",
-    "table", "td", "blockquote", "pre", "figure", "heading",
+    "table", "td", "blockquote", "pre", "figure", "heading", "run", "inline",
 )
+RUN = "run"  # a run of text directly in the body
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
@@ -67,7 +70,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Page:
-    """Block elements in document order; parents come before their children."""
+    """Nodes in document order; parents come before their children."""
 
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
@@ -75,6 +78,30 @@ class Page:
     hidden: list[bool] = field(default_factory=list)
     attrs: list[str] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters inside links
+    cut: dict[int, list[tuple[int, str, bool]]] = field(default_factory=dict)  # pieces of blocks that hold inline nodes
+
+    def pieces(self) -> Iterator[tuple[int, str, int]]:
+        """The blocks, those with inline nodes as one piece for each change of the node."""
+        for k, block in enumerate(self.blocks):
+            if k not in self.cut:
+                yield block
+                continue
+            for node, raw, linked in self.cut[k]:
+                text = " ".join(html.unescape(raw).split())
+                if text:
+                    yield node, text, len(text) if linked else 0
+
+    def text(self, kept: np.ndarray) -> str:
+        """Text of the kept nodes, one line for each block."""
+        lines = []
+        for k, (node, text, _) in enumerate(self.blocks):
+            if k in self.cut:
+                text = " ".join(html.unescape("".join(raw for at, raw, _ in self.cut[k] if kept[at])).split())
+            elif not kept[node]:
+                continue
+            if text:
+                lines.append(text)
+        return "\n".join(lines)
 
 
 def _attributes(text: str) -> tuple[frozenset, bool]:
@@ -92,40 +119,63 @@ def _attributes(text: str) -> tuple[frozenset, bool]:
     return frozenset(found), hidden
 
 
+def _aside(attrs: str) -> bool:
+    """Whether an inline element is marked as hidden or as an advert."""
+    words, hidden = _attributes(attrs)
+    return hidden or ADVERT in words
+
+
 def parse(source: str) -> Page:
-    """Blocks of text with the element they belong to; scripts, styles and other unrendered parts are left out."""
+    """Blocks of text with the element they belong to; scripts, styles and other unrendered parts are left out.
+
+    Each run of text directly in the body is a node of its own.  Inline elements are part of their block's text;
+    those marked as hidden or as adverts are nodes too, which end with their block where they are not closed.
+    """
     page = Page()
     stack: list[int] = []
-    buffer: list[tuple[str, bool]] = []
+    buffer: list[tuple[int, str, bool]] = []
     link = False
 
-    def open_node(tag: str, attrs: str) -> None:
+    def new_node(tag: str, attrs: str) -> int:
         words, hidden = _attributes(attrs)
         page.tag.append(tag)
         page.parent.append(stack[-1] if stack else -1)
         page.words.append(words)
         page.hidden.append(hidden)
         page.attrs.append(attrs)
-        stack.append(len(page.tag) - 1)
+        return len(page.tag) - 1
 
     def flush() -> None:
         if buffer:
-            whole = html.unescape("".join(t for t, _ in buffer))
+            whole = html.unescape("".join(t for _, t, _ in buffer))
             text = " ".join(whole.split())
             if text:
-                linked = sum(len(t) for t, inside in buffer if inside)
-                page.blocks.append((stack[-1], text, min(linked, len(text))))
+                linked = sum(len(t) for _, t, inside in buffer if inside)
+                holder = next(n for n in reversed(stack) if page.tag[n] not in INLINE)
+                if any(page.tag[n] in INLINE for n, _, _ in buffer):
+                    page.cut[len(page.blocks)] = buffer.copy()
+                if holder == 0:
+                    holder = len(page.tag)
+                    page.tag.append(RUN)
+                    page.parent.append(0)
+                    page.words.append(frozenset())
+                    page.hidden.append(False)
+                    page.attrs.append("")
+                    if len(page.blocks) in page.cut:
+                        page.cut[len(page.blocks)] = [(n or holder, t, inside) for n, t, inside in buffer]
+                page.blocks.append((holder, text, min(linked, len(text))))
             buffer.clear()
 
-    open_node("body", "")
+    stack.append(new_node("body", ""))
     at, end, size = 0, 0, len(source)
+    inline_open = False  # whether the stack holds an inline node
     while at < size:
         m = _TOKEN.search(source, at)
         if m is None:
-            buffer.append((source[at:], link))
+            buffer.append((stack[-1], source[at:], link))
             break
         if m.start() > at:
-            buffer.append((source[at:m.start()], link))
+            buffer.append((stack[-1], source[at:m.start()], link))
         at = end = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -133,9 +183,23 @@ def parse(source: str) -> Page:
         tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in INLINE:
             if tag == "br":
-                buffer.append((" ", link))
+                buffer.append((stack[-1], " ", link))
             elif tag == "a":
                 link = not closing
+            if tag in VOID:
+                continue
+            if not closing:
+                if attrs and _aside(attrs) or inline_open and any(page.tag[n] == tag for n in stack):
+                    stack.append(new_node(tag, attrs))
+                    inline_open = True
+            elif inline_open:
+                for k in range(len(stack) - 1, 0, -1):
+                    if page.tag[stack[k]] == tag:
+                        del stack[k:]
+                        break
+                    if page.tag[stack[k]] not in INLINE:
+                        break
+                inline_open = any(page.tag[n] in INLINE for n in stack)
             continue
         if tag in RAW:
             if not closing and not attrs.rstrip().endswith("/"):
@@ -164,7 +228,7 @@ def parse(source: str) -> Page:
                 break
             if open_tag in SCOPES:
                 break
-        open_node(tag, attrs)
+        stack.append(new_node(tag, attrs))
     flush()
     return page
 
@@ -173,7 +237,7 @@ FEATURES = [
     *(f"tag_{t}" for t in TAGS), *(f"own_{w}" for w in WORDS), *(f"above_{w}" for w in WORDS),
     *(f"in_{t}" for t in ("article", "main", "nav", "header", "footer", "aside", "form")), "hidden", "depth", "children",
     "place_among_siblings", "like_siblings", "log_chars", "link_share", "chars_per_node", "words_per_block", "stops_per_word",
-    "share_of_page", "page_before", "holds_article", "own_surroundings", "above_surroundings",
+    "share_of_page", "page_before", "holds_article", "own_surroundings", "above_surroundings", "page_has_article",
 ]
 _ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form")
 
@@ -183,7 +247,7 @@ def features(page: Page) -> np.ndarray:
     n = len(page.tag)
     chars, links, words, stops, blocks, nodes = (np.zeros(n) for _ in range(6))
     before, total = np.zeros(n), 0
-    for node, text, linked in page.blocks:
+    for node, text, linked in page.pieces():
         chars[node] += len(text)
         links[node] += linked
         words[node] += text.count(" ") + 1
@@ -207,7 +271,7 @@ def features(page: Page) -> np.ndarray:
     seen, like = np.zeros(n), {}
     for i in range(n):
         p, tag = page.parent[i], page.tag[i]
-        kind = "heading" if tag in HEADINGS else tag
+        kind = "heading" if tag in HEADINGS else "inline" if tag in INLINE else tag
         if kind in TAGS:
             x[i, TAGS.index(kind)] = 1
         for k in page.words[i]:
@@ -237,6 +301,7 @@ def features(page: Page) -> np.ndarray:
     x[:, s0 + 12] = article
     x[:, s0 + 13] = x[:, w0 + 1:a0].max(axis=1)  # any word but those of content
     x[:, s0 + 14] = x[:, a0 + 1:t0].max(axis=1)
+    x[:, s0 + 15] = article[0]
     return x
 
 
@@ -308,7 +373,7 @@ def read_trees(model) -> Trees:
 
 
 # Boilerplate of known kind for the rewritten training pages: elements by themselves, and elements marked by a word.
-PLAIN_EXTRA = (("header", "links"), ("header", "line"), ("aside", "links"), ("aside", "line"), ("nav", "links"), ("form", "line"), ("footer", "line"))
+PLAIN_EXTRA = ((RUN, "line"), ("header", "links"), ("header", "line"), ("aside", "links"), ("aside", "line"), ("nav", "links"), ("form", "line"), ("footer", "line"))
 FILLING = {"menu": "links", "side": "links", "comment": "comments"}
 SPELLINGS = ('class="{0}"', 'id="{0}"', 'class="{0}-box"', 'class="site-{0}"', 'class="block {0}"', 'role="{0}"', 'id="{0}-area"')
 NEUTRAL = {
@@ -328,6 +393,37 @@ SHAPES = (
     "<pre>{0} {1}</pre>", "<h2>{0}</h2><div><p>{1}</p></div>", "<figure><p>{0} {1}</p></figure>", "<dl><dt>{0}</dt><dd>{1}</dd></dl>",
 )
 _PARAGRAPH = re.compile(r"<p>([^<]{30,})</p>", re.I)
+INLINE_MARKS = ('class="advert"', 'class="ad"', 'id="sponsor"', "hidden", 'style="display:none"', 'aria-hidden="true"', 'class="promo"')
+_ARTICLE = re.compile(r"<article\b[^>]*>(.*?)</article>", re.I | re.S)
+_BARE = re.compile(r"</?(?:article|main)\b[^>]*>", re.I)
+_HEADING = re.compile(r"<(h[1-6])>", re.I)
+
+
+def interrupted(source: str, rng: np.random.Generator) -> str:
+    """Some paragraphs with an inline element in them that is hidden or an advert."""
+
+    def other(m: re.Match) -> str:
+        if rng.random() > 0.2:
+            return m[0]
+        words, tag = m[1].split(), ("span", "b", "a", "i")[rng.integers(4)]
+        half, mark = int(rng.integers(0, len(words) + 1)), INLINE_MARKS[rng.integers(len(INLINE_MARKS))]
+        put = " ".join(words[: int(rng.integers(1, 12))])
+        return f'<p>{" ".join(words[:half])} <{tag} {mark} data-x="drop">{put}</{tag}> {" ".join(words[half:])}</p>'
+
+    return _PARAGRAPH.sub(other, source)
+
+
+def bared(source: str, rng: np.random.Generator) -> str:
+    """The page with its article's paragraphs as text directly in the body; sometimes with nothing else."""
+    m = _ARTICLE.search(source)
+    if m is None:
+        return source
+    runs = (0.0, 0.5, 1.0)[rng.integers(3)]
+    run = _PARAGRAPH.sub(lambda p: f'<{RUN} data-x="keep">{p[1]}</{RUN}>' if rng.random() < runs else f'<p data-x="keep">{p[1]}</p>', m[1])
+    run = _HEADING.sub(r'<\1 data-x="keep">', run)
+    if rng.random() < 0.3:
+        return f"<body>{run}</body>"
+    return _BARE.sub("", source[: m.start()]) + run + _BARE.sub("", source[m.end():])
 
 
 def reshaped(source: str, rng: np.random.Generator) -> str:
@@ -368,7 +464,8 @@ def rewritten(source: str, rng: np.random.Generator, lines: list[str]) -> str:
         body = filling(kind)
         return f'<{tag} {mark} data-x="drop">{re.sub("</?(p|div|ul|li)[^>]*>", " ", body) if tag == "p" else body}</{tag}>'
 
-    out = reshaped(source, rng)
+    bare = rng.random() < 0.3
+    out = interrupted(bared(source, rng) if bare else reshaped(source, rng), rng)
     for place in (r"<article\b[^>]*>", r"</article>", r"<body\b[^>]*>", r"</p>"):
         for _ in range(int(rng.integers(0, 3))):
             m = list(re.finditer(place, out, re.I))
@@ -399,7 +496,7 @@ def labels(page: Page) -> np.ndarray | None:
         mark = page.attrs[i]
         if 'data-x="drop"' in mark or page.tag[i] in ("nav", "footer", "aside", "form", "header") and up <= 0:
             state[i] = -1
-        elif up < 0 or any(k in page.words[i] for k in (5, 6, 7)) and page.tag[i] not in ("article", "main"):
+        elif up < 0 or page.tag[i] in INLINE or any(k in page.words[i] for k in (5, 6, 7)) and page.tag[i] not in ("article", "main"):
             state[i] = -1
         elif page.tag[i] in ("article", "main") or 'data-x="keep"' in mark:
             state[i] = 1
@@ -462,7 +559,7 @@ def main_text(pages_html: list[str | None], trees: Trees | None) -> list[str]:
     for page, x in zip(parsed, rows):
         kept = decode(page.parent, chance[at:at + len(x)])
         at += len(x)
-        out.append("\n".join(t for node, t, _ in page.blocks if kept[node] and (node or trees is None)))
+        out.append(page.text(kept))
     return out
 
 
@@ -471,8 +568,9 @@ def extract(
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
-    NULL or empty html: empty text.  Text outside all block elements belongs to no article and goes; if no
-    training page told its article, all rendered text is returned.  Repeated rows and NULL ids are kept.
+    NULL or empty html: empty text.  Runs of text directly in the body are decided like elements; if no training
+    page told its article, all rendered text is returned.  Very long pages are read whole.  Repeated rows and NULL
+    ids are kept; columns other than the three named ones are not looked at; an empty table gives an empty table.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees)  # bounded: rounds x 2**depth nodes
 
