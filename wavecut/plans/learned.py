@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wavecut.operators import learn as M
 from wavecut.operators import leafwise as LW
+from wavecut.operators import reservoir as RS
 from wavecut.operators import stats as A
-from wavecut.plans.catalog import _cut, _learning_table, rounded
+from wavecut.plans.catalog import _cut, _learning_table, _sequence, rounded
+from wavecut.plans.signal import SMALL
 from wavecut.sources.storage import run_folder
 
 #: More bins than segments: every cut between two values of a feature is tried.
@@ -23,6 +25,8 @@ SPACE = M.Space(
 )
 TRIALS, FOLDS = 3, 3
 RACE_RUNGS = (1, 2, 4)
+#: The recurrent layer over the window bands.
+NET = RS.reservoir(SMALL.band_slice[1] - SMALL.band_slice[0] + 1, units=8)
 
 
 def _stump(**params):
@@ -105,10 +109,27 @@ def racing_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(LW.race(folded, drawn, RACE_RUNGS)[1])
 
 
+def reservoir_states(spark: SparkSession, d: str) -> DataFrame:
+    """State of every unit after each window of every segment."""
+    states = RS.reservoir_states(_sequence(spark, d), NET)
+    return rounded(states.select("seg", "win", "y", F.posexplode("h").alias("unit", "h")))
+
+
+def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
+    """What the residual of the readout of all windows shares with each unit: nothing; with the unit's mean and the target's."""
+    states = M.prepared(RS.reservoir_states(_sequence(spark, d), NET), f"{run_folder(spark, 'reservoir', d)}/states")
+    readout = RS.fit_readout(states, len(NET.bias), penalty=0.0)
+    rows = states.select("y", readout.column().alias("p"), F.posexplode("h").alias("unit", "h"))
+    return rounded(rows.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("h").alias("mean_state"), (F.avg("p") / F.avg("y")).alias("mean_share"),
+        (F.round(F.covar_pop(F.col("y") - F.col("p"), "h") / F.stddev_pop("y"), 6) + F.lit(0.0)).alias("shared"),
+    ))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         forest_stump, boosted_stump_oof, boosted_stump_importance, fold_errors, search_trials, leafwise_stump, leafwise_tree,
-        leafwise_oof, racing_search,
+        leafwise_oof, racing_search, reservoir_states, reservoir_readout,
     )
 }
