@@ -90,3 +90,25 @@ def test_predictions_ignore_label_and_source(spark):
     assert np.allclose(model.p[:-1].sum(axis=0), 1, atol=1e-3)
     a = langid.with_language(docs.select("text"), model, langid.default_vocabulary()).limit(50).collect()
     assert all(0.25 <= r.score <= 1 + 1e-9 and not math.isnan(r.score) for r in a)
+
+
+def test_long_runs_equal_short_ones(table):
+    """One long run, in blocks, against the batch of short ones and against the plain loop."""
+    model, rng = tiny_model(table), np.random.default_rng(9)
+    letters = list("etaoinshrdlucmfwypéßжя語") + ["\U00020000"]
+    for size in (1, 5, 17, 40, 300, 700):
+        word = "".join(letters[i] for i in rng.integers(0, len(letters), size))
+        want = langid._forward(["▁" + word], table, model)[0]
+        for block in (1, 50, 4096):
+            assert np.allclose(langid._forward_long("▁" + word, table, model, block), want, rtol=1e-10)
+    words = ["short", "e" * 600, "word", "thequick" * 90]
+    got = langid.word_log_probabilities(words, table, model)
+    assert np.allclose(got, langid._forward(["▁" + w for w in words], table, model), rtol=1e-10)
+
+
+def test_a_very_long_run_is_quick(table):
+    import time
+
+    start = time.perf_counter()
+    got = langid.word_log_probabilities(["etaoinshrdlu" * 10_000], table, tiny_model(table))
+    assert np.isfinite(got).all() and time.perf_counter() - start < 20

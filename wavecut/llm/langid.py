@@ -102,10 +102,17 @@ class Model:
         return cls(languages, p)
 
 
+#: Longer runs of letters are scored by themselves.
+LONG_RUN = 512
+
+
 def word_log_probabilities(words: list[str], table: PieceTable, model: Model) -> np.ndarray:
     """log P(word | language), summed over all segmentations; words without white space."""
     out = np.zeros((len(words), len(model.languages)))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_RUN), key=lambda i: len(words[i]))
+    for i, w in enumerate(words):
+        if len(w) > LONG_RUN:
+            out[i] = _forward_long("▁" + w, table, model)
     at = 0
     while at < len(order):
         longest = len(words[order[min(at + 20_000, len(order)) - 1]]) + 1
@@ -154,6 +161,43 @@ def _forward(words: list[str], table: PieceTable, model: Model) -> np.ndarray:
     return result
 
 
+def _forward_long(word: str, table: PieceTable, model: Model, block: int = 4096) -> np.ndarray:
+    """The sum of ``_forward`` for one word of any length.
+
+    The pieces that end at each character of a block are looked up at once; what is kept beside the block are
+    the sums of the last ``table.longest`` ends.
+    """
+    window, langs, unknown = table.longest, len(model.languages), len(model.p) - 1
+    block = max(block, window)
+    chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    p = np.vstack([model.p, np.zeros(langs)])  # the last row stands for no piece
+    alpha, logs = np.zeros((window, langs)), np.zeros(langs)
+    alpha[-1] = 1.0
+    for at in range(0, len(chars), block):
+        before = min(at, window)
+        c = chars[at - before:at + block]
+        m = len(c) - before
+        pieces = np.empty((m, window), dtype=np.int64)
+        h = np.zeros(len(c), dtype=np.uint64)  # hash of the last characters up to each end
+        for length in range(1, window + 1):
+            h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _BASE + c
+            found = table.find(h[before:])
+            if length == 1:
+                found[found < 0] = unknown
+            found[:max(0, length - 1 - at)] = -1  # would start before the word
+            pieces[:, window - length] = found
+        weights = p[pieces]
+        rows = np.concatenate([alpha, np.empty((m, langs))])
+        for k in range(m):
+            total = (rows[k:k + window] * weights[k]).sum(axis=0)
+            rows[k + window] = total
+            if (at + k + 1) % 16 == 0:
+                rows[k + 1:k + window + 1] /= total
+                logs += np.log(total)
+        alpha = rows[-window:].copy()
+    return np.log(alpha[-1]) + logs
+
+
 class _Scorer:
     """Word scores in a bounded table, computed for all new words of a batch at once."""
 
