@@ -95,3 +95,18 @@ def test_filters_and_unions(spark):
 def test_segment_length_must_be_positive(spark):
     with pytest.raises(ValueError):
         S.with_segments(spark.range(3).toDF("idx"), 0)
+
+
+def test_consecutive_index_splits_blocks_that_hold_too_much(spark, monkeypatch):
+    """Ids of one block lie in many partitions all the same, with the ranks of the global order."""
+    monkeypatch.setattr(S, "SAFE_BITS", 4)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 50)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(0, 3000, 3).select((F.col("id") + F.lit(1 << 33)).alias("uid"))
+        rows = S.consecutive_index(df, "uid", block_bits=40).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted((r.uid - (1 << 33)) // 3 + 1 == r.idx for r in rows) == [True] * 1000
+    assert len({r.part for r in rows}) > 1

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wavecut.sources.storage import cut_lineage, join_small
 
 KEYS = ("seg",)
+#: Bits of an id block that is never split, and rows that a larger one may hold.
+SAFE_BITS, BLOCK_ROWS = 20, 1 << 20
 
 
 def with_row_id(df: DataFrame, start: int | Column = 0, out: str = "uid") -> DataFrame:
@@ -57,12 +59,20 @@ def consecutive_index(
     can exceed ``2**block_bits`` rows however the ids are spread.  Block counts
     come from a scan of the id column alone and are pre-aggregated map-side.
     For 64-bit hashes use a larger ``block_bits`` (the values are spread evenly)
-    and name the columns that break ties.  A NULL id has no place in the order and fails the job.
+    and name the columns that break ties.  Where a block of more than ``2**SAFE_BITS`` ids holds over ``BLOCK_ROWS``
+    rows after all, as with row ids made by Spark, all blocks are made narrower.
+    A NULL id has no place in the order and fails the job.
     """
     kind = df.schema[order_by].dataType
     said = F.raise_error(F.lit(f"NULL in {order_by}: the row has no place in the order")).cast(kind)
     df = df.withColumn(order_by, F.coalesce(F.col(order_by), said))
-    block = F.shiftright(F.col(order_by).cast("bigint"), block_bits)
+    place = F.col(order_by).cast("bigint")
+    while block_bits > SAFE_BITS:
+        held = df.groupBy(F.shiftright(place, block_bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+        if (held.agg(F.max("_n")).first()[0] or 0) <= BLOCK_ROWS:
+            break
+        block_bits = max(SAFE_BITS, block_bits - 10)
+    block = F.shiftright(place, block_bits)
     blocked = df.withColumn("_block", block)
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _exclusive_offsets(counts, "_block")
@@ -89,7 +99,8 @@ def file_order_index(rows: DataFrame, out: str = "idx", within: str | None = Non
     before = order.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
     offsets = cut_lineage(splits.select("_file", "_split", shift.alias("_shift")))
-    placed = join_small(rows, offsets, ["_file", "_split"])
+    largest = splits.groupBy("_file", "_split").agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    placed = join_small(rows, offsets, ["_file", "_split"], largest=largest)
     return placed.withColumn(out, F.col("_id") + F.col("_shift")).drop("_file", "_split", "_id", "_shift")
 
 
