@@ -3,23 +3,26 @@
 A recursion s -> a * s + x is an affine map, and so is any run of it: a chunk of rows is summed up by one pair
 (a ** rows, b).  A two-level prefix over these pairs hands every chunk the value it starts from, and each chunk then
 runs alone.  Rolling values need no carry, only the rows before the chunk.
+
+Runs are worked off batch by batch along sorted partitions, all runs of a batch at once: a task holds one batch however
+long a run is, and short runs cost no call each.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecut.functions import weights as W
 from wavecut.operators.rolling import _rolled, rolling_mean_at, rolling_std_at
-from wavecut.operators.segments import KEYS, complete_values
-from wavecut.sources.storage import cut_lineage, join_small
+from wavecut.operators.segments import KEYS, complete_values, union_sets
+from wavecut.sources.storage import cut_lineage
 
 # Workers get this module with the job and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,19 +31,78 @@ CHUNK_ROWS = 1 << 18
 CHUNKS = 1 << 10
 
 
-def _types(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
+def scan_runs(decays: Sequence[float], pushes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Values after each of the maps s -> decay * s + push, from 0 at the start of each run, in place of ``pushes``.
 
-def scan_block(decays: Sequence[float], start: Sequence[float], pushes: np.ndarray) -> np.ndarray:
-    """Values before each of the maps s -> decay * s + push, and after the last: one row more than ``pushes``."""
-    out = np.empty((len(pushes) + 1, len(decays)))
-    out[0] = start
-    for k in range(len(pushes)):
-        out[k + 1] = np.asarray(decays) * out[k] + pushes[k]
+    ``place`` is a row's distance from the start of its run; the stretch behind a row doubles with every step.
+    """
+    step, factors = 1, np.asarray(decays, dtype=float)
+    while len(at := np.flatnonzero(place >= step)):
+        pushes[at] += factors * pushes[at - step]
+        step, factors = 2 * step, factors * factors
+    return pushes
+
+
+def run_changes(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Whether a row differs from the one before in any of the columns; the first does."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        out[1:] |= code[1:] != code[:-1]
     return out
 
 
+def scanned(
+    table: DataFrame, group: Sequence[str], order: str, decays: Sequence[float], names: Sequence[str], outs: Sequence[str],
+    before: bool = False, started: bool = False, gapless: int | None = None,
+) -> DataFrame:
+    """``group, order, outs``: the recursions with the pushes ``names`` along ``order`` in each group.
+
+    ``before`` gives the values before each row in place of those after it.  ``started``: the first row of a group is
+    what it starts from and is not put out.  ``gapless``: the rows of a chunk, the last column of ``group``; a step other
+    than 1 in ``order`` fails the job with its segment.
+    """
+    k, width = len(group), len(decays)
+    types = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in (*group, order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, np.zeros(width)  # the row before the batch, and the values after it
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            heads = batch.columns[:k + 1]
+            if last is not None:
+                heads = [pa.concat_arrays([x, y]) for x, y in zip(last, heads)]
+            first = run_changes(heads[:k])
+            at = heads[k].to_numpy(zero_copy_only=False)
+            if gapless is not None and (bad := np.flatnonzero(~first[1:] & (at[1:] != at[:-1] + 1))).size:
+                *where, chunk = (c[int(bad[0])].as_py() for c in heads[:k])
+                raise ValueError(f"segment {'/'.join(map(str, where))}: positions after {chunk * gapless} have a gap")
+            first = first[-n:]
+            if last is None:
+                first[0] = True
+            starts = np.flatnonzero(first)
+            place = np.arange(n) - (starts[np.cumsum(first) - 1] if first[0] else np.concatenate([[0], starts])[np.cumsum(first)])
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[k + 1:]], axis=1).astype(float)
+            if not first[0]:
+                values[0] += np.asarray(decays) * state
+            done = scan_runs(decays, values, place)
+            out = done
+            if before:
+                out = np.concatenate([state[None], done[:-1]])
+                out[first] = 0.0
+            last, state = [x.slice(n - 1) for x in batch.columns[:k + 1]], done[-1].copy()
+            made = pa.RecordBatch.from_arrays(
+                [*batch.columns[:k + 1], *(pa.array(np.ascontiguousarray(out[:, i])) for i in range(width))], names=[*group, order, *outs]
+            )
+            yield made.filter(pa.array(~first)) if started else made
+
+    rows = table.select(*group, order, *names).repartition(*group).sortWithinPartitions(*group, order)
+    return rows.mapInArrow(run, f"{types}, " + ", ".join(f"`{o}` double" for o in outs))
+
+
 def carries(
     summaries: DataFrame, decays: Sequence[float], keys: Sequence[str], chunks: int = CHUNKS
 ) -> DataFrame:
@@ -49,33 +111,16 @@ def carries(
     ``summaries``: ``keys, chunk, b0, b1, ...`` of all chunks 0, 1, ... of a segment; ``decays`` are those of a whole
     chunk.  Blocks of ``chunks`` chunks are summed up first and scanned for each segment, then the chunks in each block.
     """
-    k, block = len(decays), F.floor(F.col("chunk") / chunks)
-    head, pushes = _types(summaries, keys), [f"b{i}" for i in range(k)]
-    starts = [f"s{i}" for i in range(k)]
-    summed = ", ".join(f"{b} double" for b in pushes)
-    started = ", ".join(f"{s} double" for s in starts)
-    whole = [d**chunks for d in decays]
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        last = scan_block(decays, [0.0] * k, rows[pushes].to_numpy())[-1]
-        return rows.iloc[:1][[*keys, "block"]].assign(**dict(zip(pushes, last)))
-
-    def scanned(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        before = scan_block(whole, [0.0] * k, rows[pushes].to_numpy())[:-1]
-        return rows[[*keys, "block"]].assign(**{s: before[:, i] for i, s in enumerate(starts)})
-
-    def inner(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        before = scan_block(decays, rows[starts].iloc[0].to_numpy(dtype=float), rows[pushes].to_numpy())[:-1]
-        return rows[[*keys, "chunk"]].assign(**{s: before[:, i] for i, s in enumerate(starts)})
-
-    blocked = summaries.withColumn("block", block.cast("bigint"))
-    totals = blocked.groupBy(*keys, "block").applyInPandas(total, f"{head}, block long, {summed}")
-    firsts = totals.groupBy(*keys).applyInPandas(scanned, f"{head}, block long, {started}")
-    placed = blocked.join(firsts, [*keys, "block"])
-    return placed.groupBy(*keys, "block").applyInPandas(inner, f"{head}, chunk long, {started}")
+    k, block = len(decays), F.floor(F.col("chunk") / chunks).cast("bigint")
+    pushes, starts = [f"b{i}" for i in range(k)], [f"s{i}" for i in range(k)]
+    blocked = summaries.withColumn("block", block)
+    behind = (F.col("block") + 1) * chunks - 1 - F.col("chunk")
+    totals = blocked.groupBy(*keys, "block").agg(*(F.sum(F.col(b) * F.pow(F.lit(d), behind)).alias(b) for b, d in zip(pushes, decays)))
+    firsts = scanned(totals, keys, "block", [d**chunks for d in decays], pushes, pushes, before=True)
+    ahead = firsts.select(*keys, "block", (F.col("block") * chunks - 1).alias("chunk"), *pushes)
+    return scanned(
+        union_sets(blocked.select(*keys, "block", "chunk", *pushes), ahead), [*keys, "block"], "chunk", decays, pushes, starts, before=True, started=True
+    ).drop("block")
 
 
 def recursions(
@@ -93,26 +138,15 @@ def recursions(
     ahead = (F.col("chunk") + 1) * chunk_rows - F.col("no")
     sums = [F.sum(F.col("x") * F.pow(F.lit(d), ahead)).alias(f"b{i}") for i, d in enumerate(factors)]
     summaries = cut_lineage(rows.groupBy(*keys, "chunk").agg(*sums))
-    start = cut_lineage(carries(summaries, [d**chunk_rows for d in factors], keys, chunks))
-    schema = f"{_types(df, keys)}, no {df.schema['no'].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("no")
-        first, x = int(part["chunk"].iloc[0]) * chunk_rows + 1, part["x"].to_numpy()
-        if not (part["no"].to_numpy() == np.arange(first, first + len(part))).all():
-            raise ValueError(f"segment {'/'.join(str(part[k].iloc[0]) for k in keys)}: positions after {first - 1} have a gap")
-        out = part[[*keys, "no"]].copy()
-        for i, (name, decay) in enumerate(zip(names, factors)):
-            before = float(part[f"s{i}"].iloc[0])
-            if decay == 1.0:
-                out[name] = before + np.cumsum(x)
-            else:
-                # pandas' recursion y = (1 - alpha) * y + alpha * x, started one row earlier
-                alpha = 1.0 - decay
-                out[name] = pd.Series(np.concatenate([[before * alpha], x])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:] / alpha
-        return out
-
-    return join_small(rows, start, [*keys, "chunk"]).groupBy(*keys, "chunk").applyInPandas(run, schema)
+    placed = F.col("chunk").isNotNull()
+    for c in keys:
+        placed &= F.col(c).isNotNull()
+    start = carries(summaries.where(placed), [d**chunk_rows for d in factors], keys, chunks)
+    # A chunk's start goes through the recursion as a row in front of it.
+    kind, pushes = df.schema["no"].dataType, [f"b{i}" for i in range(len(factors))]
+    ahead = start.select(*keys, "chunk", (F.col("chunk") * chunk_rows).cast(kind).alias("no"), *(F.col(f"s{i}").alias(b) for i, b in enumerate(pushes)))
+    own = rows.where(placed).select(*keys, "chunk", "no", *(F.col("x").alias(b) for b in pushes))
+    return scanned(union_sets(own, ahead), [*keys, "chunk"], "no", factors, pushes, names, started=True, gapless=chunk_rows).drop("chunk")
 
 
 def ewma_series(
