@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,45 @@ def test_running_features_in_sql(spark, segment_frame):
     spark.createDataFrame([("a", 1, 3.0), ("a", 2, None), ("a", 3, -1.0), ("b", 1, None)], "seg string, no long, x double").createOrReplaceTempView("t_run")
     got = spark.sql("SELECT * FROM lowest(TABLE(t_run) PARTITION BY seg ORDER BY no)").collect()
     assert sorted((r.seg, r.n, r.low) for r in got) == [("a", 3, -1.0), ("b", 1, None)]
+
+
+# ------------------------------------------------- many short runs at once
+def batches_of(table, size):
+    return iter(table.to_batches(max_chunksize=size))
+
+
+def test_complete_groups_over_batches():
+    table = pa.table({"k": ["a"] * 5 + ["b"] * 2 + [None] * 6 + ["c"], "g": [0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2], "v": range(14)})
+    for size in (1, 2, 3, 5, 14):
+        found = list(LS.whole_groups(batches_of(table, size), 2))
+        parts = [p for rows, starts in found for p in np.split(np.array(rows.column("v").to_pylist()), starts[1:])]
+        assert [p.tolist() for p in parts] == [[0, 1], [2, 3, 4], [5, 6], [7, 8, 9, 10], [11, 12], [13]]
+    assert len(list(LS.whole_groups(batches_of(table, 14), 2))) == 2  # all complete groups of a batch together
+
+
+def test_runs_are_scanned_together():
+    place = np.concatenate([np.arange(n) for n in (5, 64, 1, 300)])
+    x = RNG.normal(size=(len(place), 3))
+    want = x.copy()
+    for i in np.flatnonzero(place):
+        want[i] += np.array([0.9, 1.0, 0.01]) * want[i - 1]
+    assert np.allclose(SE.scan_runs([0.9, 1.0, 0.01], x.copy(), place), want, rtol=1e-12, atol=1e-12)
+
+
+def test_no_python_call_for_each_chunk(spark, segment_frame, plan_text):
+    df = segment_frame(*SEGMENTS)
+    for out in (SE.cumulative_series(df, chunk_rows=16, chunks=3), SE.ewma_series(df, [5], chunk_rows=16, chunks=3), LS.long_envelope_mean(df, chunk=16)):
+        assert "FlatMapGroups" not in plan_text(out) and "MapInArrow" in plan_text(out)
+
+
+def test_series_over_batch_borders(spark, segment_frame):
+    """Runs that go on in the next Arrow batch carry their value over."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows_of(SE.ewma_series(segment_frame(*SEGMENTS), [5], chunk_rows=32, chunks=2), "seg", "no")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for s, values in enumerate(SEGMENTS):
+        want = pd.Series(values).ewm(span=5).mean()
+        assert np.allclose([got[s, i + 1].ewma_5 for i in range(len(values))], want, rtol=1e-9)
