@@ -1,5 +1,6 @@
 import os
 
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
@@ -107,3 +108,12 @@ def test_writer_commits_whole_segments(spark, scratch):
     with pytest.raises(Exception, match="two tasks"):
         rows.select("name", "x").repartition(7).sortWithinPartitions("name").write.format("segments").mode("append").save(folder)
     assert [f for f in os.listdir(folder) if f.endswith(".csv")] == ["seg_04.csv"]
+
+
+def test_tasks_stay_few_and_ranges_small(monkeypatch):
+    files = [pafs.FileInfo(f"/f{i}.csv", pafs.FileType.File, size=250) for i in range(1000)]
+    alone = G.plan_ranges(files, 100, 10)
+    monkeypatch.setattr(G, "MOST_TASKS", 64)
+    few = G.plan_ranges(files, 100, 10)
+    flat = lambda tasks: [r for t in tasks for r in t.ranges]
+    assert len(alone) > 64 >= len(few) and flat(alone) == flat(few) and max(len(t.ranges) for t in few) < 64

@@ -46,6 +46,8 @@ FORMAT = "segments"
 SCHEMA = "name string, file string, split long, row long, x double"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 BLOCK = 8 << 20
+#: Tasks of one read; beyond that a task takes several bundles of ranges.
+MOST_TASKS = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -84,16 +86,23 @@ def list_files(path: str) -> list[pafs.FileInfo]:
 
 
 def plan_ranges(files: Sequence[pafs.FileInfo], bytes_per_task: int, file_cost: int) -> list[Ranges]:
-    """Files in tasks of about ``bytes_per_task``; opening one counts as ``file_cost`` bytes, larger ones are cut."""
+    """Files in tasks of about ``bytes_per_task``; opening one counts as ``file_cost`` bytes, larger ones are cut.
+
+    Beyond ``MOST_TASKS`` tasks neighbouring ones are put together; the ranges stay as they are.
+    """
     tasks, held, size = [], [], 0
     for f in files:
         for start in range(0, max(f.size, 1), bytes_per_task):
             end = min(f.size, start + bytes_per_task)
             if held and size + end - start + file_cost > bytes_per_task:
-                tasks, held, size = [*tasks, Ranges(held)], [], 0
+                tasks.append(Ranges(held))
+                held, size = [], 0
             held.append(FileRange(f.path, stem(f.path), start, end))
             size += end - start + file_cost
-    return [*tasks, Ranges(held)] if held else tasks
+    if held:
+        tasks.append(Ranges(held))
+    step = -(-len(tasks) // MOST_TASKS)
+    return tasks if step <= 1 else [Ranges([r for t in tasks[k:k + step] for r in t.ranges]) for k in range(0, len(tasks), step)]
 
 
 def lines_between(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
@@ -228,7 +237,7 @@ class SegmentWriter(DataSourceArrowWriter):
         fs, folder = file_system(self.run)
         folder = f"{folder}/{TaskContext.get().taskAttemptId()}"
         fs.create_dir(folder, recursive=True)
-        written, out, name = [], None, None
+        written, seen, out, name = [], set(), None, None
         try:
             for batch in iterator:
                 names, values = (batch.column(batch.schema.get_field_index(c)) for c in ("name", "x"))
@@ -243,8 +252,9 @@ class SegmentWriter(DataSourceArrowWriter):
                         name = labels[start]
                         if not name or "/" in name or "." in name:
                             raise ValueError(f"{name!r} cannot name a file")
-                        if name in {n for n, _ in written}:
+                        if name in seen:
                             raise ValueError(f"segment {name} does not lie together")
+                        seen.add(name)
                         written.append((name, f"{folder}/{name}.csv"))
                         out = fs.open_output_stream(written[-1][1])
                         out.write(f"{self.header}\n".encode())

@@ -70,16 +70,17 @@ def run_folder(spark: SparkSession, run: str, source: str = "") -> str:
     return f"{table_root(spark)}/runs/{run}{tag}"
 
 
-def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", largest: int | None = None) -> DataFrame:
     """Joins a written table to raw rows without moving a hot key to one task.
 
     The table is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast.  Beyond that the largest
-    group of the rows is counted, the table is repeated so often that a copy meets at most
+    group of the rows is counted, unless ``largest`` says it, the table is repeated so often that a copy meets at most
     ``ROWS_PER_TASK`` rows of it, and the rows are spread over the copies.
     """
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), list(on), how)
-    largest = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        largest = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     salts = max(1, -(-largest // ROWS_PER_TASK))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

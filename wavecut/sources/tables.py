@@ -77,7 +77,7 @@ def file_names(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
 
 def number_names(names: DataFrame) -> DataFrame:
     """``(name, seg)``: distinct names numbered 0, 1, ... in the order of their hash."""
-    hashed = names.select("name", F.xxhash64("name").alias("_h"))
+    hashed = cut_lineage(names.select("name", F.xxhash64("name").alias("_h")))
     numbered = consecutive_index(hashed, "_h", block_bits=44, ties=("name",))
     return numbered.select("name", (F.col("idx") - 1).alias("seg"))
 
