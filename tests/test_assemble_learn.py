@@ -167,3 +167,20 @@ def test_segment_apply_bounds_its_groups(segment_frame):
     assert rows == {
         (0, 0): (1.0, 45.0, 10.0), (1, 0): (16.0, 45.0, 10.0), (1, 1): (6.0, 145.0, 10.0), (1, 2): (1.0, 110.0, 5.0),
     }
+
+
+def test_forest_in_parts_holds_few_trees_at_once(spark, monkeypatch, scratch):
+    """The parts have all trees with the forest's own options, and predict as their mean, repeated rows included."""
+    rows = [(i, float(i % 7), float(i * i % 11), float(i % 7) * 3 + i % 2) for i in range(120)]
+    table = spark.createDataFrame([*rows, rows[-1]], "seg long, a double, b double, label double")
+    features = J.feature_vector(table, ["a", "b"]).select("seg", "features", "label")
+    monkeypatch.setattr(M, "DRIVER_NODES", 600)
+    model, held = M.fit_holdout(features, M.forest(trees=7, depth=12), 90, f"{scratch}/parts")
+    assert model.trees == [3, 3, 1]
+    loaded = [M.load_model(spark, p) for p in model.paths]
+    assert [m.getNumTrees for m in loaded] == model.trees and len({m.getSeed() for m in loaded}) == 3
+    assert {m.getOrDefault("featureSubsetStrategy") for m in loaded} == {"onethird"}
+    want = [m.transform(features.where("seg >= 90")).select("seg", "prediction").collect() for m in loaded]
+    mean = {r[0].seg: sum(x.prediction * t for x, t in zip(r, model.trees)) / 7 for r in zip(*want)}
+    got = held.collect()
+    assert len(got) == 31 and all(abs(r.prediction - mean[r.seg]) < 1e-9 for r in got)

@@ -28,6 +28,10 @@ from wavecut.sources.storage import cut_lineage
 from wavecut.sources.tables import load_model
 
 
+#: Nodes of a forest that the driver holds at once.
+DRIVER_NODES = 1_000_000
+
+
 # -------------------------------------------------------------------- folds
 def kfold_assign(df: DataFrame, k: int = 5, seed: int = 42, key: str = "seg") -> DataFrame:
     """Shuffled, balanced folds: rows ranked by a seeded hash of the key, modulo ``k``."""
@@ -52,9 +56,53 @@ def boosted(rounds: int = 100, depth: int = 5, step: float = 0.1, seed: int = 42
     )
 
 
-def fit_holdout(features: DataFrame, estimator: Estimator, cut: int) -> tuple[Model, DataFrame]:
-    """Time-ordered holdout: fit below ``cut``, predict the rest."""
-    model = estimator.fit(features.where(F.col("seg") < cut))
+@dataclass(frozen=True)
+class ForestParts:
+    """A forest saved in parts, of which the driver holds one at a time: their paths and numbers of trees."""
+
+    paths: list[str]
+    trees: list[int]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``prediction``: the mean over the trees of all parts."""
+        done = df.withColumn("_sum", F.lit(0.0))
+        for path, trees in zip(self.paths, self.trees):
+            more = load_model(df.sparkSession, path).transform(done).withColumn("_sum", F.col("_sum") + F.col("prediction") * trees)
+            done = cut_lineage(more.drop("prediction"))
+        return done.withColumn("prediction", F.col("_sum") / sum(self.trees)).drop("_sum")
+
+
+def fit_forest_parts(train: DataFrame, estimator: RandomForestRegressor, trees: int, folder: str) -> ForestParts:
+    """Fits ``trees`` trees at a time, with a seed for each part, and saves each part before the next."""
+    total, rng = estimator.getNumTrees(), random.Random(estimator.getSeed())
+    strategy, parts = estimator.getFeatureSubsetStrategy(), ForestParts([], [])
+    if strategy == "auto" and total > 1:
+        strategy = "onethird"  # what it stands for in a regression forest, also where a part has one tree
+    for first in range(0, total, trees):
+        own = {estimator.numTrees: min(trees, total - first), estimator.featureSubsetStrategy: strategy, estimator.seed: rng.getrandbits(31)}
+        model = estimator.copy(own).fit(train)
+        parts.paths.append(f"{folder}/part={len(parts.paths)}")
+        parts.trees.append(own[estimator.numTrees])
+        model.write().overwrite().save(parts.paths[-1])
+        del model
+        train.sparkSession._jvm.System.gc()  # broadcasts and nodes of the part go before the next
+    return parts
+
+
+def fit_holdout(
+    features: DataFrame, estimator: Estimator, cut: int, folder: str | None = None
+) -> tuple[Model | ForestParts, DataFrame]:
+    """Time-ordered holdout: fit below ``cut``, predict the rest.
+
+    With a ``folder`` a forest whose trees could have more than ``DRIVER_NODES`` nodes together is fitted in parts.
+    """
+    train = features.where(F.col("seg") < cut)
+    if folder is not None and isinstance(estimator, RandomForestRegressor):
+        nodes = min(2 * max(1, train.count()), 2 ** (estimator.getMaxDepth() + 1))
+        trees = max(1, DRIVER_NODES // nodes)
+        model = fit_forest_parts(train, estimator, trees, folder) if trees < estimator.getNumTrees() else estimator.fit(train)
+    else:
+        model = estimator.fit(train)
     held = model.transform(features.where(F.col("seg") >= cut))
     return model, held.select("seg", "label", "prediction")
 

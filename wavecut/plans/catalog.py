@@ -485,7 +485,7 @@ def forest_predict(spark: SparkSession, d: str) -> DataFrame:
     """Held-out segments with their label; a forest cannot leave the range of its training labels."""
     table, _ = _learning_table(spark, d, "forest")
     cut = _cut(spark, d, 100)
-    _, held = M.fit_holdout(table, M.forest(trees=200, depth=30), cut)
+    _, held = M.fit_holdout(table, M.forest(trees=200, depth=30), cut, f"{run_folder(spark, 'forest', d)}/parts")
     return rounded(_inside(held, table.where(F.col("seg") < cut)).drop("prediction"))
 
 
