@@ -227,3 +227,20 @@ def test_odd_rows(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [1, 1, 2, 3, None, 5, 6, 8]))
     with pytest.raises(ValueError):
         cw.repeated_passages(docs, need=9)
+
+
+def test_all_pairs_of_a_group_meet_whatever_its_size(spark):
+    """Windows under one token are paired in full in groups of few and of many, alike or not around it."""
+    for copies in (4, 14):
+        rng = random.Random(copies)
+        line = words(rng, 30)
+        texts = [" ".join([*words(rng, 40), *line, *words(rng, 40)]) for _ in range(copies)]
+        rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "cls long, t string, id long")
+        windows = cw.window_rows(rows, 3, 46)
+        place = lambda w: (w.at & ((1 << 36) - 1)) >> 3
+        groups, want = {}, 0
+        for w in windows.collect():
+            groups.setdefault(w.key, []).append((w.cls, place(w) - (w.lr >> 32), (w.lr & 0xFFFFFFFF) - place(w)))
+        for g in groups.values():
+            want += sum(x[0] != y[0] and min(x[1], y[1]) + min(x[2], y[2]) + 1 >= 46 for k, x in enumerate(g) for y in g[:k])
+        assert want > 0 and cw.group_pairs(windows, 46, 64, False).count() == want

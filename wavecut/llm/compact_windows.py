@@ -30,9 +30,6 @@ from wavecut.sources.storage import join_small
 WIDTH = 5
 #: Number of bits for hot tokens, and the mark of pairs that need no second function.
 HOT_BITS, SURE = 1 << 24, 7
-#: Groups of up to so many windows are compared without a look at the tokens around; bits kept of those on each side.
-SMALL, SIDE_BITS = 8, 13
-SIDE_MASK, PLACE_MASK = (1 << SIDE_BITS) - 1, (1 << 33) - 1
 FN_KEYS = mix64(np.arange(8, dtype=np.uint64), 200)
 _SPAN = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -206,35 +203,22 @@ class Batch:
         return c[keep], l[keep], r[keep]
 
 
-def side_bits(tokens: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """``SIDE_BITS`` bits of the smallest hash among the ``side`` tokens before and behind each token, 0 near an end."""
-    low = sliding_min(mix64(tokens, 100), side) & np.uint64((1 << SIDE_BITS) - 1)
-    before, behind = np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
-    if len(low):
-        before[side:] = low[: len(tokens) - side].view(np.int64)
-        behind[: len(tokens) - side] = low[1:].view(np.int64)
-    return before, behind
-
-
 def window_rows(
     source: DataFrame, hashes: int, shortest: int, hot: np.ndarray | None = None, marked: np.ndarray | None = None
 ) -> DataFrame:
     """``key, cls, at, lr``: each compact window of every ``cls, t`` under its smallest token.
 
-    The key is the token with the function's own bits turned over; ``at`` holds bits of the tokens on both sides, the
-    place of the token and the function.  With ``hot`` tokens last, only windows that hold such a token are given: the
+    The key is the token with the function's own bits turned over; ``at`` holds the place of the token and
+    the function.  With ``hot`` tokens last, only windows that hold such a token are given: the
     others are the same in every order.  With ``marked`` only those under a marked token, all of them, with the
     ``id`` of their document.
     """
-    side = (shortest - 1) // 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 rows = whole.slice(begin, 500)
                 b = Batch(rows.column(1).to_pylist())
                 ids, docs = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-                before, behind = side_bits(b.tokens, side)
                 held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))]) if hot is not None else None
                 for fn in range(hashes):
                     c, l, r = b.windows(shortest, fn, hot)
@@ -245,9 +229,8 @@ def window_rows(
                         keep = held[r + 1] > held[l]  # without a hot token inside, the window was there before
                         c, l, r = c[keep], l[keep], r[keep]
                     d = b.doc[c]
-                    sides = behind[c] << SIDE_BITS | before[c]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((b.tokens[c] ^ FN_KEYS[fn]).view(np.int64)), pa.array(ids[d]), pa.array(sides << 36 | (c - b.start[d]) << 3 | fn),
+                        [pa.array((b.tokens[c] ^ FN_KEYS[fn]).view(np.int64)), pa.array(ids[d]), pa.array((c - b.start[d]) << 3 | fn),
                          pa.array((l - b.start[d]) << 32 | (r - b.start[d])), *([pa.array(docs[d])] if marked is not None else [])],
                         names=["key", "cls", "at", "lr", *(["id"] if marked is not None else [])],
                     )
@@ -287,20 +270,15 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, last: bool) ->
     """``b, a, diag, fn, low, high``: windows of two classes under one token whose stretches, laid over each other
     at it, are long enough for a passage; ``low .. high`` is the common stretch in b.
 
-    All pairs of a group of up to ``largest`` windows; in groups of more than ``SMALL`` those alone whose tokens before or
-    behind look alike, as those of a passage do on one side at least.  A larger group makes its token hot: it gives ``b`` and the token
+    All pairs of a group of up to ``largest`` windows.  A larger group makes its token hot: it gives ``b`` and the token
     as ``diag`` with a NULL ``a``.  In the ``last`` round its windows meet the first of the group and the one before.
     """
     names = ["b", "a", "diag", "fn", "low", "high"]
 
-    def pairs(k, d, at, lr, i, j, strict=None) -> pa.RecordBatch:
-        if strict is not None:
-            apart = at[i] ^ at[j]
-            alike = (apart >> 36 & SIDE_MASK == 0) | (apart >> (36 + SIDE_BITS) & SIDE_MASK == 0)
-            i, j = i[alike | ~strict], j[alike | ~strict]
+    def pairs(k, d, at, lr, i, j) -> pa.RecordBatch:
         swap = d[i] < d[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        ci, cj = (at[i] >> 3) & PLACE_MASK, (at[j] >> 3) & PLACE_MASK
+        ci, cj = at[i] >> 3, at[j] >> 3
         before = np.minimum(ci - (lr[i] >> 32), cj - (lr[j] >> 32))
         behind = np.minimum((lr[i] & 0xFFFFFFFF) - ci, (lr[j] & 0xFFFFFFFF) - cj)
         wide = before + behind + 1 >= shortest
@@ -340,7 +318,7 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, last: bool) ->
                     break
                 i = i[d[i] != d[i - step]]
                 if len(i):
-                    yield pairs(k, d, at, lr, i, i - step, size[i] > SMALL)
+                    yield pairs(k, d, at, lr, i, i - step)
             if large.any():
                 rows = np.flatnonzero(large)
                 marks = np.unique(np.stack([d[rows], (k[rows].view(np.uint64) ^ FN_KEYS[at[rows] & 7]).view(np.int64)]), axis=1)
