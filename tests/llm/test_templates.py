@@ -140,3 +140,24 @@ def test_recall_by_kind_of_change(spark):
             texts.append(f"{FILL} {c} {FILL}")
     got = found(spark, spark.createDataFrame(items, "item_id long, text string"), texts)
     assert set(got) == want
+
+
+def test_contaminated_documents_go_without_moving_the_others(spark, items):
+    """The few ids are broadcast: no text is shuffled; rows without an id stay, repeated ids go together."""
+    rows = [(1, ITEM), (1, FILL), (2, FILL), (None, ITEM), (3, None), (2, FILL)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = templates.without_contaminated(docs, items)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, rows[2:]))
+
+
+def test_word_table_starts_anew(spark):
+    """A table that is made longer in steps, or was full, gives the same tokens."""
+    texts = [f"{ITEM} {FILL} w{k} {k} km" for k in range(40)]
+    whole, steps = templates.WordKinds().tokens(texts), templates.WordKinds(limit=20)
+    for k, t in enumerate(texts):
+        one = steps.tokens([t])
+        inside = whole.doc == k
+        assert one.hash.tolist() == whole.hash[inside].tolist() and one.type.tolist() == whole.type[inside].tolist()
+        assert len(steps.rows) < 100 and len(steps.kind) == len(steps.hash) == len(steps.rows)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecut.llm.common import mix64, run_path, written
+from wavecut.sources.storage import BROADCAST_ROWS
 
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _SKIP, _WORD, _NUM, _NUM_UNIT, _TITLE, _UNIT_WORD = range(6)
@@ -40,20 +41,22 @@ _MARKS = "".join(c for c in string.punctuation if c not in "%$") + "«»“”
 _NUMBER = re.compile(r"([€$£¥]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]*|[%€$£¥])$")
 _POSSESSIVE = re.compile(r"(\w\w+)['’]s$")
 _HASH_BASE = np.uint64(0x100000001B3)
+#: Texts whose windows a task holds at once.
+SCAN_ROWS = 250
 
 
 class WordKinds:
     """Kind, hash and slot values of each distinct word, in a bounded table."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
         self._reset()
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
         self.values: list[tuple[str, ...]] = []
-        self._kind, self._hash, self._ends = [], [], []
-        self._done, self.kind = 0, np.zeros(0, dtype=np.int8)
+        self._kind, self._hash, self._ends = [], [], []  # of the words since the arrays were last made longer
+        self.kind = np.zeros(0, dtype=np.int8)
         self.hash, self.ends = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
 
     def _add(self, word: str) -> None:
@@ -91,9 +94,11 @@ class WordKinds:
             for w in words:
                 if w not in known:
                     self._add(w)
-        if len(self._kind) > self._done:
-            self.kind, self.hash = np.array(self._kind, dtype=np.int8), np.array(self._hash, dtype=np.uint64)
-            self.ends, self._done = np.array(self._ends, dtype=bool), len(self._kind)
+        if self._kind:
+            self.kind = np.concatenate([self.kind, np.array(self._kind, dtype=np.int8)])
+            self.hash = np.concatenate([self.hash, np.array(self._hash, dtype=np.uint64)])
+            self.ends = np.concatenate([self.ends, np.array(self._ends, dtype=bool)])
+            self._kind, self._hash, self._ends = [], [], []
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         row = np.fromiter((known[w] for words in split for w in words), dtype=np.int64, count=int(sizes.sum()))
         return Tokens(self, row, np.repeat(np.arange(len(split)), sizes))
@@ -275,8 +280,8 @@ def contaminated(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, shift = WordKinds(), np.uint64(64 - filter_bits)
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
+            for first in range(0, whole.num_rows, SCAN_ROWS):
+                batch = whole.slice(first, SCAN_ROWS)
                 t, ids, out = kinds.tokens(batch.column(1).to_pylist()), batch.column(0).to_pylist(), []
                 for w in widths:
                     at, h, _, names, _ = t.windows(w, min(literal, w))
@@ -348,6 +353,11 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """Rows of the documents that hold no item, as they came; rows without an id stay."""
+    """Rows of the documents that hold no item, as they came; rows without an id stay.
+
+    The ids of the others are written first: up to ``BROADCAST_ROWS`` of them are broadcast, so that the texts are not moved.
+    """
     found = contaminated(docs, items, key=key, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[key] == found["_gone"], "left_anti")
+    found = written(found, f"{run_path(docs.sparkSession, 'contaminated')}/ids")
+    small = found.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if small else found, docs[key] == found["_gone"], "left_anti")
