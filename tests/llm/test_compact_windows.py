@@ -244,3 +244,25 @@ def test_all_pairs_of_a_group_meet_whatever_its_size(spark):
         for g in groups.values():
             want += sum(x[0] != y[0] and min(x[1], y[1]) + min(x[2], y[2]) + 1 >= 46 for k, x in enumerate(g) for y in g[:k])
         assert want > 0 and cw.group_pairs(windows, 46, 64, False).count() == want
+
+
+def test_texts_are_sent_once_to_a_block_of_pairs(spark, scratch, monkeypatch):
+    """Every pair is compared, whatever block it lies in, and a family's texts are not sent once for each of its pairs."""
+    rng, n = random.Random(13), 24
+    passage = words(rng, 70)
+    texts = [words(rng, 20) + passage[:k] + ["changed"] + passage[k + 1:] + words(rng, 20) for k in range(n)]
+    tokens = [cw.text_shingles([" ".join(t)])[0].astype(np.uint32) for t in texts]
+    grams = spark.createDataFrame([(k + 100, bytearray(x.tobytes())) for k, x in enumerate(tokens)], "cls long, grams binary")
+    rows = [(b + 100, a + 100, b, a, [0]) for b in range(n) for a in range(b)]
+    pairs = spark.createDataFrame(rows, "hb long, ha long, b long, a long, diags array<long>").repartition(5)
+    want = set()
+    for _, _, b, a, diags in rows:
+        for i0, i1, j0, j1, jaccard in cw.matching_spans(tokens[b], tokens[a], diags, 46, 0.8, 10, 12):
+            want.add((b, b + 100, i0, i1 + cw.WIDTH, a, j0, j1 + cw.WIDTH, jaccard))
+    assert len({(x[0], x[4]) for x in want}) > n
+    for block in (256, 5):
+        monkeypatch.setattr(cw, "BLOCK_TEXTS", block)
+        found = cw.verified(pairs, grams, 46, 0.8, 10, 12, f"{scratch}/{block}")
+        assert {tuple(r) for r in found.collect()} == want
+        dealt = spark.read.parquet(f"{scratch}/{block}/dealt").collect()
+        assert len(dealt) == n - 1 and {r.home for r in dealt} == {100} and (len({r.block for r in dealt}) > 1) == (block == 5)

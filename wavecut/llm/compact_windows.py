@@ -31,6 +31,8 @@ WIDTH = 5
 #: Number of bits for hot tokens, and the mark of pairs that need no second function.
 HOT_BITS, SURE = 1 << 24, 7
 FN_KEYS = mix64(np.arange(8, dtype=np.uint64), 200)
+#: Later texts that are compared together.
+BLOCK_TEXTS = 256
 _SPAN = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at once, and a random value for each byte.
@@ -439,17 +441,28 @@ def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, sl
             ).filter(pa.array(ok, pa.bool_()))
 
     # Both orders of a text give many windows twice; a pair of texts meets in one row for each diagonal and function.
-    every = union_sets(*found).groupBy("b", "a", "diag", "fn").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    per_pair = every.groupBy("b", "a").agg(F.collect_list(F.struct("diag", "fn", "low", "high")).alias("found"))
-    return per_pair.mapInArrow(check, "b long, a long, diags array<long>")
+    # Dealt by the pair once, for both groupings.
+    every = union_sets(*found).repartition("b", "a").groupBy("b", "a", "diag", "fn").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    per_pair = every.groupBy("b", "a").agg(
+        F.collect_list(F.struct("diag", "fn", "low", "high")).alias("found"), F.min("fn").alias("one"), F.max("fn").alias("other")
+    )
+    if need > 1:  # most pairs meet under one function alone
+        per_pair = per_pair.where(f"one <> other or other = {SURE}")
+    return per_pair.select("b", "a", "found").mapInArrow(check, "b long, a long, diags array<long>")
 
 
 def _equal_tokens(b: np.ndarray, a: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """All ``(i, j)`` with ``b[i] == a[j]``; None if repeated tokens would make them too many to list."""
     order = np.argsort(a, kind="stable") if order is None else order
+    if not len(a):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     ranked = a[order]
-    low = np.searchsorted(ranked, b, "left")
-    many = np.searchsorted(ranked, b, "right") - low
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    values = ranked[starts]
+    run = np.searchsorted(values, b, "left")
+    run[run == len(values)] = 0
+    low = starts[run]
+    many = np.where(values[run] == b, np.append(starts[1:], len(a))[run] - low, 0)
     total = int(many.sum())
     if total > 8 * (len(a) + len(b)):
         return None
@@ -483,13 +496,14 @@ def matching_spans(
         else:
             clusters.append([d, d])
     for low, high in clusters:
+        if pairs is not None and np.searchsorted(off, high + slack, "right") - np.searchsorted(off, low - slack, "left") < similarity * shortest:
+            continue
         # b[i] lies opposite a[where[i]]; of several places the nearest diagonal is written last
         where = np.full(len(b), -1, dtype=np.int64)
         if pairs is not None:
             i, j = pairs
-            off = np.abs(2 * (i - j) - low - high)
             near = np.flatnonzero((i - j >= low - slack) & (i - j <= high + slack))
-            near = near[np.argsort(-off[near], kind="stable")]
+            near = near[np.argsort(-np.abs(2 * (i[near] - j[near]) - low - high), kind="stable")]
             where[i[near]] = j[near]
         else:
             for d in sorted(range(low - slack, high + slack + 1), key=lambda d: abs(2 * d - low - high), reverse=True):
@@ -502,21 +516,66 @@ def matching_spans(
             run = stack.pop()
             if len(run) < similarity * shortest:
                 continue
-            steps_ = np.diff(run)
-            length, at = run[-1] - run[0] + 1, where[run]
-            other = at.max() - at.min() + 1
-            common = min(len(run), len(np.unique(at)))  # repeated tokens of one side lie opposite one of the other
+            steps_, at = run[1:] - run[:-1], where[run]
+            length, across = run[-1] - run[0] + 1, at[1:] - at[:-1]
+            # repeated tokens of one side lie opposite one of the other
+            if not len(across) or across.min() > 0:
+                common, other = len(run), at[-1] - at[0] + 1
+            else:
+                common, other = min(len(run), len(np.unique(at))), at.max() - at.min() + 1
             jaccard = common / (length + other - common)
-            if len(steps_) and (jaccard < similarity or steps_.max() > gap):
+            widest = steps_.max() if len(steps_) else 0
+            if len(steps_) and (jaccard < similarity or widest > gap):
                 cut = int(np.argmax(steps_)) + 1
-                if steps_.max() == 1:  # no gap in b: the other side jumps; cut there
-                    cut = int(np.argmax(np.abs(np.diff(at) - 1))) + 1
+                if widest == 1:  # no gap in b: the other side jumps; cut there
+                    cut = int(np.argmax(np.abs(across - 1))) + 1
                 stack += [run[:cut], run[cut:]]
             elif length >= shortest:
                 out.append((int(run[0]), int(run[-1]), int(at.min()), int(at.max()), float(jaccard)))
     return out
 
 
+def verified(pairs: DataFrame, grams: DataFrame, shortest: int, similarity: float, slack: int, gap: int, folder: str) -> DataFrame:
+    """``FOUND`` rows of the pairs: every pair is compared, in blocks of later texts that share their first earlier one.
+
+    Pairs of a family of texts lie mostly in one block then, and a text is sent once to a block instead of once for each of its
+    pairs.  A block holds about ``BLOCK_TEXTS`` later texts; the earlier ones pass by them one at a time.
+    """
+    homes = pairs.groupBy("hb").agg(F.min(F.struct("a", "ha")).alias("first")).select("hb", F.col("first.ha").alias("home"))
+    homes = written(homes, f"{folder}/homes")
+    large = written(
+        homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks")).where("blocks > 1"), f"{folder}/large"
+    )
+    block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.expr("pmod(xxhash64(hb), blocks)")).cast("int").alias("block")
+    dealt = written(join_small(homes, large, ["home"], "left").select("hb", "home", block), f"{folder}/dealt")
+    met = pairs.join(dealt, "hb").groupBy("home", "block", "ha").agg(F.collect_list(F.struct("hb", "b", "a", "diags")).alias("met"))
+    none = F.lit(None).cast(met.schema["met"].dataType)
+    later = dealt.join(grams, dealt["hb"] == grams["cls"]).select("home", "block", none.alias("met"), "cls", "grams")
+    earlier = met.join(grams, met["ha"] == grams["cls"]).select("home", "block", "met", "cls", "grams")
+    rows = later.union(earlier).repartition("home", "block").sortWithinPartitions("home", "block", F.col("met").isNotNull(), "cls")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, pa.float64()]
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        at, held = None, {}
+        for batch in batches:
+            out = []
+            for home, k, met, cls, tokens in zip(*batch.columns):
+                unit, tokens = (home.as_py(), k.as_py()), np.frombuffer(tokens.as_buffer(), np.uint32)
+                if unit != at:
+                    at, held = unit, {}
+                if not met.is_valid:
+                    held[cls.as_py()] = tokens.copy()  # the batch need not stay
+                    continue
+                order = np.argsort(tokens, kind="stable")
+                for x in met.as_py():
+                    for i0, i1, j0, j1, jaccard in matching_spans(held[x["hb"]], tokens, x["diags"], shortest, similarity, slack, gap, order):
+                        out.append((x["b"], x["hb"], i0, i1 + WIDTH, x["a"], j0, j1 + WIDTH, jaccard))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return rows.mapInArrow(verify, FOUND)
+
+
 def repeated_passages(
     docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 5, need: int = 2,
     slack: int = 10, gap: int = 12, largest: int = 64, key: str = "doc_id", text: str = "text", folder: str | None = None,
@@ -566,28 +625,13 @@ def repeated_passages(
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(grams, pa.binary())], names=["cls", "grams"])
 
     grams = written(texts.mapInArrow(hashed, "cls long, grams binary"), f"{folder}/grams")
-    left = pairs.join(grams.select(F.col("cls").alias("hb"), F.col("grams").alias("gb")), "hb")
-    both = left.join(grams.select(F.col("cls").alias("ha"), F.col("grams").alias("ga")), "ha")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, pa.float64()]
-        held, tokens, order = None, None, None  # rows with the same earlier text lie together
-        for batch in batches:
-            out = []
-            for b, h, a, diags, gb, ga in zip(*(c.to_pylist() for c in batch.columns)):
-                if ga != held:
-                    held, tokens = ga, np.frombuffer(ga, np.uint32)
-                    order = np.argsort(tokens, kind="stable")
-                for i0, i1, j0, j1, jaccard in matching_spans(np.frombuffer(gb, np.uint32), tokens, diags, shortest, similarity, slack, gap, order):
-                    out.append((b, h, i0, i1 + WIDTH, a, j0, j1 + WIDTH, jaccard))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
-
-    spans = both.select("b", "hb", "a", "diags", "gb", "ga").mapInArrow(verify, FOUND).distinct()
+    spans = verified(pairs, grams, shortest, similarity, slack, gap, folder).distinct()
     per_text = written(spans.groupBy("text_hash").agg(F.collect_set(F.struct(*(c.split()[0] for c in FOUND.split(", ") if not c.startswith("text")))).alias("spans")), f"{folder}/found")
+    cut = join_small(source, per_text.select(F.col("text_hash").alias("cls")), ["cls"]).dropDuplicates(["cls"]).select(F.col("cls").alias("text_hash"), "t")
 
     def placed_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The characters of the spans, found once for a text."""
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for h, found, t in zip(*(c.to_pylist() for c in batch.columns)):
                 at = [m.span() for m in _SPAN.finditer(t)]
@@ -597,10 +641,10 @@ def repeated_passages(
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), *[pa.int32()] * 2, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SPANS.split(", ")])
 
-    repeats = per_text.join(texts.withColumnRenamed("cls", "text_hash"), "text_hash").select("text_hash", "spans", "t").mapInArrow(placed_in, SPANS)
+    repeats = per_text.join(cut, "text_hash").select("text_hash", "spans", "t").mapInArrow(placed_in, SPANS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             spans = [(h, *_whole_span(t)) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             spans = [x for x in spans if x[1] >= min_words]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in spans], pa.int64()) for k in range(4)], names=["cls", "words", "first", "end"])
@@ -616,6 +660,13 @@ def repeated_passages(
     return repeats.union(copies)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose texts a task may hold as Python strings."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _whole_span(text: str) -> tuple[int, int, int]:
     """Number of words, first character and end of a text without the space around it."""
     inner = text.lstrip()
@@ -639,7 +690,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     count_at = names.index(chars) if chars in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             cuts = batch.column(len(names)).to_pylist()
             texts, changed = batch.column(at).to_pylist(), [c is not None for c in cuts]
             for i, c in enumerate(cuts):
