@@ -266,3 +266,41 @@ def test_texts_are_sent_once_to_a_block_of_pairs(spark, scratch, monkeypatch):
         assert {tuple(r) for r in found.collect()} == want
         dealt = spark.read.parquet(f"{scratch}/{block}/dealt").collect()
         assert len(dealt) == n - 1 and {r.home for r in dealt} == {100} and (len({r.block for r in dealt}) > 1) == (block == 5)
+
+
+def test_all_pairs_of_a_large_group_meet_in_blocks(spark, scratch, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(cw, "BLOCK_WINDOWS", 40)
+    rows = []
+    for key, n in ((5, 300), (6, 41), (7, 3)):
+        for k in range(n):
+            c = rng.randrange(100, 200)
+            rows.append((key, rng.randrange(n), c << 3 | 2, (c - rng.randrange(60)) << 32 | (c + rng.randrange(60))))
+    windows = spark.createDataFrame(rows + rows[:90], cw.WINDOWS).repartition(4)
+    want, rows = set(), sorted(set(rows))
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[0] != y[0] or x[1] == y[1]:
+                continue
+            b, a = (x, y) if x[1] > y[1] else (y, x)
+            cb, ca = b[2] >> 3, a[2] >> 3
+            before = min(cb - (b[3] >> 32), ca - (a[3] >> 32))
+            behind = min((b[3] & 0xFFFFFFFF) - cb, (a[3] & 0xFFFFFFFF) - ca)
+            if before + behind + 1 >= 46:
+                want.add((b[1], a[1], cb - ca, 2, cb - before, cb + behind))
+    got = [tuple(r) for r in cw.block_pairs(windows, 46, scratch).collect()]
+    assert set(got) == want and len(want) > 1000
+
+
+def test_no_partner_is_lost_in_a_group_that_stays_large(spark):
+    """A changed passage lies far behind its only likes, with others in the groups of all its tokens first and in between."""
+    rng = random.Random(31)
+    passage = words(rng, 60, 10**6)
+    changed, other = passage[:30] + ["changed"] + passage[31:], words(rng, 120, 10**6)
+    halves = [passage[:30] + other[:60], other[60:] + passage[30:]]
+    lines = halves * 70 + [passage] * 70 + halves * 70 + [changed] * 70
+    rows = [(k, " ".join(words(rng, 20, 10**6) + line + words(rng, 20, 10**6))) for k, line in enumerate(lines)]
+    found = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    first = [r for r in found if r.doc_id == 350]
+    assert any(140 <= r.source_doc_id < 210 and r.word_start <= 20 and r.word_end >= 80 for r in first)
+    assert {r.doc_id for r in found} == set(range(2, 140)) | set(range(141, 420))

@@ -8,13 +8,13 @@ Windows with the same smallest token meet in one group.  Pairs of windows laid o
 intervals of several hash functions are joined, and texts whose intervals share a passage's length are verified.
 
 Tokens that too many windows meet under would cost all pairs of their groups; texts that hold them are done again in an
-order that puts such tokens last.  Equal texts are one from the start.
+order that puts such tokens last; in the end equal stretches of such tokens are taken as one and the others all paired.  Equal texts are one from the start.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ HOT_BITS, SURE = 1 << 24, 7
 FN_KEYS = mix64(np.arange(8, dtype=np.uint64), 200)
 #: Later texts that are compared together.
 BLOCK_TEXTS = 256
+#: Windows of a large group that are compared together.
+BLOCK_WINDOWS = 256
 _SPAN = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at once, and a random value for each byte.
@@ -42,6 +44,7 @@ SPANS = (
     "doc_id long, text_hash long, word_start int, word_end int, char_start int, char_end int, source_doc_id long, "
     "source_start int, source_end int, similarity double"
 )
+WINDOWS = "key long, cls long, at long, lr long"
 FOUND = "doc_id long, text_hash long, word_start int, word_end int, source_doc_id long, source_start int, source_end int, similarity double"
 
 
@@ -212,68 +215,87 @@ def window_rows(
 
     The key is the token with the function's own bits turned over; ``at`` holds the place of the token and
     the function.  With ``hot`` tokens last, only windows that hold such a token are given: the
-    others are the same in every order.  With ``marked`` only those under a marked token, all of them, with the
-    ``id`` of their document.
+    others are the same in every order.  With ``marked`` only those under a marked token.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                rows = whole.slice(begin, 500)
-                b = Batch(rows.column(1).to_pylist())
-                ids, docs = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-                held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))]) if hot is not None else None
-                for fn in range(hashes):
-                    c, l, r = b.windows(shortest, fn, hot)
-                    if marked is not None:
-                        keep = is_marked(b.tokens[c], marked)
-                        c, l, r = c[keep], l[keep], r[keep]
-                    elif hot is not None:
-                        keep = held[r + 1] > held[l]  # without a hot token inside, the window was there before
-                        c, l, r = c[keep], l[keep], r[keep]
-                    d = b.doc[c]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((b.tokens[c] ^ FN_KEYS[fn]).view(np.int64)), pa.array(ids[d]), pa.array((c - b.start[d]) << 3 | fn),
-                         pa.array((l - b.start[d]) << 32 | (r - b.start[d])), *([pa.array(docs[d])] if marked is not None else [])],
-                        names=["key", "cls", "at", "lr", *(["id"] if marked is not None else [])],
-                    )
-
-    schema = "key long, cls long, at long, lr long" + (", id long" if marked is not None else "")
-    return source.select("cls", "t", "id").mapInArrow(run, schema)
-
-
-def exact_stretches(source: DataFrame, hashes: int, shortest: int, hot: np.ndarray, marked: np.ndarray) -> DataFrame:
-    """``key, id, cls, at``: every stretch of ``shortest`` tokens whose smallest one, by any function, is marked; by its hash."""
+        for rows in few_rows(batches):
+            b = Batch(rows.column(1).to_pylist())
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))]) if hot is not None else None
+            for fn in range(hashes):
+                c, l, r = b.windows(shortest, fn, hot)
+                if hot is not None:
+                    keep = held[r + 1] > held[l]  # without a hot token inside, the window was there before
+                    c, l, r = c[keep], l[keep], r[keep]
+                if marked is not None:
+                    keep = is_marked(b.tokens[c], marked)
+                    c, l, r = c[keep], l[keep], r[keep]
+                yield window_batch(b, ids, b.tokens[c], b.doc[c], c, l, r, fn)
+
+    return source.select("cls", "t").mapInArrow(run, WINDOWS)
+
+
+def window_batch(b: Batch, ids: np.ndarray, token: np.ndarray, d: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, fn: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array((token ^ FN_KEYS[fn]).view(np.int64)), pa.array(ids[d]), pa.array((c - b.start[d]) << 3 | fn),
+         pa.array((l - b.start[d]) << 32 | (r - b.start[d]))], names=["key", "cls", "at", "lr"],
+    )
+
+
+def hot_stretches(rows: DataFrame, shortest: int, hot: np.ndarray) -> DataFrame:
+    """``key, id, cls, at``: every stretch of ``shortest`` hot tokens, by its hash; a text's first of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                rows = whole.slice(begin, 500)
-                b = Batch(rows.column(1).to_pylist())
-                ids, docs = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-                edge = np.zeros(len(b.tokens) + 1, dtype=np.int64)
-                for fn in range(hashes):
-                    c, l, r = compact_windows(b.tokens, b.doc, shortest, fn, hot)
-                    few = is_marked(b.tokens[c], marked)
-                    c, l, r = c[few], l[few], r[few]
-                    np.add.at(edge, np.maximum(l, c - shortest + 1), 1)
-                    np.add.at(edge, np.minimum(c, r - shortest + 1) + 1, -1)
-                first = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                prefix, inverse = stretch_hashes(b.tokens)
-                d = b.doc[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(stretch_hash(prefix, inverse, first, first + shortest).view(np.int64)), pa.array(docs[d]), pa.array(ids[d]), pa.array(first - b.start[d])],
-                    names=["key", "id", "cls", "at"],
-                )
+        for part in few_rows(batches):
+            b = Batch(part.column(1).to_pylist())
+            ids, docs = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))])
+            first = np.arange(max(0, len(b.tokens) - shortest + 1))
+            first = first[(held[first + shortest] - held[first] == shortest) & (b.doc[first] == b.doc[first + shortest - 1])]
+            prefix, inverse = stretch_hashes(b.tokens)
+            key = stretch_hash(prefix, inverse, first, first + shortest)
+            once = np.unique(key ^ mix64(b.doc[first], 18), return_index=True)[1]
+            key, first = key[once], first[once]
+            d = b.doc[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(docs[d]), pa.array(ids[d]), pa.array(first - b.start[d])], names=["key", "id", "cls", "at"],
+            )
+
+    return rows.select("cls", "t", "id").mapInArrow(run, "key long, id long, cls long, at long")
 
-    return source.select("cls", "t", "id").mapInArrow(run, "key long, id long, cls long, at long")
 
+def owned_windows(owners: DataFrame, hashes: int, shortest: int, marked: np.ndarray | None = None) -> DataFrame:
+    """``WINDOWS`` of the runs of stretches that a text owns; with ``marked`` those under a marked token.
 
-def group_pairs(windows: DataFrame, shortest: int, largest: int, last: bool) -> DataFrame:
+    ``cls, t, first, last`` of the owners: the places where the first and the last stretch of each run begin.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_rows(batches):
+            b = Batch(part.column(1).to_pylist())
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            first, last = (part.column(k).flatten().to_numpy() for k in (2, 3))
+            d = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())
+            sizes = last - first + shortest
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            places = np.repeat(b.start[d] + first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            tokens = b.tokens[places]
+            for fn in range(hashes):
+                c, l, r = compact_windows(tokens, of, shortest, fn)
+                if marked is not None:
+                    keep = is_marked(tokens[c], marked)
+                    c, l, r = c[keep], l[keep], r[keep]
+                yield window_batch(b, ids, tokens[c], d[of[c]], places[c], places[l], places[r], fn)
+
+    return owners.select("cls", "t", "first", "last").mapInArrow(run, WINDOWS)
+
+
+def group_pairs(windows: DataFrame, shortest: int, largest: int, dealt: bool) -> DataFrame:
     """``b, a, diag, fn, low, high``: windows of two classes under one token whose stretches, laid over each other
     at it, are long enough for a passage; ``low .. high`` is the common stretch in b.
 
     All pairs of a group of up to ``largest`` windows.  A larger group makes its token hot: it gives ``b`` and the token
-    as ``diag`` with a NULL ``a``.  In the ``last`` round its windows meet the first of the group and the one before.
+    as ``diag`` with a NULL ``a``.  Windows ``dealt`` to cells meet all others of their cell, whatever its size: see ``block_pairs``.
     """
     names = ["b", "a", "diag", "fn", "low", "high"]
 
@@ -291,57 +313,53 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, last: bool) ->
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, over = [np.zeros(0, dtype=np.int64)] * 4, None, None
+        held, over = [np.zeros(0, dtype=np.int64)] * (5 if dealt else 4), None
 
         def settle(cols: list[np.ndarray], final: bool) -> Iterator[pa.RecordBatch]:
             """Pairs of the complete groups; the last group is held back unless ``final``."""
-            nonlocal held, first, over
-            k, d, at, lr = cols
+            nonlocal held, over
+            k, d, at, lr = cols[:4]
             n = len(k)
             if not n:
                 held = cols
                 return
             group = np.concatenate([[True], k[1:] != k[:-1]])
+            if dealt:
+                cell, side = cols[4] >> 1, cols[4] & 1
+                one_block = (cell >> 31) == (cell & 0x7FFFFFFF)
+                group[1:] |= cell[1:] != cell[:-1]
+                again = np.concatenate([[False], np.all([x[1:] == x[:-1] for x in cols], axis=0)])
+                if again.any():  # equal rows lie side by side: one is enough
+                    yield from settle([x[~again] for x in cols], final)
+                    return
             starts = np.flatnonzero(group)
             ends = np.append(starts[1:], n)
             own = np.cumsum(group) - 1
             size = (ends - starts)[own]
-            running = over is not None and over == k[0]  # the group of the held rows was too large already
-            large = size > largest
-            if running:
+            large = (size > largest) & (not dealt)
+            if over is not None and over == k[0]:  # the group of the held rows was too large already
                 large |= own == 0
             open_ = np.zeros(n, dtype=bool)
             if not final:
                 open_ = (own == own[-1]) & ~large
             ready = ~large & ~open_
-            for step in range(1, largest):
+            for step in range(1, n if dealt else largest):
                 i = np.flatnonzero(ready[step:] & (own[step:] == own[:-step])) + step
                 if not len(i):
                     break
                 i = i[d[i] != d[i - step]]
+                if dealt:
+                    i = i[one_block[i] | (side[i] != side[i - step])]
                 if len(i):
                     yield pairs(k, d, at, lr, i, i - step)
             if large.any():
                 rows = np.flatnonzero(large)
                 marks = np.unique(np.stack([d[rows], (k[rows].view(np.uint64) ^ FN_KEYS[at[rows] & 7]).view(np.int64)]), axis=1)
-                if not last:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(marks[0]), pa.nulls(len(marks[0]), pa.int64()), pa.array(marks[1]), *(pa.nulls(len(marks[0]), t) for t in (pa.int8(), pa.int64(), pa.int64()))],
-                        names=names,
-                    )
-                else:
-                    # the carried first window of the running group goes in front
-                    lead = np.array([first[i] if running else 0 for i in range(4)])
-                    K, D, A, LR = (np.concatenate([[f], x]) for f, x in zip(lead, cols))
-                    leader = np.where(running & (own[rows] == 0), 0, starts[own[rows]] + 1)
-                    for other, ok in ((leader, rows + 1 != leader), (rows, (rows > starts[own[rows]]) & (rows != leader))):
-                        i, j = (rows + 1)[ok], other[ok]
-                        differ = D[i] != D[j]
-                        if differ.any():
-                            yield pairs(K, D, A, LR, i[differ], j[differ])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(marks[0]), pa.nulls(len(marks[0]), pa.int64()), pa.array(marks[1]), *(pa.nulls(len(marks[0]), t) for t in (pa.int8(), pa.int64(), pa.int64()))],
+                    names=names,
+                )
                 if large[-1]:
-                    if not (running and own[-1] == 0):
-                        first = tuple(int(x[starts[-1]]) for x in cols)
                     over = k[-1]
             held = [x[open_] for x in cols]
 
@@ -350,11 +368,36 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, last: bool) ->
                 yield from settle([np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)], False)
         yield from settle(held, True)
 
-    # The first of a group that is not compared in full is the earliest document.
-    ordered = windows.repartition("key").sortWithinPartitions("key", *(["id"] if last else [])).select("key", "cls", "at", "lr")
+    if dealt:
+        ordered = windows.repartition("key", F.expr("cell >> 1")).sortWithinPartitions("key", "cell", "cls", "at", "lr").select("key", "cls", "at", "lr", "cell")
+    else:
+        ordered = windows.repartition("key").sortWithinPartitions("key").select("key", "cls", "at", "lr")
     return ordered.mapInArrow(run, "b long, a long, diag long, fn byte, low long, high long")
 
 
+def block_pairs(windows: DataFrame, shortest: int, folder: str) -> DataFrame:
+    """All pairs of groups of any size: a group is cut into blocks of about ``BLOCK_WINDOWS`` windows, and a cell is a pair of blocks."""
+    windows = written(windows, f"{folder}/windows")
+    sizes = windows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_WINDOWS).alias("blocks"))
+    sizes = written(sizes, f"{folder}/sizes")
+    cut = join_small(windows, sizes, ["key"]).withColumn("own", F.expr("pmod(xxhash64(cls, at), blocks)"))
+    cells = cut.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    # both blocks of a cell, the smaller one first, and which of them a window is from
+    cell = F.expr("shiftleft(least(own, other), 32) | shiftleft(greatest(own, other), 1) | if(own > other, 1, 0)")
+    return group_pairs(cells.select("key", "cls", "at", "lr", cell.alias("cell")), shortest, BLOCK_WINDOWS, True)
+
+
+def all_pairs(
+    windows: Callable[[np.ndarray | None], DataFrame], shortest: int, largest: int, folder: str, hot: np.ndarray | None = None
+) -> list[DataFrame]:
+    """Pairs of all groups but large ones under ``hot`` tokens; ``windows`` gives all of them, or those under marked tokens."""
+    pairs = written(group_pairs(windows(None), shortest, largest, False), f"{folder}/pairs")
+    found, marked = [pairs.where("a is not null")], hot_words(pairs.where("a is null"))
+    if hot is not None:
+        marked &= ~hot
+    return found + ([block_pairs(windows(marked), shortest, folder)] if marked.any() else [])
+
+
 def agreeing(diag: np.ndarray, fn: np.ndarray, low: np.ndarray, high: np.ndarray, need: int, shortest: int, slack: int) -> bool:
     """Whether ``need`` functions have stretches near one diagonal that share a passage's length."""
     if need < 2 or (fn == SURE).any():
@@ -388,18 +431,29 @@ def hot_words(marks: DataFrame) -> np.ndarray:
     return out
 
 
-def last_pairs(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, marked: np.ndarray, largest: int, folder: str) -> list[DataFrame]:
-    """Pairs of the texts whose groups stay too large: with two windows of the group, and by equal stretches."""
-    sure = F.lit(SURE).cast("byte")
-    near = group_pairs(window_rows(rows, hashes, shortest, hot, marked=marked), shortest, largest, True).where("a is not null")
-    keyed = exact_stretches(rows, hashes, shortest, hot, marked).groupBy("key", "id", "cls").agg(F.min("at").alias("at"))
-    keyed = written(keyed, f"{folder}/stretches")
-    leads = keyed.groupBy("key").agg(F.min(F.struct("id", "cls", "at")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # the earliest document with a stretch leads it; one stretch stands for all of a pair on a diagonal
-    met = keyed.join(leads, "key").where("cls <> lead.cls").groupBy(
+def last_pairs(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, largest: int, folder: str) -> list[DataFrame]:
+    """Pairs of the texts whose groups stay too large, with the hot tokens behind all others: all pairs of all groups.
+
+    Groups of hot tokens hold stretches of nothing else.  Equal ones are one: the earliest document that holds a stretch owns
+    it and stands for all others.  No stretch has two owners; the windows of what each text owns are paired.
+    """
+    found = all_pairs(lambda marked: window_rows(rows, hashes, shortest, hot, marked), shortest, largest, f"{folder}/last", hot)
+    keyed = written(hot_stretches(rows, shortest, hot), f"{folder}/stretches")
+    leads = written(keyed.groupBy("key").agg(F.min(F.struct("id", "cls", "at")).alias("lead")), f"{folder}/leads")
+    led = written(join_small(keyed, leads, ["key"]).select("id", "cls", "at", "lead"), f"{folder}/led")
+    # one stretch stands for all of a pair on a diagonal
+    met = led.where("id <> lead.id and cls <> lead.cls").groupBy(
         F.col("cls").alias("b"), F.col("lead.cls").alias("a"), (F.col("at") - F.col("lead.at")).alias("diag")
     ).agg(F.min("at").alias("low"), (F.max("at") + shortest - 1).alias("high"))
-    return [near, met.select("b", "a", "diag", sure.alias("fn"), "low", "high")]
+    # texts of one document hold its stretches alike
+    starts = led.where("id = lead.id").groupBy("cls").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    runs = written(starts.select(
+        "cls", F.expr("filter(at, (x, i) -> i = 0 or at[i - 1] < x - 1)").alias("first"),
+        F.expr("filter(at, (x, i) -> i = size(at) - 1 or at[i + 1] > x + 1)").alias("last"),
+    ), f"{folder}/owned")
+    owners = join_small(rows, runs, ["cls"])
+    found += all_pairs(lambda marked: owned_windows(owners, hashes, shortest, marked), shortest, largest, f"{folder}/owners")
+    return [met.select("b", "a", "diag", F.lit(SURE).cast("byte").alias("fn"), "low", "high"), *found]
 
 
 def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, slack: int, largest: int, folder: str) -> DataFrame:
@@ -407,8 +461,8 @@ def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, sl
 
     Tokens of groups beyond ``largest`` are hot.  The texts in such groups are done again with the hot tokens behind all
     others in every order, so that a passage that holds any other token has one of those as its smallest; and again,
-    with the tokens that are hot then, as long as this leaves less than half of the texts.  What is in too large a group
-    in the end meets two of its windows, and all equal stretches are found by their hash.
+    with the tokens that are hot then, as long as this leaves less than half of the texts.  In the last round all pairs
+    of all groups meet, whatever their size, but that equal stretches of hot tokens are found by their hash and count once.
     """
     rows, hot, found, left, k = source, None, [], None, 0
     while True:
@@ -420,10 +474,10 @@ def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, sl
             break
         touched = written(marks.select(F.col("b").alias("cls")).distinct(), f"{folder}/touched-{k}")
         rows, before, left = join_small(source, touched, ["cls"]), left, touched.count()
+        hot, k = marked if hot is None else marked | hot, k + 1
         if before is not None and 2 * left > before:
-            found += last_pairs(rows, hashes, shortest, hot, marked, largest, folder)
+            found += last_pairs(rows, hashes, shortest, hot, largest, folder)
             break
-        hot, k = marked if hot is None else marked | hot, k + 1
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
