@@ -242,6 +242,25 @@ def window_batch(b: Batch, ids: np.ndarray, token: np.ndarray, d: np.ndarray, c:
     )
 
 
+def frequent_tokens(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, marked: np.ndarray, largest: int) -> DataFrame:
+    """``diag``: tokens at more than ``largest`` places of stretches whose smallest token is marked, hot tokens last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_rows(batches):
+            b = Batch(part.column(0).to_pylist())
+            edge = np.zeros(len(b.tokens) + 1, dtype=np.int64)
+            for fn in range(hashes):
+                c, l, r = compact_windows(b.tokens, b.doc, shortest, fn, hot)
+                few = is_marked(b.tokens[c], marked)
+                c, l, r = c[few], l[few], r[few]
+                np.add.at(edge, np.maximum(l, c - shortest + 1), 1)
+                np.add.at(edge, np.minimum(r, c + shortest - 1) + 1, -1)
+            tokens, n = np.unique(b.tokens[np.cumsum(edge)[:-1] > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["diag", "n"])
+
+    return rows.select("t").mapInArrow(run, "diag long, n long").groupBy("diag").agg(F.sum("n").alias("n")).where(F.col("n") > largest).select("diag")
+
+
 def hot_stretches(rows: DataFrame, shortest: int, hot: np.ndarray) -> DataFrame:
     """``key, id, cls, at``: every stretch of ``shortest`` hot tokens, by its hash; a text's first of equal ones."""
 
@@ -431,13 +450,15 @@ def hot_words(marks: DataFrame) -> np.ndarray:
     return out
 
 
-def last_pairs(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, largest: int, folder: str) -> list[DataFrame]:
+def last_pairs(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, marked: np.ndarray, largest: int, folder: str) -> list[DataFrame]:
     """Pairs of the texts whose groups stay too large, with the hot tokens behind all others: all pairs of all groups.
 
+    Tokens are hot then that are marked or frequent around marked ones, so that few others have large groups.
     Groups of hot tokens hold stretches of nothing else.  Equal ones are one: the earliest document that holds a stretch owns
     it and stands for all others.  No stretch has two owners; the windows of what each text owns are paired.
     """
-    found = all_pairs(lambda marked: window_rows(rows, hashes, shortest, hot, marked), shortest, largest, f"{folder}/last", hot)
+    hot = hot | marked | hot_words(frequent_tokens(rows, hashes, shortest, hot, marked, largest))
+    found = all_pairs(lambda only: window_rows(rows, hashes, shortest, hot, only), shortest, largest, f"{folder}/last", hot)
     keyed = written(hot_stretches(rows, shortest, hot), f"{folder}/stretches")
     leads = written(keyed.groupBy("key").agg(F.min(F.struct("id", "cls", "at")).alias("lead")), f"{folder}/leads")
     led = written(join_small(keyed, leads, ["key"]).select("id", "cls", "at", "lead"), f"{folder}/led")
@@ -452,7 +473,7 @@ def last_pairs(rows: DataFrame, hashes: int, shortest: int, hot: np.ndarray, lar
         F.expr("filter(at, (x, i) -> i = size(at) - 1 or at[i + 1] > x + 1)").alias("last"),
     ), f"{folder}/owned")
     owners = join_small(rows, runs, ["cls"])
-    found += all_pairs(lambda marked: owned_windows(owners, hashes, shortest, marked), shortest, largest, f"{folder}/owners")
+    found += all_pairs(lambda only: owned_windows(owners, hashes, shortest, only), shortest, largest, f"{folder}/owners")
     return [met.select("b", "a", "diag", F.lit(SURE).cast("byte").alias("fn"), "low", "high"), *found]
 
 
@@ -474,10 +495,10 @@ def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, sl
             break
         touched = written(marks.select(F.col("b").alias("cls")).distinct(), f"{folder}/touched-{k}")
         rows, before, left = join_small(source, touched, ["cls"]), left, touched.count()
-        hot, k = marked if hot is None else marked | hot, k + 1
         if before is not None and 2 * left > before:
-            found += last_pairs(rows, hashes, shortest, hot, largest, folder)
+            found += last_pairs(rows, hashes, shortest, hot, marked, largest, folder)
             break
+        hot, k = marked if hot is None else marked | hot, k + 1
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
