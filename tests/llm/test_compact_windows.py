@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavecut.llm import compact_windows as cw
@@ -304,3 +305,120 @@ def test_no_partner_is_lost_in_a_group_that_stays_large(spark):
     first = [r for r in found if r.doc_id == 350]
     assert any(140 <= r.source_doc_id < 210 and r.word_start <= 20 and r.word_end >= 80 for r in first)
     assert {r.doc_id for r in found} == set(range(2, 140)) | set(range(141, 420))
+
+
+def test_words_are_found_in_the_bytes(monkeypatch):
+    rng = random.Random(41)
+    letters = "aAbBzZ \t\n\v\f\r\x1c\x1d\x1e\x1f._\x00\x7f"
+    texts = ["".join(rng.choice(letters + wide) for _ in range(rng.randrange(50))) for wide in ("", "\x85\xa0\u2003\u2028\u3000\u201c\xe9\u20ac\u0130\u03a3\U0001f600") for _ in range(400)]
+    texts += ["", " ", "\n" * 300 + "a", "x" * 70 + "\ty"]
+    flat = [w for t in texts for w in t.lower().split()]
+    for piece in (1 << 16, 64):
+        monkeypatch.setattr(cw, "PIECE", piece)
+        got, counts = cw.word_tokens(texts)
+        assert counts.tolist() == [len(t.lower().split()) for t in texts] and len(got) == len(flat)
+        assert len(set(zip(flat, got.tolist()))) == len(set(flat)) == len(set(got.tolist()))
+
+
+def test_nearest_smaller_value():
+    rng = np.random.default_rng(42)
+    for values in (np.arange(200), np.arange(200)[::-1], rng.permutation(200)):
+        values = np.concatenate([[-1], values])
+        near = np.maximum(np.arange(201) - 1, 0)
+        want = [max((j for j in range(i) if values[j] < values[i]), default=0) for i in range(201)]
+        assert cw.nearest_smaller(values, near).tolist() == want
+
+
+def evidence(rng, groups):
+    rows = []
+    for g in range(groups):
+        n, fns = rng.choice((1, 2, 3, 8, 70)), rng.choice((1, 2, 5))
+        for _ in range(n):
+            low = rng.randrange(200)
+            rows.append((g // 3, g, rng.randrange(-40, 41), cw.SURE if rng.random() < 0.01 else rng.randrange(fns), low, low + rng.randrange(45, 70)))
+    return rows
+
+
+@pytest.mark.parametrize("need", [1, 2, 3])
+def test_pairs_are_agreed_on_together_as_alone(need):
+    rng = random.Random(need)
+    for _ in range(20):
+        cols = [np.array(x, dtype=np.int8 if k == 3 else np.int64) for k, x in enumerate(zip(*evidence(rng, 30)))]
+        got = {(r["b"], r["a"]): r["diags"] for r in cw.agreed(*cols, need, 46, 10).to_pylist()}
+        want = {}
+        for g in range(30):
+            mine = cols[1] == g
+            if cw.agreeing(*(c[mine] for c in cols[2:]), need, 46, 10):
+                want[g // 3, g] = np.unique(cols[2][mine]).tolist()
+        assert got == want
+
+
+def test_evidence_is_not_gathered_in_lists(spark, scratch, plan_text):
+    rng = random.Random(43)
+    passage = words(rng, 70)
+    source = spark.createDataFrame([(k, " ".join(words(rng, 30) + passage + words(rng, 30)), k) for k in range(30)], "cls long, t string, id long")
+    pairs = cw.candidate_pairs(source, 5, 2, 46, 10, 64, scratch)
+    assert "collect_list" not in plan_text(pairs)
+    assert {(r.b, r.a) for r in pairs.collect()} == {(b, a) for b in range(30) for a in range(b)}
+
+
+class Handed:
+    """Stands for a table whose rows are given to the function itself."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = select = repartition
+
+    def mapInArrow(self, function, _):
+        return function
+
+
+def test_pairs_come_in_few_batches():
+    rng = np.random.default_rng(44)
+    key = np.sort(rng.integers(0, 400, 10_000))
+    at = rng.integers(100, 200, 10_000)
+    cols = [key, np.arange(10_000), at << 3 | 1, (at - 60) << 32 | (at + 60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k:k + 5000]) for c in cols], names=["key", "cls", "at", "lr"]) for k in (0, 5000)]
+    got = list(cw.group_pairs(Handed(), 46, 64, False)(iter(batches)))
+    sizes = np.unique(key, return_counts=True)[1]
+    assert sum(x.num_rows for x in got) == (sizes * (sizes - 1) // 2).sum() and len(got) <= 6
+
+
+def plain_spans(b, a, diag, shortest, similarity, slack, gap):
+    """Runs near one diagonal, cut one by one."""
+    where = {i: min((abs(i - j - diag), -j) for j in near) for i in range(len(b)) if (near := [j for j in range(len(a)) if b[i] == a[j] and abs(i - j - diag) <= slack])}
+    out, stack = set(), [sorted((i, -x[1]) for i, x in where.items())]
+    while stack:
+        run = stack.pop()
+        if len(run) < similarity * shortest:
+            continue
+        steps = [y[0] - x[0] for x, y in zip(run, run[1:])]
+        across = [y[1] - x[1] for x, y in zip(run, run[1:])]
+        other = {j for _, j in run}
+        common = len(run) if min(across) > 0 else min(len(run), len(other))
+        length = run[-1][0] - run[0][0] + 1
+        jaccard = common / (length + max(other) - min(other) + 1 - common)
+        if jaccard < similarity or max(steps) > gap:
+            jumps = steps if max(steps) > 1 else [abs(x - 1) for x in across]
+            cut = jumps.index(max(jumps)) + 1
+            stack += [run[:cut], run[cut:]]
+        elif length >= shortest:
+            out.add((run[0][0], run[-1][0], min(other), max(other), jaccard))
+    return out
+
+
+def test_spans_are_those_cut_one_by_one():
+    rng, found = random.Random(45), 0
+    for _ in range(200):
+        a = [rng.randrange(10**6) for _ in range(200)]
+        b = a[40:160]
+        for _ in range(rng.randrange(10)):
+            k = rng.randrange(len(b))
+            b[k:k + rng.randrange(3)] = [rng.randrange(10**6) for _ in range(rng.randrange(3))]
+        b = [rng.randrange(10**6) for _ in range(40)] + b
+        got = cw.matching_spans(np.array(b, dtype=np.uint32), np.array(a, dtype=np.uint32), [], 46, 0.8, 40, 12)
+        want = plain_spans(b, a, 0, 46, 0.8, 100, 12)
+        assert {x[:4] for x in got} == {x[:4] for x in want}
+        found += len(want)
+    assert found > 100

@@ -35,11 +35,19 @@ FN_KEYS = mix64(np.arange(8, dtype=np.uint64), 200)
 BLOCK_TEXTS = 256
 #: Windows of a large group that are compared together.
 BLOCK_WINDOWS = 256
+#: Pairs of windows that are given in one batch, about.
+PAIRS_AT_ONCE = 1 << 16
 _SPAN = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at once, and a random value for each byte.
 BLOCK = 1 << 21
 _BYTES = mix64(np.arange(256, dtype=np.uint64), 31)
+#: Bytes that fit the processor's cache with their sums.
+PIECE = 1 << 16
+#: Beginnings of the characters beyond ASCII that ``str.split`` takes for white space.
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: ASCII letters in lower case, and a blank for what ``str.split`` takes for white space.
+_PLAIN = bytes(32 if chr(x).isspace() and x < 128 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 SPANS = (
     "doc_id long, text_hash long, word_start int, word_end int, char_start int, char_end int, source_doc_id long, "
     "source_start int, source_end int, similarity double"
@@ -58,29 +66,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = _powers(BLOCK)
 
 
+def _plain_bytes(text: str) -> bytes:
+    """The text in which ``_PLAIN`` finds the words: letters but A-Z in lower case, white space beyond ASCII replaced."""
+    data = (text if text.isascii() else text.lower()).encode("utf-8", "surrogatepass")
+    if len(data) > len(text) and any(x in data for x in _WIDE):
+        return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    return data
+
+
 def word_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, end to end, and the number of words of each text.
 
     A word's hash is a polynomial of its bytes, read off prefix sums over a block of text; a word that does not fit a
     block is hashed alone.
     """
-    split = [t.lower().split() for t in texts]
-    counts = np.array([len(w) for w in split], dtype=np.int64)
-    data, out, at = (" ".join(" ".join(w) for w in split if w) + " ").encode("utf-8", "surrogatepass"), [], 0
-    while at < len(data) and counts.any():
-        end = len(data) if len(data) - at <= BLOCK else data.rfind(b" ", at, at + BLOCK) + 1
+    parts = [_plain_bytes(t) for t in texts]
+    data, out, where, at = b" ".join([*parts, b""]).translate(_PLAIN), [], [], 0
+    block = min(BLOCK, PIECE)
+    while at < len(data):
+        end = len(data) if len(data) - at <= block else data.rfind(b" ", at, at + block) + 1
         if end <= at:
             end = data.find(b" ", at) + 1
             out.append(np.array([xxhash.xxh64_intdigest(data[at:end - 1])], dtype=np.uint64))
+            where.append(np.array([at]))
         else:
             part = np.frombuffer(data, np.uint8, end - at, at)
-            ends = np.flatnonzero(part == 32)
-            starts = np.concatenate([[0], ends[:-1] + 1])
+            space = np.concatenate([[True], part == 32])
+            edges = np.flatnonzero(space[1:] != space[:-1])
+            starts, ends = edges[::2], edges[1::2]
             with np.errstate(over="ignore"):
                 prefix = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[part] * _POWERS[0][: len(part)])])
                 out.append((prefix[ends] - prefix[starts]) * _POWERS[1][starts])
+            where.append(starts + at)
         at = end
-    return mix64(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64), counts
+    if not out:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    borders = np.cumsum([len(x) + 1 for x in parts])
+    return mix64(np.concatenate(out)), np.diff(np.searchsorted(np.concatenate(where), borders), prepend=0)
 
 
 def text_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +137,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - got:width - got + n])
 
 
-def cartesian_bounds(values: list[int], at: list[int], first: int, last: int) -> tuple[list[int], list[int]]:
-    """Widest interval around each position in which its value is the smallest; values differ."""
-    left, right, stack = [first] * len(at), [last] * len(at), []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i] - 1
-        if stack:
-            left[i] = at[stack[-1]] + 1
-        stack.append(i)
-    return left, right
+def nearest_smaller(values: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value on the side of ``near``, the direct neighbours; values differ.
+
+    ``near`` of the smallest is itself.  All between a value and its ``near`` are larger, so those of a larger neighbour are skipped at once.
+    """
+    open_ = np.flatnonzero(values[near] > values)
+    while len(open_):
+        near[open_] = near[near[open_]]
+        open_ = open_[values[near[open_]] > values[open_]]
+    return near
 
 
 def compact_windows(tokens: np.ndarray, doc: np.ndarray, shortest: int, seed: int, hot: np.ndarray | None = None):
@@ -143,15 +165,22 @@ def compact_windows(tokens: np.ndarray, doc: np.ndarray, shortest: int, seed: in
     low = low[np.concatenate([[True], low[1:] != low[:-1]])]
     c = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     borders = np.flatnonzero(np.concatenate([[True], doc[c[1:]] != doc[c[:-1]], [True]]))
-    first = np.searchsorted(doc, doc[c[borders[:-1]]], "left").tolist()
-    last = (np.searchsorted(doc, doc[c[borders[:-1]]], "right") - 1).tolist()
-    values, at, ls, rs = low.tolist(), c.tolist(), [], []
-    for k in range(len(borders) - 1):
-        a, b = int(borders[k]), int(borders[k + 1])
-        left, right = cartesian_bounds(values[a:b], at[a:b], first[k], last[k])
-        ls += left
-        rs += right
-    return c, np.array(ls, dtype=np.int64), np.array(rs, dtype=np.int64)
+    own = doc[c[borders[:-1]]]
+    first, last = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right") - 1
+    # a bound before each text and one behind the last, smaller than all values
+    n, of = len(borders) - 1, np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    inner = np.arange(len(c)) + of + 1
+    values, ends = np.zeros(len(c) + n + 1, dtype=np.uint64), np.append(inner[borders[:-1]] - 1, len(c) + n)
+    values[inner] = low + np.uint64(1)
+    at = np.arange(len(values))
+    left, right = at - 1, at + 1
+    left[ends] = right[ends] = ends
+    left, right = nearest_smaller(values, left)[inner], nearest_smaller(values, right)[inner]
+    place = np.zeros(len(values), dtype=np.int64)
+    place[inner] = c
+    l = np.where(values[left] == 0, first[of], place[left] + 1)
+    r = np.where(values[right] == 0, last[of], place[right] - 1)
+    return c, l, r
 
 
 def demote(order: np.ndarray, tokens: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
@@ -187,17 +216,26 @@ class Batch:
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.start = np.cumsum(sizes) - sizes
         self.end = self.start + sizes
+        self._stretches = None
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For ``stretch_hash``, made once."""
+        if self._stretches is None:
+            self._stretches = stretch_hashes(self.tokens)
+        return self._stretches
 
     def windows(self, shortest: int, fn: int, hot: np.ndarray | None):
         """``c, l, r`` of the windows; of those of a text with the same tokens all around, the first."""
         c, l, r = compact_windows(self.tokens, self.doc, shortest, fn, hot)
         if len(c) < 2:
             return c, l, r
-        order = np.argsort(self.tokens[c], kind="stable")
-        same = np.flatnonzero((self.tokens[c[order]][1:] == self.tokens[c[order]][:-1]) & (self.doc[c[order]][1:] == self.doc[c[order]][:-1]))
+        tokens, doc = self.tokens[c], self.doc[c]
+        order = np.argsort(tokens, kind="stable")
+        ranked, doc = tokens[order], doc[order]
+        same = np.flatnonzero((ranked[1:] == ranked[:-1]) & (doc[1:] == doc[:-1]))
         if not len(same):
             return c, l, r
-        prefix, inverse = stretch_hashes(self.tokens)
+        prefix, inverse = self.stretches()
         again = np.unique(np.concatenate([order[same], order[same + 1]]))
         d = self.doc[c[again]]
         first, end = np.maximum(c[again] - shortest + 1, self.start[d]), np.minimum(c[again] + shortest, self.end[d])
@@ -222,6 +260,7 @@ def window_rows(
             b = Batch(rows.column(1).to_pylist())
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))]) if hot is not None else None
+            found = []
             for fn in range(hashes):
                 c, l, r = b.windows(shortest, fn, hot)
                 if hot is not None:
@@ -230,12 +269,14 @@ def window_rows(
                 if marked is not None:
                     keep = is_marked(b.tokens[c], marked)
                     c, l, r = c[keep], l[keep], r[keep]
-                yield window_batch(b, ids, b.tokens[c], b.doc[c], c, l, r, fn)
+                found.append((c, l, r, np.full(len(c), fn)))
+            c, l, r, of = (np.concatenate(x) for x in zip(*found))
+            yield window_batch(b, ids, b.tokens[c], b.doc[c], c, l, r, of)
 
     return source.select("cls", "t").mapInArrow(run, WINDOWS)
 
 
-def window_batch(b: Batch, ids: np.ndarray, token: np.ndarray, d: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, fn: int) -> pa.RecordBatch:
+def window_batch(b: Batch, ids: np.ndarray, token: np.ndarray, d: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, fn: int | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array((token ^ FN_KEYS[fn]).view(np.int64)), pa.array(ids[d]), pa.array((c - b.start[d]) << 3 | fn),
          pa.array((l - b.start[d]) << 32 | (r - b.start[d]))], names=["key", "cls", "at", "lr"],
@@ -271,7 +312,7 @@ def hot_stretches(rows: DataFrame, shortest: int, hot: np.ndarray) -> DataFrame:
             held = np.concatenate([[0], np.cumsum(is_marked(b.tokens, hot))])
             first = np.arange(max(0, len(b.tokens) - shortest + 1))
             first = first[(held[first + shortest] - held[first] == shortest) & (b.doc[first] == b.doc[first + shortest - 1])]
-            prefix, inverse = stretch_hashes(b.tokens)
+            prefix, inverse = b.stretches()
             key = stretch_hash(prefix, inverse, first, first + shortest)
             once = np.unique(key ^ mix64(b.doc[first], 18), return_index=True)[1]
             key, first = key[once], first[once]
@@ -362,6 +403,7 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, dealt: bool) ->
             if not final:
                 open_ = (own == own[-1]) & ~large
             ready = ~large & ~open_
+            found, waiting = [], 0
             for step in range(1, n if dealt else largest):
                 i = np.flatnonzero(ready[step:] & (own[step:] == own[:-step])) + step
                 if not len(i):
@@ -369,8 +411,13 @@ def group_pairs(windows: DataFrame, shortest: int, largest: int, dealt: bool) ->
                 i = i[d[i] != d[i - step]]
                 if dealt:
                     i = i[one_block[i] | (side[i] != side[i - step])]
-                if len(i):
-                    yield pairs(k, d, at, lr, i, i - step)
+                found.append((i, i - step))
+                waiting += len(i)
+                if waiting >= PAIRS_AT_ONCE:
+                    yield pairs(k, d, at, lr, *(np.concatenate(x) for x in zip(*found)))
+                    found, waiting = [], 0
+            if waiting:
+                yield pairs(k, d, at, lr, *(np.concatenate(x) for x in zip(*found)))
             if large.any():
                 rows = np.flatnonzero(large)
                 marks = np.unique(np.stack([d[rows], (k[rows].view(np.uint64) ^ FN_KEYS[at[rows] & 7]).view(np.int64)]), axis=1)
@@ -495,75 +542,123 @@ def candidate_pairs(source: DataFrame, hashes: int, need: int, shortest: int, sl
             break
         touched = written(marks.select(F.col("b").alias("cls")).distinct(), f"{folder}/touched-{k}")
         rows, before, left = join_small(source, touched, ["cls"]), left, touched.count()
+        if before is not None and 4 * left < before:  # all further rounds read these few
+            rows = source = written(rows.select("cls", "t", "id"), f"{folder}/texts-{k}")
         if before is not None and 2 * left > before:
             found += last_pairs(rows, hashes, shortest, hot, marked, largest, folder)
             break
         hot, k = marked if hot is None else marked | hot, k + 1
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def settle() -> pa.RecordBatch:
+            return agreed(*(np.concatenate(x) for x in zip(*held)), need, shortest, slack)
+
         for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten()
-            diag, fn, low, high = (flat.field(k).to_numpy() for k in range(4))
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ok, diags = [], []
-            for x, y in zip(starts.tolist(), ends.tolist()):
-                ok.append(agreeing(diag[x:y], fn[x:y], low[x:y], high[x:y], need, shortest, slack))
-                diags.append(np.unique(diag[x:y]) if ok[-1] else diag[:0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(diags, pa.list_(pa.int64()))], names=["b", "a", "diags"]
-            ).filter(pa.array(ok, pa.bool_()))
+            if batch.num_rows:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+                b, a = cols[:2]
+                last = np.flatnonzero((b != b[-1]) | (a != a[-1]))  # all before the pair that may go on
+                cut = last[-1] + 1 if len(last) else 0
+                if held and (cut or held[-1][0][-1] != b[0] or held[-1][1][-1] != a[0]):
+                    held.append([x[:cut] for x in cols])
+                    yield settle()
+                    held = []
+                elif cut:
+                    held = [[x[:cut] for x in cols]]
+                    yield settle()
+                    held = []
+                held.append([x[cut:].copy() for x in cols])
+        if held:
+            yield settle()
 
     # Both orders of a text give many windows twice; a pair of texts meets in one row for each diagonal and function.
     # Dealt by the pair once, for both groupings.
     every = union_sets(*found).repartition("b", "a").groupBy("b", "a", "diag", "fn").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    per_pair = every.groupBy("b", "a").agg(
-        F.collect_list(F.struct("diag", "fn", "low", "high")).alias("found"), F.min("fn").alias("one"), F.max("fn").alias("other")
-    )
-    if need > 1:  # most pairs meet under one function alone
-        per_pair = per_pair.where(f"one <> other or other = {SURE}")
-    return per_pair.select("b", "a", "found").mapInArrow(check, "b long, a long, diags array<long>")
-
-
-def _equal_tokens(b: np.ndarray, a: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """All ``(i, j)`` with ``b[i] == a[j]``; None if repeated tokens would make them too many to list."""
-    order = np.argsort(a, kind="stable") if order is None else order
-    if not len(a):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    ranked = a[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    values = ranked[starts]
-    run = np.searchsorted(values, b, "left")
-    run[run == len(values)] = 0
-    low = starts[run]
-    many = np.where(values[run] == b, np.append(starts[1:], len(a))[run] - low, 0)
-    total = int(many.sum())
-    if total > 8 * (len(a) + len(b)):
-        return None
-    i = np.repeat(np.arange(len(b)), many)
-    return i, order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)]
+    return every.sortWithinPartitions("b", "a").mapInArrow(check, "b long, a long, diags array<long>")
+
+
+def agreed(
+    b: np.ndarray, a: np.ndarray, diag: np.ndarray, fn: np.ndarray, low: np.ndarray, high: np.ndarray, need: int, shortest: int, slack: int,
+) -> pa.RecordBatch:
+    """``b, a, diags`` of the pairs that are ``agreeing``; the rows of a pair lie side by side."""
+    starts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])]))
+    sizes = np.diff(np.append(starts, len(b)))
+    highest = np.maximum.reduceat(fn, starts)
+    ok = (highest == SURE) | (need < 2)
+    open_ = ~ok & (np.minimum.reduceat(fn, starts) != highest)  # most pairs meet under one function alone
+    small = open_ & (sizes <= 64) & (need == 2)
+    rows = np.flatnonzero(np.repeat(small, sizes))
+    own, d, f, x, y = (v[rows] for v in (np.repeat(np.arange(len(starts)), sizes), diag, fn, low, high))
+    for step in range(1, int(sizes[small].max(initial=1))):
+        shared = np.minimum(y[step:], y[:-step]) - np.maximum(x[step:], x[:-step]) + 1 >= shortest
+        ok[own[step:][shared & (own[step:] == own[:-step]) & (f[step:] != f[:-step]) & (np.abs(d[step:] - d[:-step]) <= slack)]] = True
+    for k in np.flatnonzero(open_ & ~small).tolist():
+        part = slice(starts[k], starts[k] + sizes[k])
+        ok[k] = agreeing(diag[part], fn[part], low[part], high[part], need, shortest, slack)
+    rows = np.flatnonzero(np.repeat(ok, sizes))
+    own, diag = np.repeat(np.cumsum(ok)[ok] - 1, sizes[ok]), diag[rows]
+    order = np.lexsort((diag, own))
+    own, diag = own[order], diag[order]
+    once = np.concatenate([[True], (own[1:] != own[:-1]) | (diag[1:] != diag[:-1])])[:len(own)]
+    ends = np.cumsum(np.bincount(own[once], minlength=int(ok.sum())))
+    diags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(diag[once]))
+    return pa.RecordBatch.from_arrays([pa.array(b[starts[ok]]), pa.array(a[starts[ok]]), diags], names=["b", "a", "diags"])
+
+
+class Places:
+    """Where the tokens of a text are."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.order = tokens, np.argsort(tokens, kind="stable")
+        ranked = tokens[self.order]
+        self.starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+        self.values, self.ends = ranked[self.starts], np.append(self.starts[1:], len(tokens))
+        self.seen = np.zeros(1 << 16, dtype=bool)
+        self.seen[tokens & 0xFFFF] = True
+
+    def equal(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ``(i, j)`` with ``b[i] == tokens[j]``; None if repeated tokens would make them too many to list."""
+        i = self.seen[b & 0xFFFF].nonzero()[0]  # few others have the same last bits
+        run = self.values.searchsorted(b[i])
+        run[run == len(self.values)] = 0
+        same = self.values[run] == b[i]
+        i, run = i[same], run[same]
+        low = self.starts[run]
+        many = self.ends[run] - low
+        total = int(many.sum())
+        if total > 8 * (len(self.tokens) + len(b)):
+            return None
+        if total == len(i):
+            return i, self.order[low]
+        return np.repeat(i, many), self.order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)]
 
 
 def matching_spans(
     b: np.ndarray, a: np.ndarray, diags: list[int], shortest: int, similarity: float, slack: int, gap: int,
-    order: np.ndarray | None = None,
+    places: Places | None = None,
 ) -> list[tuple[int, int, int, int, float]]:
     """``(b_first, b_last, a_first, a_last, jaccard)`` of the longest runs near the diagonals, in tokens.
 
     Besides the given diagonals all those are looked at near which enough tokens are equal.
     """
-    out, clusters = [], []
-    pairs = _equal_tokens(b, a, order)
+    out, clusters, least = [], [], similarity * shortest
+    pairs = (places or Places(a)).equal(b)
     if pairs is not None:
-        if len(pairs[0]) < similarity * shortest:
+        i, j = pairs
+        if len(i) < least:
             return out
-        off = np.sort(pairs[0] - pairs[1])
-        at = np.unique(off)
-        near = np.searchsorted(off, at + slack, "right") - np.searchsorted(off, at - slack, "left")
-        some = near >= similarity * shortest
+        off = i - j
+        # before[d + margin]: equal tokens on diagonals under d
+        margin = len(a) + slack
+        before = np.bincount(off + (margin + 1), minlength=len(a) + len(b) + 2 * slack + 1).cumsum()
+        at = (before[1:] > before[:-1]).nonzero()[0]
+        near = before[at + (slack + 1)] - before[at - slack]
+        some = near >= least
+        at -= margin
         if len(off) > 2 * (len(a) + len(b)):  # repetitive texts match everywhere: the best diagonal besides the given
-            some &= np.arange(len(at)) == np.argmax(near)
+            some &= np.arange(len(at)) == near.argmax()
         diags = [*diags, *at[some].tolist()]
     for d in sorted(diags):
         if clusters and d - clusters[-1][1] <= slack and d - clusters[-1][0] <= 2 * slack:
@@ -571,42 +666,50 @@ def matching_spans(
         else:
             clusters.append([d, d])
     for low, high in clusters:
-        if pairs is not None and np.searchsorted(off, high + slack, "right") - np.searchsorted(off, low - slack, "left") < similarity * shortest:
-            continue
-        # b[i] lies opposite a[where[i]]; of several places the nearest diagonal is written last
-        where = np.full(len(b), -1, dtype=np.int64)
         if pairs is not None:
-            i, j = pairs
-            near = np.flatnonzero((i - j >= low - slack) & (i - j <= high + slack))
-            near = near[np.argsort(-np.abs(2 * (i[near] - j[near]) - low - high), kind="stable")]
-            where[i[near]] = j[near]
+            top = len(before) - 1
+            if before[min(max(high + slack + 1 + margin, 0), top)] - before[min(max(low - slack + margin, 0), top)] < least:
+                continue
+            near = ((off >= low - slack) & (off <= high + slack)).nonzero()[0]
+            run, at = i[near], j[near]
+            if (run[1:] == run[:-1]).any():  # b[i] lies opposite a[where[i]]; of several places the nearest diagonal is written last
+                near = near[np.argsort(-np.abs(2 * off[near] - low - high), kind="stable")]
+                where = np.full(len(b), -1, dtype=np.int64)
+                where[i[near]] = j[near]
+                run = np.flatnonzero(where >= 0)
+                at = where[run]
         else:
+            where = np.full(len(b), -1, dtype=np.int64)
             for d in sorted(range(low - slack, high + slack + 1), key=lambda d: abs(2 * d - low - high), reverse=True):
                 i0, i1 = max(0, d), min(len(b), len(a) + d)
                 if i0 < i1:
                     hit = np.flatnonzero(b[i0:i1] == a[i0 - d:i1 - d]) + i0
                     where[hit] = hit - d
-        stack = [np.flatnonzero(where >= 0)]
+            run = np.flatnonzero(where >= 0)
+            at = where[run]
+        steps, across = run[1:] - run[:-1], at[1:] - at[:-1]
+        borders = [0, *((steps > gap).nonzero()[0] + 1).tolist(), len(run)]
+        stack = [(x, y, False) for x, y in zip(borders, borders[1:])]
         while stack:
-            run = stack.pop()
-            if len(run) < similarity * shortest:
+            x, y, ordered = stack.pop()
+            if y - x < least:
                 continue
-            steps_, at = run[1:] - run[:-1], where[run]
-            length, across = run[-1] - run[0] + 1, at[1:] - at[:-1]
+            first, last = run.item(x), run.item(y - 1)
+            length = last - first + 1
             # repeated tokens of one side lie opposite one of the other
-            if not len(across) or across.min() > 0:
-                common, other = len(run), at[-1] - at[0] + 1
+            ordered = ordered or y - x == 1 or bool(across[x:y - 1].min() > 0)
+            if ordered:
+                common, a_first, a_last = y - x, at.item(x), at.item(y - 1)
             else:
-                common, other = min(len(run), len(np.unique(at))), at.max() - at.min() + 1
-            jaccard = common / (length + other - common)
-            widest = steps_.max() if len(steps_) else 0
-            if len(steps_) and (jaccard < similarity or widest > gap):
-                cut = int(np.argmax(steps_)) + 1
-                if widest == 1:  # no gap in b: the other side jumps; cut there
-                    cut = int(np.argmax(np.abs(across - 1))) + 1
-                stack += [run[:cut], run[cut:]]
+                common, a_first, a_last = min(y - x, len(np.unique(at[x:y]))), at[x:y].min().item(), at[x:y].max().item()
+            jaccard = common / (length + a_last - a_first + 1 - common)
+            if y - x > 1 and jaccard < similarity:
+                cut = x + int(steps[x:y - 1].argmax()) + 1
+                if steps.item(cut - 1) == 1:  # no gap in b: the other side jumps; cut there
+                    cut = x + int(np.abs(across[x:y - 1] - 1).argmax()) + 1
+                stack += [(x, cut, ordered), (cut, y, ordered)]
             elif length >= shortest:
-                out.append((int(run[0]), int(run[-1]), int(at.min()), int(at.max()), float(jaccard)))
+                out.append((first, last, a_first, a_last, jaccard))
     return out
 
 
@@ -642,9 +745,9 @@ def verified(pairs: DataFrame, grams: DataFrame, shortest: int, similarity: floa
                 if not met.is_valid:
                     held[cls.as_py()] = tokens.copy()  # the batch need not stay
                     continue
-                order = np.argsort(tokens, kind="stable")
+                places = Places(tokens)
                 for x in met.as_py():
-                    for i0, i1, j0, j1, jaccard in matching_spans(held[x["hb"]], tokens, x["diags"], shortest, similarity, slack, gap, order):
+                    for i0, i1, j0, j1, jaccard in matching_spans(held[x["hb"]], tokens, x["diags"], shortest, similarity, slack, gap, places):
                         out.append((x["b"], x["hb"], i0, i1 + WIDTH, x["a"], j0, j1 + WIDTH, jaccard))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
@@ -735,7 +838,7 @@ def repeated_passages(
     return repeats.union(copies)
 
 
-def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in pieces whose texts a task may hold as Python strings."""
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
