@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from wavecut.operators.assemble import feature_vector, normalise_target, restore_target, target_scale
 from wavecut.operators.segments import consecutive_index, restrict_to_keys, union_sets
 from wavecut.operators.stats import mae
+from wavecut.operators.trees import add_sums, binned_rows, load_scorer, save_forests
 from wavecut.sources.storage import cut_lineage
 from wavecut.sources.tables import load_model
 
@@ -64,26 +65,45 @@ class ForestParts:
     trees: list[int]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``prediction``: the mean over the trees of all parts."""
-        done = df.withColumn("_sum", F.lit(0.0))
+        """``prediction``: the mean over the trees of all parts, as many of which are applied at once as the driver holds."""
+        spark, done, held, features = df.sparkSession, df.withColumn("_sum", F.lit(0.0)), [], ""
         for path, trees in zip(self.paths, self.trees):
-            more = load_model(df.sparkSession, path).transform(done).withColumn("_sum", F.col("_sum") + F.col("prediction") * trees)
-            done = cut_lineage(more.drop("prediction"))
+            found = load_scorer(spark, path)
+            if found is None:
+                more = load_model(spark, path).transform(done).withColumn("_sum", F.col("_sum") + F.col("prediction") * trees)
+                done = cut_lineage(more.drop("prediction"))
+                continue
+            if held and sum(map(len, held)) + len(found[0]) > DRIVER_NODES:
+                done, held = add_sums(done, held, features, "_sum"), []
+            features = found[1]
+            held.append(found[0])
+        if held:
+            done = add_sums(done, held, features, "_sum")
         return done.withColumn("prediction", F.col("_sum") / sum(self.trees)).drop("_sum")
 
 
 def fit_forest_parts(train: DataFrame, estimator: RandomForestRegressor, trees: int, folder: str) -> ForestParts:
-    """Fits ``trees`` trees at a time, with a seed for each part, and saves each part before the next."""
+    """Fits ``trees`` trees at a time, with a seed for each part, and saves each part before the next.
+
+    Where a task can hold the binned rows, tasks grow and save whole trees, several parts at a time; else Spark ML fits the parts.
+    """
     total, rng = estimator.getNumTrees(), random.Random(estimator.getSeed())
     strategy, parts = estimator.getFeatureSubsetStrategy(), ForestParts([], [])
     if strategy == "auto" and total > 1:
         strategy = "onethird"  # what it stands for in a regression forest, also where a part has one tree
+    fits = []
     for first in range(0, total, trees):
         own = {estimator.numTrees: min(trees, total - first), estimator.featureSubsetStrategy: strategy, estimator.seed: rng.getrandbits(31)}
-        model = estimator.copy(own).fit(train)
-        parts.paths.append(f"{folder}/part={len(parts.paths)}")
+        fits.append((estimator.copy(own), f"{folder}/part={len(parts.paths)}"))
+        parts.paths.append(fits[-1][1])
         parts.trees.append(own[estimator.numTrees])
-        model.write().overwrite().save(parts.paths[-1])
+    rows = binned_rows(train, estimator)
+    if rows is not None:
+        save_forests(train, rows, fits)
+        return parts
+    for own, path in fits:
+        model = own.fit(train)
+        model.write().overwrite().save(path)
         del model
         train.sparkSession._jvm.System.gc()  # broadcasts and nodes of the part go before the next
     return parts
