@@ -40,6 +40,7 @@ def test_parts_are_not_fitted_level_by_level(spark, table, scratch, monkeypatch)
 def test_same_trees_as_spark_ml(spark, table, scratch, monkeypatch, depth, params):
     """Without anything drawn, every tree parts the training rows as the one that Spark ML fits (two features may part a node alike)."""
     monkeypatch.setattr(M, "DRIVER_NODES", 16)
+    monkeypatch.setattr(M, "SCORED_NODES", depth)  # parts one by one, or together where trees are small
     estimator = M.forest(trees=2, depth=depth, bins=16, **ALL, **params)
     model, held = M.fit_holdout(table, estimator, 120, f"{scratch}/parts")
     want = estimator.copy({estimator.numTrees: 1}).fit(table.where("seg < 120"))

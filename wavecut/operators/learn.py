@@ -31,6 +31,8 @@ from wavecut.sources.tables import load_model
 
 #: Nodes of a forest that the driver holds at once.
 DRIVER_NODES = 1_000_000
+#: Nodes of saved parts that are applied at once; as arrays they take 28 bytes each.
+SCORED_NODES = 2_000_000
 
 
 # -------------------------------------------------------------------- folds
@@ -65,20 +67,25 @@ class ForestParts:
     trees: list[int]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``prediction``: the mean over the trees of all parts, as many of which are applied at once as the driver holds."""
+        """``prediction``: the mean over the trees of all parts, as many of which are applied at once as a task should hold; the next one is read meanwhile."""
         spark, done, held, features = df.sparkSession, df.withColumn("_sum", F.lit(0.0)), [], ""
-        for path, trees in zip(self.paths, self.trees):
-            found = load_scorer(spark, path)
-            if found is None:
-                more = load_model(spark, path).transform(done).withColumn("_sum", F.col("_sum") + F.col("prediction") * trees)
-                done = cut_lineage(more.drop("prediction"))
-                continue
-            if held and sum(map(len, held)) + len(found[0]) > DRIVER_NODES:
-                done, held = add_sums(done, held, features, "_sum"), []
-            features = found[1]
-            held.append(found[0])
-        if held:
-            done = add_sums(done, held, features, "_sum")
+        load = inheritable_thread_target(spark)(load_scorer)
+        with ThreadPool(1) as ahead:
+            coming = ahead.apply_async(load, (spark, self.paths[0]))
+            for i, (path, trees) in enumerate(zip(self.paths, self.trees)):
+                found = coming.get()
+                if i + 1 < len(self.paths):
+                    coming = ahead.apply_async(load, (spark, self.paths[i + 1]))
+                if found is None:
+                    more = load_model(spark, path).transform(done).withColumn("_sum", F.col("_sum") + F.col("prediction") * trees)
+                    done = cut_lineage(more.drop("prediction"))
+                    continue
+                scorer, features = found
+                if held and sum(map(len, held)) + len(scorer) > SCORED_NODES:
+                    done, held = add_sums(done, held, features, "_sum"), []
+                held.append(scorer)
+            if held:
+                done = add_sums(done, held, features, "_sum")
         return done.withColumn("prediction", F.col("_sum") / sum(self.trees)).drop("_sum")
 
 

@@ -319,13 +319,13 @@ def load_scorer(spark: SparkSession, path: str) -> tuple[Scorer, str] | None:
     c = {name: table.column(name).to_numpy() for name in table.column_names}
     if (c["categories"] >= 0).any():
         return None
-    order = np.lexsort((c["id"], c["treeID"]))
+    order = np.argsort((c["treeID"].astype(np.int64) << 32) + c["id"], kind="stable")
     c = {name: v[order] for name, v in c.items()}
     roots = np.flatnonzero(c["id"] == 0)
     base, own = np.repeat(roots, np.diff(np.append(roots, len(order)))), np.arange(len(order))
     left, right = (np.where(c[s] < 0, own, base + c[s]).astype(np.int32) for s in ("left", "right"))
     saved = DefaultParamsReader.loadMetadata(path, spark)
-    scorer = Scorer(roots, np.maximum(c["feature"], 0), c["threshold"].astype(np.float64), left, right, c["value"], saved["numFeatures"])
+    scorer = Scorer(roots, np.maximum(c["feature"], 0).astype(np.int32), c["threshold"].astype(np.float64), left, right, c["value"], saved["numFeatures"])
     return scorer, (saved["defaultParamMap"] | saved["paramMap"])["featuresCol"]
 
 
